@@ -7,8 +7,6 @@ between its brackets, never its whole content, to any one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +40,11 @@ def exact_quantiles(df: DataFrame, by: list[str], values: dict[str, list[tuple[f
         *[F.col(f"c.{k}") for k in keys], "c._x", "c._c", "s._n", "s._q")
     below, picked = [], []
     for i, p in enumerate(probabilities):
-        low, high = F.element_at("_q", 2 * i + 1), F.element_at("_q", 2 * i + 2)
+        # The sketch is off by at most n / accuracy ranks, so for larger groups a margin of twice that is
+        # sure to bracket both neighbours; a small group is ranked whole.
+        small = F.col("_n") <= 4 * accuracy
+        low = F.when(small, F.lit(float("-inf"))).otherwise(F.element_at("_q", 2 * i + 1))
+        high = F.when(small, F.lit(float("inf"))).otherwise(F.element_at("_q", 2 * i + 2))
         inside = (F.col("_x") >= low) & (F.col("_x") <= high)
         below.append(F.sum(F.when(F.col("_x") < low, F.col("_c")).otherwise(0)).alias(f"_b{i}"))
         picked.append(F.when(inside, F.lit(i)))
@@ -69,7 +71,3 @@ def exact_quantiles(df: DataFrame, by: list[str], values: dict[str, list[tuple[f
             hit = (F.col("_v") == n) & (F.col("_i") == probabilities.index(p))
             columns.append(F.max(F.when(hit, F.col("_value"))).alias(alias))
     return points.groupBy(*by).agg(*columns)
-
-
-def join_all(frames: list[DataFrame], on: list[str]) -> DataFrame:
-    return reduce(lambda left, right: left.join(right, on), frames)
