@@ -1,3 +1,4 @@
 """Importing this module registers every query."""
 
 from . import signal_queries  # noqa: F401
+from . import spectral_queries  # noqa: F401
