@@ -332,3 +332,43 @@ SELECT recording_id, channel, bin * 0.5::DOUBLE AS freq,
 FROM fx_dft_periodic GROUP BY recording_id, channel, bin
 """)
 SQL_VIEWS["fx_mpsd"] = (("fx_psd",), "SELECT recording_id, freq, avg(p) AS p FROM fx_psd GROUP BY 1, 2")
+
+# The stored bank of cross-spectra: ten candidates, the two halves of their recordings as replicates.
+SQL_VIEWS["bk_samples"] = (("fx_bank_samples",), """
+SELECT recording_id * 2 + CASE WHEN t >= h THEN 1 ELSE 0 END AS recording_id, channel, CASE WHEN t >= h THEN t - h ELSE t END AS t, value
+FROM (SELECT *, (max(t) OVER () + 1) // 2 AS h FROM fx_bank_samples)
+""")
+for _name in ("epochs", "dft", "dft_ref", "csd"):
+    _deps, _text = SQL_VIEWS[f"fx_{_name}"]
+    SQL_VIEWS[f"bk_{_name}"] = (tuple(d.replace("fx_", "bk_") for d in _deps), _text.replace("fx_", "bk_"))
+
+
+def bank_csd(spark: SparkSession, sf: str) -> DataFrame:
+    """bank_csd(candidate_id, replicate, freq, ch_i, ch_j, re, im)."""
+    from ..operators import signal
+
+    halves = signal.temporal_segments(bank_samples(spark, sf)).where(F.col("segment").isin("fit", "validation"))
+    csd = signal.cross_spectrum(halves, FS, EPOCH_DAYS, 1.0, 11.0, 1.0, "arrow")
+    return csd.select(F.col("recording_id").alias("candidate_id"),
+                      F.when(F.col("segment") == "fit", 0).otherwise(1).cast("bigint").alias("replicate"),
+                      "freq", "ch_i", "ch_j", "re", "im")
+
+
+def sensor_gain(spark: SparkSession, sf: str, floor: float = 2.0) -> DataFrame:
+    """gain(sensor, node_id, g, floored) of nations over suppliers."""
+    from ..operators import graph
+
+    return graph.sensor_source_gain(sensors(spark, sf), nodes(spark, sf), floor)
+
+
+SQL_VIEWS["fx_gain"] = (("fx_sensors", "fx_nodes"), """
+SELECT sensor, node_id, dot / r / power(greatest(d, 2.0::DOUBLE), 3) / (4 * pi()) AS g, d < 2.0 AS floored
+FROM (SELECT sensor, node_id, r, sqrt(mx * mx + my * my + mz * mz) AS d, ox * mx + oy * my + oz * mz AS dot
+  FROM (SELECT sensor, node_id, r, ox, oy, oz, ux * rad + cx - nx AS mx, uy * rad + cy - ny AS my, uz * rad + cz - nz AS mz
+    FROM (SELECT *, 1.05125::DOUBLE * max(r) OVER () AS rad
+          FROM (SELECT node_id, x AS nx, y AS ny, z AS nz, cx, cy, cz, x - cx AS ox, y - cy AS oy, z - cz AS oz,
+                       sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2) AS r
+                FROM fx_nodes CROSS JOIN (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM fx_nodes)))
+    CROSS JOIN (SELECT sensor, x / sqrt(x * x + y * y + z * z) AS ux, y / sqrt(x * x + y * y + z * z) AS uy,
+                       z / sqrt(x * x + y * y + z * z) AS uz FROM fx_sensors)))
+""")
