@@ -3,3 +3,4 @@
 from . import signal_queries  # noqa: F401
 from . import spectral_queries  # noqa: F401
 from . import graph_queries  # noqa: F401
+from . import feature_queries  # noqa: F401
