@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,15 +24,25 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "specframe")
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so the rows survive executor loss.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for cut lineage and staged tables.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where the
-    session names none, which is the single-machine test case.
+    It is the session's ``spark.checkpoint.dir``; a temporary one is set only where the session names
+    none, which is the single-machine test case.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder, so the rows survive executor loss."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path for a staged table in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
