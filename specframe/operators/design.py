@@ -67,12 +67,12 @@ def factorized_design(global_points: DataFrame, spatial_points: DataFrame, range
         mapped = [F.when(F.col("idx") == 0, F.lit(reference[c])).otherwise(from_unit(F.col(c), *ranges[c], c in log)).alias(c) for c in columns]
         return points.select(F.col("idx").alias(name), *mapped)
 
-    spatial = side(spatial_points, "s")
+    spatial = side(spatial_points, "_j")
     packed = spatial.agg(F.collect_list(F.struct(*spatial.columns)).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    rows = side(global_points, "g").join(F.broadcast(packed)).withColumn("_s", F.explode("_s"))
+    rows = side(global_points, "_i").join(F.broadcast(packed)).withColumn("_s", F.explode("_s"))
     names = [c for c in global_points.columns if c != "idx"] + [c for c in spatial_points.columns if c != "idx"]
     values = [F.lit(float(fixed[c])).alias(c) if c in fixed else (F.col(c) if c in global_points.columns else F.col(f"_s.{c}").alias(c)) for c in names]
-    return rows.select((F.col("g") * F.col("_n") + F.col("_s.s")).cast("bigint").alias("candidate_id"), *values)
+    return rows.select((F.col("_i") * F.col("_n") + F.col("_s._j")).cast("bigint").alias("candidate_id"), *values)
 
 
 def anchor_ranking(top_states: DataFrame, k: int) -> DataFrame:

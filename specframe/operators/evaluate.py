@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import correlation, hash_mod
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import global_running, hash_rank
+from ..session import durable
 
 
 def boundary_check(states: DataFrame, cost: str, ident: str, grids: dict[str, list[float]]) -> DataFrame:
@@ -38,7 +39,9 @@ def paired_bootstrap(paired: DataFrame, metrics: list[str], samples: int, seed:
 
     paired(entity_id, candidate_<m>, reference_<m>). Sample medians are exact whatever the number of entities.
     """
+    # The differences are read by the draws, the point estimate and the share: one stored copy.
     diffs = paired.select(key, F.lit("all").alias("grp"), *[(F.col(f"candidate_{m}") - F.col(f"reference_{m}")).alias(m) for m in metrics])
+    diffs = durable(diffs)
     drawn = draws(diffs, samples, seed, key=key).join(diffs.drop("grp"), key)
     repeated = drawn.select("b", *metrics, F.explode(F.sequence(F.lit(1), F.col("hits").cast("int"))).alias("_i"))
     estimates = exact_quantiles(repeated, ["b"], {m: [(0.5, m)] for m in metrics})
@@ -67,6 +70,7 @@ def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samp
         part = tables[name].where(F.col("grp").isin(first, second)).select("entity_id", "grp", "block", "coord", F.lit(i).alias("t"), "value")
         tagged = part if tagged is None else tagged.unionByName(part)
     packed = tagged.groupBy("entity_id", "grp").agg(F.array_sort(F.collect_list(F.struct("block", "coord", "t", "value"))).alias("z"))
+    packed = durable(packed)
     layout = packed.select(F.transform("z", lambda x: F.concat_ws("\t", x["block"], x["coord"].cast("string"), x["t"].cast("string"))).alias("n")).first()["n"]
     people = packed.select("entity_id", "grp")
     sizes = people.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
@@ -283,7 +287,7 @@ def network_topography(gain: DataFrame, nodes: DataFrame, topography: DataFrame,
     return spark.createDataFrame(rows, "kind string, block string, value double")
 
 
-def cv_group_signal(fit: DataFrame, unseen: DataFrame, repeats: int, outer: int, inner: int, top_k: list[int], strengths: list[float], seed: int) -> DataFrame:
+def cv_group_signal(fit: DataFrame, unseen: DataFrame, repeats: int, outer: int, inner: int, top_k: list[int], strengths: list[float], seed: int, iterations: int = 20) -> DataFrame:
     """(repeat, roc_auc, balanced_accuracy, brier) of a class-balanced logistic model trained on fit halves, scored on unseen halves.
 
     fit/unseen(entity_id, label, x) with x an array of features. Folds are stratified by label; inner folds pick the number of
@@ -307,11 +311,11 @@ def cv_group_signal(fit: DataFrame, unseen: DataFrame, repeats: int, outer: int,
     def model(train: DataFrame, k: int, strength: float):
         selector = UnivariateFeatureSelector(featuresCol="z", labelCol="label", outputCol="s", selectionMode="numTopFeatures")
         selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
-        logistic = LogisticRegression(featuresCol="s", labelCol="label", weightCol="weight", regParam=strength, maxIter=30)
+        logistic = LogisticRegression(featuresCol="s", labelCol="label", weightCol="weight", regParam=strength, maxIter=iterations)
         return Pipeline(stages=[StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True), selector, logistic]).fit(balanced(train))
 
     out = None
-    fit_rows, unseen_rows = prepared(fit), prepared(unseen)
+    fit_rows, unseen_rows = durable(prepared(fit)), durable(prepared(unseen))
     measure = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
     grid = [(k, s) for k in top_k for s in strengths]
     for repeat in range(repeats):
@@ -346,7 +350,8 @@ def learnability(features: DataFrame, parameters: DataFrame, names: list[str], f
     spans = parameters.agg(*[(F.max(n) - F.min(n)).alias(n) for n in names]).first()
     varying = [n for n in names if spans[n] is not None and spans[n] > 2.220446049250313e-16]
     rows = hash_rank(features.join(parameters, "candidate_id").withColumn("_g", F.lit(0)), ["_g"], seed, "candidate_id", "_r")
-    rows = rows.select("candidate_id", array_to_vector("x").alias("x"), *varying, ((F.col("_r") - 1) % folds).alias("fold")).persist()
+    rows = rows.select("candidate_id", array_to_vector("x").alias("x"), *varying, ((F.col("_r") - 1) % folds).alias("fold"))
+    rows = durable(rows)
     predicted = None
     for n in varying:
         for fold in range(folds):

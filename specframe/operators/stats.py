@@ -163,19 +163,21 @@ def top_states(posterior: DataFrame, k: int = 10) -> DataFrame:
 def weighted_quantile(df: DataFrame, value: str, weight: str, by: list[str], order_id: str, probabilities: dict[str, float]) -> DataFrame:
     """Interpolate value at the wanted cumulative weights; clamps below the first and above the last.
 
-    One window per entity over its states, whose number is the size of the bank.
+    Running sums go over range partitions, so a group of any size is spread over tasks; the two neighbours of each
+    wanted weight are then plain combinable extremes.
     """
-    order = Window.partitionBy(*by).orderBy(value, order_id)
-    cum = df.select(*by, F.col(value).alias("_v"), F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_c"),
-                    F.lag(value).over(order).alias("_pv"))
-    cum = cum.withColumn("_pc", F.lag("_c").over(Window.partitionBy(*by).orderBy("_c", "_v")))
+    rows = df.select(*by, value, order_id, weight)
+    cumulative = global_running(rows, [F.col(value).asc(), F.col(order_id).asc()], {"_c": weight}, by, "_r")
+    point = F.struct(F.col("_r").alias("r"), F.col("_c").alias("c"), F.col(value).cast("double").alias("v"))
+    extremes = cumulative.groupBy(*by).agg(*[
+        part for i, p in enumerate(probabilities.values())
+        for part in (F.max(F.when(F.col("_c") < p, point)).alias(f"_l{i}"), F.min(F.when(F.col("_c") >= p, point)).alias(f"_u{i}"))])
     out = []
-    for name, p in probabilities.items():
-        step = F.col("_pv") + (F.lit(p) - F.col("_pc")) * F.try_divide(F.col("_v") - F.col("_pv"), F.col("_c") - F.col("_pc"))
-        point = F.when(F.col("_pc").isNull(), F.col("_v")).otherwise(step)
-        hit = (F.col("_c") >= p) & (F.coalesce("_pc", F.lit(-1.0)) < p)
-        out.append(F.coalesce(F.max(F.when(hit, point)), F.max("_v")).alias(name))
-    return cum.groupBy(*by).agg(*out)
+    for i, (name, p) in enumerate(probabilities.items()):
+        low, high = F.col(f"_l{i}"), F.col(f"_u{i}")
+        between = low["v"] + (F.lit(p) - low["c"]) * (high["v"] - low["v"]) / (high["c"] - low["c"])
+        out.append(F.when(low.isNull(), high["v"]).when(high.isNull(), low["v"]).otherwise(between).alias(name))
+    return extremes.select(*by, *out)
 
 
 def representative_entity(fits: DataFrame, group: str, ratio: str, key: str = "entity_id") -> DataFrame:

@@ -151,7 +151,7 @@ def _labelled_arrays(spark, sf, segment):
 
 @query("cv_group_signal")
 def cv_group_signal(spark, sf):
-    out = evaluate.cv_group_signal(_labelled_arrays(spark, sf, "fit"), _labelled_arrays(spark, sf, "validation"), 1, 3, 2, [10], [0.003, 0.3], 1)
+    out = evaluate.cv_group_signal(_labelled_arrays(spark, sf, "fit"), _labelled_arrays(spark, sf, "validation"), 1, 3, 2, [10], [0.003, 0.3], 1, 8)
     return out.select("repeat", *[rnd(c, 4).alias(c) for c in ("roc_auc", "balanced_accuracy", "brier")])
 
 

@@ -83,6 +83,7 @@ def nested_evaluation(raw: DataFrame, bank: DataFrame, params: DataFrame, theta:
 
 def feature_audit(fit: DataFrame, unseen: DataFrame, bank: DataFrame, predicted: DataFrame, first: str, second: str, thresholds: dict[str, float]) -> DataFrame:
     """report(report, block, metric, value) of reliability, effect replication, axis coverage, preservation and the quality gate."""
+    fit, unseen, bank, predicted = durable(fit), durable(unseen), durable(bank), durable(predicted)
     both = fit.withColumn("segment", F.lit("fit")).unionByName(unseen.withColumn("segment", F.lit("validation")))
     tables = {
         "reliability": stats.reliability_summary(features.split_half_reliability(both, "fit", "validation", "coord", None),

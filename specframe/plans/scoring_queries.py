@@ -71,13 +71,14 @@ class Setup:
     """Inputs shared by the posterior queries: packed entities, packed states with priors, temperature, pooled mean."""
 
     def __init__(self, spark, sf, temperature: bool = True):
-        self.long, stat = scaled_entities(spark, sf)
-        self.states_long = state_features(spark, sf, stat)
+        long, stat = scaled_entities(spark, sf)
+        self.long = durable(long)
+        self.states_long = durable(state_features(spark, sf, stat))
         # Several small actions follow (temperature, pooled mean, bank); the texts are read for them once.
-        self.entities = durable(scoring.pack_entities(self.long, {"fit": "fit", "validation": "unseen"}))
-        self.params = views.bank_params(spark, sf)
+        self.entities = scoring.pack_entities(self.long, {"fit": "fit", "validation": "unseen"})
+        self.params = durable(views.bank_params(spark, sf))
         self.prior = scoring.prior_cost(self.params, TERMS)
-        self.states = durable(scoring.pack_states(self.states_long, self.params, THETA).join(self.prior, "candidate_id"))
+        self.states = scoring.pack_states(self.states_long, self.params, THETA).join(self.prior, "candidate_id")
         self.train = self.entities.where("split = 'train'")
         self.base = scoring.base_temperature(self.train) if temperature else None
 
@@ -146,19 +147,19 @@ def top_states(spark, sf):
 
 
 @query("weighted_quantile", """
-o AS (SELECT o_custkey AS g, o_totalprice / 1000.0 AS v, o_orderkey AS k, l_w AS w FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS l_w FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+o AS (SELECT o_custkey AS g, ln(o_totalprice) AS v, o_orderkey AS k, l_w AS w FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS l_w FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 n AS (SELECT g, v, k, sum(w) OVER (PARTITION BY g ORDER BY v, k ROWS UNBOUNDED PRECEDING) / sum(w) OVER (PARTITION BY g) AS c FROM o),
 l AS (SELECT *, lag(c) OVER (PARTITION BY g ORDER BY v, k) AS pc, lag(v) OVER (PARTITION BY g ORDER BY v, k) AS pv FROM n)
-SELECT g AS entity_id, round(coalesce(max(CASE WHEN c >= 0.05 AND coalesce(pc, -1) < 0.05 THEN CASE WHEN pc IS NULL THEN v ELSE pv + (0.05 - pc) * (v - pv) / (c - pc) END END), max(v)), 10) AS q05,
-       round(coalesce(max(CASE WHEN c >= 0.95 AND coalesce(pc, -1) < 0.95 THEN CASE WHEN pc IS NULL THEN v ELSE pv + (0.95 - pc) * (v - pv) / (c - pc) END END), max(v)), 10) AS q95 FROM l GROUP BY 1
+SELECT g AS entity_id, round(coalesce(max(CASE WHEN c >= 0.05 AND coalesce(pc, -1) < 0.05 THEN CASE WHEN pc IS NULL THEN v ELSE pv + (0.05 - pc) * (v - pv) / (c - pc) END END), max(v)), 6) AS q05,
+       round(coalesce(max(CASE WHEN c >= 0.95 AND coalesce(pc, -1) < 0.95 THEN CASE WHEN pc IS NULL THEN v ELSE pv + (0.95 - pc) * (v - pv) / (c - pc) END END), max(v)), 6) AS q95 FROM l GROUP BY 1
 """)
 def weighted_quantile(spark, sf):
     quantity = views.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("w"))
     rows = views.table(spark, sf, "orders").join(quantity, F.col("o_orderkey") == F.col("l_orderkey")).select(
-        F.col("o_custkey").alias("entity_id"), (F.col("o_totalprice") / 1000.0).alias("v"), F.col("o_orderkey").alias("k"), "w")
+        F.col("o_custkey").alias("entity_id"), F.ln("o_totalprice").alias("v"), F.col("o_orderkey").alias("k"), "w")
     total = rows.groupBy("entity_id").agg(F.sum("w").alias("t"))
     share = rows.join(total, "entity_id").withColumn("w", F.col("w") / F.col("t"))
-    return stats.weighted_quantile(share, "v", "w", ["entity_id"], "k", {"q05": 0.05, "q95": 0.95}).select("entity_id", rnd("q05", 10).alias("q05"), rnd("q95", 10).alias("q95"))
+    return stats.weighted_quantile(share, "v", "w", ["entity_id"], "k", {"q05": 0.05, "q95": 0.95}).select("entity_id", rnd("q05").alias("q05"), rnd("q95").alias("q95"))
 
 
 _PREDICTIVE = """
