@@ -94,7 +94,7 @@ SELECT recording_id, freq, ch_i, ch_j, round(re, 6) + 0.0 AS re, round(im, 6) +
 """
 
 
-def csd(spark, sf, method="native", samples=None):
+def csd(spark, sf, method="arrow", samples=None):
     return signal.cross_spectrum(samples if samples is not None else views.samples(spark, sf), FS, EPOCH_DAYS, 1.0, 11.0, 1.0, method)
 
 
@@ -104,7 +104,7 @@ def _csd_report(df):
 
 @query("cross_spectrum", _CSD_SQL, ("fx_csd",))
 def cross_spectrum(spark, sf):
-    return _csd_report(csd(spark, sf))
+    return _csd_report(csd(spark, sf, "native"))
 
 
 @query("cross_spectrum_arrow", _CSD_SQL, ("fx_csd",))

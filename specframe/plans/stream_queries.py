@@ -14,7 +14,7 @@ from .registry import query
 x AS (SELECT event_type AS channel, epoch_us(ts) AS us, value / 100.0 AS value FROM events),
 e AS (SELECT channel, (us // 86400000000 - k.k) AS day, us, value FROM x CROSS JOIN (VALUES (0), (1)) k(k))
 SELECT channel, CAST(day - 19723 AS BIGINT) AS epoch, count(*) AS n, round(avg(value), 6) AS mean, round(avg(value * value), 6) AS power
-FROM e GROUP BY 1, 2 HAVING (day + 2) * 86400000000 <= (SELECT max(us) FROM x) - 3600000000
+FROM e WHERE (day + 2) * 86400000000 <= (SELECT max(us) FROM x) - 3600000000 GROUP BY channel, day
 """)
 def stream_epoch_power_query(spark, sf):
     schema = views.table(spark, sf, "events").schema

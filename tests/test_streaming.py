@@ -22,7 +22,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_late_rows_are_dropped(spark, tmp_path):
     source = tmp_path / "in"
-    for i, seconds in enumerate(([0, 5, 90, 95], [1, 2, 200], [300])):
+    for i, seconds in enumerate(([0, 5, 90, 95], [100], [1, 2, 200], [300])):
         spark.createDataFrame([("a", s) for s in seconds], "k string, s int").select(
             "k", F.timestamp_seconds(F.lit(1700000000) + F.col("s")).alias("ts"), F.lit(1.0).alias("value")).coalesce(1).write.mode("append").parquet(str(source / f"b{i}"))
     rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(source))
