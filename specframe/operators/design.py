@@ -106,10 +106,9 @@ def adaptive_design(broad: DataFrame, bank: DataFrame, anchors: DataFrame, offse
     kept = dedupe_keep_first(reduce(DataFrame.unionByName, parts), names, 12, "_pos")
     fill = filler.select(F.struct(F.lit(2).alias("p"), F.col("idx").cast("bigint").alias("i")).alias("_pos"), F.lit("broad_fill").alias("origin"),
                          F.lit(None).cast("string").alias("anchor_id"), *names)
-    # The design is a list of n rows, n being what the caller asks for.
-    chosen = kept.unionByName(fill).orderBy("_pos").limit(n)
     order = [F.col("_pos.p").asc(), F.col("_pos.i").asc()]
-    return global_running(chosen, order, {}, name="_r").select((F.col("_r") - 1).alias("candidate_id"), "origin", "anchor_id", *names)
+    ranked = global_running(kept.unionByName(fill), order, {}, name="_r").where(F.col("_r") <= n)
+    return ranked.select((F.col("_r") - 1).alias("candidate_id"), "origin", "anchor_id", *names)
 
 
 def _literal_rows(name: str, values: list) -> Column:

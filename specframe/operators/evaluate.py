@@ -60,7 +60,7 @@ def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samp
 
     ``tables`` has observed, reference and candidate features(entity_id, grp, block, coord, value) over the same entities and
     coordinates. Each entity row carries its features as arrays and its draw weights (one per sample); tasks multiply
-    the two and emit samples x coordinates partial sums, so entity x sample x coordinate rows never exist.
+    the two and each emits one samples x coordinates sum, so entity x sample x coordinate rows never exist.
     """
     import numpy as np
 
@@ -80,6 +80,7 @@ def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samp
         (F.when(F.col("grp") == second, 1.0).otherwise(-1.0) / F.col("_n")).alias("sign"))
 
     def partial(batches):
+        total = None
         for pdf in batches:
             if not len(pdf):
                 continue
@@ -88,7 +89,9 @@ def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samp
                 matrix[np.asarray(b, dtype=int), i] = np.asarray(hits, dtype=float) * sign
                 matrix[samples, i] = sign
             sums = matrix @ np.stack(pdf["z"].to_numpy())
-            yield pd.DataFrame({"b": np.repeat(np.arange(samples + 1), sums.shape[1]), "i": np.tile(np.arange(sums.shape[1]), samples + 1), "v": sums.ravel()})
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pd.DataFrame({"b": np.repeat(np.arange(samples + 1), total.shape[1]), "i": np.tile(np.arange(total.shape[1]), samples + 1), "v": total.ravel()})
 
     effects = rows.mapInPandas(partial, "b int, i int, v double").groupBy("b", "i").agg(F.sum("v").alias("v"))
     label = F.split(F.element_at(F.array(*[F.lit(x) for x in layout]), F.col("i") + 1), "\t")

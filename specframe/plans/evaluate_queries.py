@@ -254,7 +254,7 @@ def read_dense_matrix(spark, sf):
     counts = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("c_custkey") == F.col("o_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = counts.groupBy("c_nationkey").agg(*[F.count_if(F.col("s_nationkey") == i).cast("string").alias(f"n{i}") for i in range(25)])
     path = stage_path(spark, "matrix")
-    rows.orderBy("c_nationkey").select(F.concat_ws(" ", *[f"n{i}" for i in range(25)]).alias("value")).coalesce(1).write.text(path)
+    rows.orderBy("c_nationkey").select(F.concat_ws(" ", *[f"n{i}" for i in range(25)]).alias("value")).write.text(path)
     return files.read_dense_matrix(spark, path, 25)
 
 

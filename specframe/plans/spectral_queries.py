@@ -306,7 +306,12 @@ def mechanistic_summary(spark, sf):
     return out.select(*[F.col(c) if c in exact else rnd(c).alias(c) for c in out.columns])
 
 
-@query("extract_collection")
+@query("extract_collection", """
+d AS (SELECT recording_id, max(grp) AS grp, (max(t) + 1) / 24.0::DOUBLE AS duration_days FROM fx_samples GROUP BY 1),
+c AS (SELECT recording_id // 2 AS recording_id, CASE recording_id % 2 WHEN 0 THEN 'fit' ELSE 'validation' END AS segment, freq, ch_i, ch_j, re, im, epoch_count FROM h2_csd
+      UNION ALL SELECT recording_id // 2, CASE recording_id % 2 WHEN 0 THEN 'rel_a' ELSE 'rel_b' END, freq, ch_i, ch_j, re, im, epoch_count FROM q4_csd)
+SELECT recording_id, grp, duration_days, segment, freq, ch_i, ch_j, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im, epoch_count FROM c JOIN d USING (recording_id)
+""", ("fx_samples", "h2_csd", "q4_csd"))
 def extract_collection(spark, sf):
     """All recordings to four segment collections, with the subject columns attached."""
     data = views.samples(spark, sf)

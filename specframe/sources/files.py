@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.ranking import global_running
 from ..operators.checks import finite, guard
 
 
@@ -30,12 +30,13 @@ def discover_files(spark: SparkSession, root: str, groups: list[str], pattern: s
 def read_dense_matrix(spark: SparkSession, path: str, n: int) -> DataFrame:
     """Whitespace-separated square matrix text -> edges(src, dst, value) without zeros; shape and finiteness are checked.
 
-    Rows keep their file order through the line offset, so a file split over tasks still numbers correctly.
+    Lines are numbered by (file, block offset, order in block), so text split over files and tasks keeps its row order.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    numbered = lines.rdd.zipWithIndex().map(lambda pair: (pair[1], pair[0][0])).toDF(T.StructType([
-        T.StructField("src", T.LongType()), T.StructField("line", T.StringType())]))
-    split = numbered.select("src", F.split(F.trim("line"), r"\s+").alias("cells"))
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    order = [F.col(c).asc() for c in ("_f", "_b", "_i")]
+    numbered = global_running(lines.where(F.trim("value") != ""), order, {}, name="_r")
+    split = numbered.select((F.col("_r") - 1).alias("src"), F.split(F.trim("value"), r"\s+").alias("cells"))
     shape = split.agg(F.count(F.lit(1)).alias("r"), F.min(F.size("cells")).alias("lo"), F.max(F.size("cells")).alias("hi")).where(
         (F.col("r") != n) | (F.col("lo") != n) | (F.col("hi") != n))
     cells = split.select("src", F.posexplode("cells").alias("dst", "text")).select(

@@ -374,3 +374,17 @@ FROM (SELECT sensor, node_id, r, sqrt(mx * mx + my * my + mz * mz) AS d, ox * mx
     CROSS JOIN (SELECT sensor, x / sqrt(x * x + y * y + z * z) AS ux, y / sqrt(x * x + y * y + z * z) AS uy,
                        z / sqrt(x * x + y * y + z * z) AS uz FROM fx_sensors)))
 """)
+
+# Segments of the recordings: halves (h2) and the quarters of the first half (q4), each with the spectral chain.
+SQL_VIEWS["h2_samples"] = (("fx_samples",), """
+SELECT recording_id * 2 + CASE WHEN t >= h THEN 1 ELSE 0 END AS recording_id, channel, CASE WHEN t >= h THEN t - h ELSE t END AS t, value
+FROM (SELECT *, (max(t) OVER () + 1) // 2 AS h FROM fx_samples)
+""")
+SQL_VIEWS["q4_samples"] = (("fx_samples",), """
+SELECT recording_id * 2 + CASE WHEN t >= q THEN 1 ELSE 0 END AS recording_id, channel, CASE WHEN t >= q THEN t - q ELSE t END AS t, value
+FROM (SELECT *, (max(t) OVER () + 1) // 2 AS h, (max(t) OVER () + 1) // 4 AS q FROM fx_samples) WHERE t < h
+""")
+for _name in ("epochs", "dft", "dft_ref", "csd"):
+    _deps, _text = SQL_VIEWS[f"fx_{_name}"]
+    for _prefix in ("h2_", "q4_"):
+        SQL_VIEWS[f"{_prefix}{_name}"] = (tuple(d.replace("fx_", _prefix) for d in _deps), _text.replace("fx_", _prefix))
