@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, near_dup, token_files, toxicity, url_filter
+from . import decontam, lm_score, mixing, near_dup, quality_model, token_files, toxicity, url_filter
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,10 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def _crc_mod(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
 @query("op1_mixing")
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -41,6 +45,15 @@ _STRICT = " OR ".join(_term_pattern(t) for t in url_filter.STRICT_TERMS)
 _SOFT = " + ".join(f"CAST({_term_pattern(t)} AS INT)" for t in url_filter.SOFT_TERMS)
 
 
+@query("op2_quality_model")
+def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(_crc_mod(5) == 0, F.lit(False))
+    stats = quality_model.statistics_table(table(spark, sf_dir, "documents"))
+    model = quality_model.fit(stats, table(spark, sf_dir, "labels"), ~held)
+    scored = stats.select("doc_id", held.alias("held_out"), quality_model.score_column(model, F.col("x")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality_model.CUT).cast("int"))
+
+
 @query("op3_url_filter", f"""
 WITH cut AS (
   SELECT page_id, url, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS raw FROM pages),
@@ -62,10 +75,6 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def _crc_mod(modulus: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
-
-
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), F.coalesce(_crc_mod(3) == 1, F.lit(False))
@@ -84,6 +93,15 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+@query("op9_lm_score")
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents labelled good; background: all documents."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    good = labels.filter("quality = 1").select("doc_id").distinct()
+    models = lm_score.fit(docs.join(good, "doc_id", "left_semi"), docs)
+    return lm_score.score_documents(docs, models)
+
+
 @query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
