@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lm_score, mixing, near_dup, quality_model, token_files, toxicity, url_filter
+from . import decontam, lm_score, mixing, near_dup, quality_model, quality_rules, token_files, toxicity, url_filter
 from .common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -93,6 +93,12 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+@query("op8_quality_rules")
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+
+
 @query("op9_lm_score")
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good; background: all documents."""
