@@ -15,15 +15,16 @@ Steps, each with its own shuffle of slim rows:
    Every member is paired with its hub only.
 3. Pairs whose sketches agree in fewer coordinates than a similarity at the threshold would give (six standard deviations
    of slack) go out; the others are confirmed on the full sets of both texts.
-4. Confirmed links are closed to components. Buckets whose members are now all in one component are finished; in the others
-   a second hub is tried, and what is then still apart is paired across components only. So no pair of
-   one bucket stays undecided, yet a large group of copies never becomes all its pairs.
+4. Confirmed links are closed to components. Buckets whose members are now all in one component are finished. Documents of the
+   others are dealt into blocks of bounded size, and every two blocks that buckets connect are compared inside one task by
+   sketches and full sets; only links that join two components leave it, and are confirmed like the others. So
+   no pair of one bucket stays undecided, yet a large group never becomes all its pairs.
 
 With 160 coordinates in 32 bands a pair at similarity 0.8 shares no bucket with probability 3e-6, at 0.85 with 9e-9.
 
 Defined results: a text with fewer than k words is one shingle, its whole sequence; a null text and one without words
 have size 0 and no link. Rows that share an id are one node: each row gets its own size and all get one component. A null id
-is never a representative: such a row has the component of the documents equal or similar to it, or null. Ties
+is never a representative: such a row has the component of the documents with an equal set, or null without one. Ties
 go to the smallest id. An empty table gives an empty result. Other columns are not read.
 """
 
@@ -43,6 +44,7 @@ from ..session import stage_path
 from .common import fresh
 
 COORDS, BANDS = 160, 32
+BLOCK = 2000  # documents; a task compares two blocks
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,6 +185,47 @@ def _similar(k: int, percent: int):
     return run
 
 
+def _spanning(k: int, percent: int):
+    limit = _most_differing(percent)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        ids, label, block, size = (pdf[c].to_numpy() for c in ("doc_id", "label", "block", "n_shingles"))
+        bands, signature = np.array(pdf["bands"].tolist()), np.array(pdf["signature"].tolist()).view(np.uint8)
+        sets = shingle_hashes(pdf["text"].tolist(), k)
+        numbers = np.unique(np.concatenate(sets)) if sets else np.zeros(0, dtype=np.uint64)
+        sets = [np.searchsorted(numbers, s) for s in sets]
+        own = np.zeros(len(numbers), dtype=bool)
+        label, found = label.copy(), []
+        crossing = pdf["low"].iloc[0] != pdf["high"].iloc[0]
+        for i in range(len(ids) - 1):
+            rest = slice(i + 1, None)
+            wanted = (label[rest] != label[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))
+            if crossing:
+                wanted &= block[rest] != block[i]
+            others = np.flatnonzero(wanted) + i + 1
+            others = others[(bands[others] == bands[i]).any(axis=1)]
+            others = others[(signature[others] != signature[i]).sum(axis=1) <= limit]
+            if len(others) == 0:
+                continue
+            own[sets[i]] = True
+            shared = np.array([np.count_nonzero(own[sets[j]]) for j in others])
+            own[sets[i]] = False
+            for j in others[100 * shared >= percent * (len(sets[i]) + size[others] - shared)].tolist():
+                if label[j] != label[i]:  # one link for each two components is enough
+                    found.append((ids[i], ids[j]))
+                    label[label == label[j]] = label[i]
+        return pd.DataFrame(found, columns=["src", "dst"], dtype="int64")
+
+    return run
+
+
+def _most_differing(percent: int) -> float:
+    """Differing coordinates that two sets at the threshold exceed with a probability of about 1e-9."""
+    j = percent / 100
+    return COORDS * (1 - j) + 6 * math.sqrt(COORDS * j * (1 - j)) + 1
+
+
 class _Search:
     """The state of one run: representatives, bucket members, confirmed links."""
 
@@ -213,9 +256,7 @@ class _Search:
         longs = COORDS // 8
         a = slim.select(F.col("doc_id").alias("src"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
         b = slim.select(F.col("doc_id").alias("dst"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-        j = self.percent / 100
-        slack = 6 * math.sqrt(COORDS * j * (1 - j)) + 1
-        near = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (_differing("sa", "sb", longs) <= COORDS * (1 - j) + slack)
+        near = (100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")) & (_differing("sa", "sb", longs) <= _most_differing(self.percent))
         likely = pairs.distinct().join(a, "src").join(b, "dst").filter(near).select("src", "dst")
         likely = _stored(likely.distinct(), "likely")
         left = self.texts.select(F.col("doc_id").alias("src"), F.col("text").alias("ta"))
@@ -229,19 +270,29 @@ class _Search:
 
     def links(self) -> DataFrame:
         members = self.members()
-        found, open_rows, hubs = None, members, None
-        for _ in range(2):
-            hub = open_rows.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("minus"))).alias("h")).select("bucket", (-F.col("h.minus")).alias("hub"))
-            pairs = open_rows.join(hub, "bucket").filter("doc_id <> hub").select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst"))
-            new = self.confirmed(pairs)
-            found = new if found is None else found.unionByName(new)
-            # The hub has met every open member of its bucket; buckets that have come together are finished.
-            rest = open_rows.join(hub, "bucket").filter("doc_id <> hub").drop("hub")
-            open_rows = _stored(self._apart(rest, self.labels(found)), "open")
-        a = open_rows.select("bucket", F.col("doc_id").alias("src"), F.col("label").alias("la"))
-        b = open_rows.select("bucket", F.col("doc_id").alias("dst"), F.col("label").alias("lb"))
-        across = a.join(b, "bucket").filter("src < dst AND la <> lb").select("src", "dst")
-        return found.unionByName(self.confirmed(across))
+        hub = members.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("minus"))).alias("h")).select("bucket", (-F.col("h.minus")).alias("hub"))
+        met = members.join(hub, "bucket").filter("doc_id <> hub")
+        found = self.confirmed(met.select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst")))
+        # The hub has met every member of its bucket; buckets that have come together are finished.
+        still_open = _stored(self._apart(met.select("bucket", "doc_id"), self.labels(found)), "open")
+        return found.unionByName(self.confirmed(self._across(still_open)))
+
+    def _across(self, still_open: DataFrame) -> DataFrame:
+        """Pairs that join what is still apart in the open buckets: a spanning set of links, found inside blocks.
+
+        Documents that open buckets connect make a cluster; a cluster is dealt into blocks of about BLOCK documents, and
+        a task gets two of its blocks. It looks at every pair that shares a bucket there and puts out only what links.
+        """
+        least = still_open.groupBy("bucket").agg(F.min("doc_id").alias("dst"))
+        edges = still_open.join(least, "bucket").filter("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst")
+        apart = still_open.select("doc_id", "label").distinct()
+        clusters = _stored(connected_components(apart.select(F.col("doc_id").alias("node_id")), edges), "clusters")
+        blocks = clusters.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        placed = apart.join(clusters.withColumnRenamed("node_id", "doc_id"), "doc_id").join(blocks, "component")
+        placed = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+        rows = placed.join(self.reps, "doc_id").join(self.texts, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "label", "n_shingles", "bands", "signature", "text")
+        return rows.groupBy("component", "low", "high").applyInPandas(_spanning(self.k, self.percent), "src long, dst long")
 
     def _apart(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """Rows of buckets that still hold more than one component, with the component as ``label``."""
