@@ -108,7 +108,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled good; background: all documents."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = labels.filter("quality = 1").select("doc_id").distinct()
+    # The labels grow with the corpus, so they are merged at every size and never broadcast.
+    good = labels.filter("quality = 1").select("doc_id").distinct().hint("merge")
     models = lm_score.fit(docs.join(good, "doc_id", "left_semi"), docs)
     return lm_score.score_documents(docs, models)
 

@@ -2,7 +2,7 @@
 
 Two zstandard dictionaries share a base, trained on windows of ordinary text. Each ends in a part of its own: the
 toxic one in a dictionary trained on what recurs in toxic documents and is new to ordinary ones (words with a run of
-``GRAM`` characters that no ordinary training document has), the ordinary one in a dictionary of the same size trained
+``GRAM`` characters that no ordinary training document has, which stand after many different words), the ordinary one in a dictionary of the same size trained
 on further ordinary windows. Because the base is common, most windows compress to the same length under both, and the
 gain (ordinary length - toxic length) of a window is large only where it holds toxic material.
 
@@ -13,7 +13,7 @@ there is moved to ``CUT``, so the score reads alike on every corpus.
 Fitting reads at most ``max_toxic`` and ``max_ordinary`` labelled documents, the first by hash of the id: a bounded
 sample whose size is a parameter. Scoring covers whole texts of all rows, without a shuffle.
 
-Defined results: null and empty texts have no window and get a low score from the same formula; without a labelled
+Defined results: a text without a window of some gain, so any null or empty text, scores 0; without a labelled
 document of both kinds every score is 0; repeated texts are used once for fitting; equal texts get equal scores; an empty
 table gives an empty result. Other columns pass by untouched.
 """
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -97,10 +97,16 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], seed: int = 7) ->
     known: set[str] = set()
     for word in {w for text in ordinary for w in text.lower().split()}:
         known |= _grams(f" {word} ")
-    new = [f" {w} " for text in toxic for w in sorted(set(text.lower().split())) if not _grams(f" {w} ") <= known]
-    seen_in = Counter(new)
+    after: dict[str, set[str]] = defaultdict(set)  # words in front of each new word: copies of one text give one
+    new = []
+    for text in toxic:
+        words = text.lower().split()
+        for before, word in zip(["", *words], words):
+            if not _grams(f" {word} ") <= known:
+                after[word].add(before)
+        new.extend(f" {w} " for w in sorted(set(words) & after.keys()))
     needed = max(2, math.ceil(0.01 * len(toxic)))
-    recurring = [w for w in new if seen_in[w] >= needed]
+    recurring = [w for w in new if len(after[w.strip()]) >= needed]
     rng.shuffle(recurring)
     samples = [" ".join(recurring[i : i + 8]).encode() for i in range(0, len(recurring), 8)]
     special = _trained(samples, OWN_BYTES, k=24, d=6) if samples else b""
@@ -140,7 +146,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> ToxicityModel | None:
     x = np.array([features(gains(t, a, b)) for t in [*toxic[cut_t:], *ordinary[cut_o:]]])
     y = np.array([1.0] * (len(toxic) - cut_t) + [0.0] * (len(ordinary) - cut_o))
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    x = np.column_stack([np.ones(len(x)), (x - centre) / spread])
+    x = np.column_stack([np.ones(len(x)), np.clip((x - centre) / spread, -4, 4)])
     weights = _logistic(x, y)
     weights[0] += math.log(CUT / (1 - CUT)) - best_cut(x @ weights, y)
     return ToxicityModel(with_toxic, with_ordinary, tuple(centre), tuple(spread), tuple(weights))
@@ -175,9 +181,10 @@ def score_column(model: ToxicityModel | None, text: Column) -> Column:
         rows = [features(gains(t or "", *ready)) for t in texts]
         if not rows:
             return pd.Series([], dtype="float64")
-        z = (np.array(rows) - np.array(model.centre)) / np.array(model.spread)
+        x = np.array(rows)
+        z = np.clip((x - np.array(model.centre)) / np.array(model.spread), -4, 4)
         value = z @ np.array(model.weights[1:]) + model.weights[0]
-        return pd.Series(1.0 / (1.0 + np.exp(-np.clip(value, -500, 500))))
+        return pd.Series(np.where(x[:, 0] < STEPS[0], 0.0, 1.0 / (1.0 + np.exp(-np.clip(value, -500, 500)))))
 
     return F.pandas_udf(score, "double")(text)
 
