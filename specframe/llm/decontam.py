@@ -2,7 +2,8 @@
 
 Words are lower-cased (A-Z) and lose ASCII punctuation. Every test item is cut into n-grams, and one pass over the
 corpus counts them. An item's seeds are its rare n-grams: those no more frequent than ``rare_share`` of all corpus
-n-grams, and in any case the rarer half of the item's own, so an item that leaked everywhere keeps seeds. A second pass finds
+n-grams, and in any case those up to ``SEED_FACTOR`` times the median of its own that occur, so an item that leaked
+everywhere keeps seeds. A second pass finds
 seeds in every whole text. Hits of one item on near diagonals form a place, and the item is aligned with the words of
 that place (match 2, mismatch -1, gap -1). The score is the local alignment over the score of a perfect copy; substituting
 a share e of the words costs 1.5 e. Pairs at ``threshold`` or above are returned.
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_WORDS = 500_000
+SEED_FACTOR = 4  # times the median count of an item's n-grams
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PUNCTUATION = string.punctuation.encode()
 RESULT = "doc_id long, item_id long, score double, first_word long, last_word long, n_seeds long"
@@ -114,8 +116,10 @@ class Index:
         """Mark the entries that are seeds, given the corpus count of each code."""
         per_entry = np.repeat(counts, np.diff(self.first))
         frame = pd.DataFrame({"item": self.entries[:, 0], "count": per_entry})
-        half = frame.groupby("item")["count"].transform("median").to_numpy() if len(frame) else per_entry
-        self.seed = per_entry <= np.maximum(half, rare)
+        # Only n-grams that occur can seed; the median of all would be 0 where most copies are edited alike.
+        middle = frame[frame["count"] > 0].groupby("item")["count"].median()
+        half = frame["item"].map(middle).fillna(0).to_numpy()
+        self.seed = per_entry <= np.maximum(SEED_FACTOR * half, rare)
         return self
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
@@ -130,12 +134,12 @@ class Index:
                     starts.setdefault(item, []).append(position - offset)
         out = []
         for item, begins in starts.items():
-            best = self._best_place(item, sorted(begins), ids)
+            best = self._best_place(item, sorted(begins), ids, threshold)
             if best[0] >= threshold:
                 out.append((item, *best, len(begins)))
         return out
 
-    def _best_place(self, number: int, begins: list[int], ids: np.ndarray) -> tuple[float, int, int]:
+    def _best_place(self, number: int, begins: list[int], ids: np.ndarray, threshold: float) -> tuple[float, int, int]:
         item = self.items[number]
         size, best = len(item), (-1.0, 0, 0)
         place_from = 0
@@ -149,6 +153,9 @@ class Index:
             slack = size // 2
             from_word = max(0, low - slack)
             place = ids[from_word : high + size + slack]
+            # A score takes at least that many words of the item.
+            if np.count_nonzero(np.isin(place, item)) < max(best[0], threshold) * size:
+                continue
             score, last = alignment(item, place)
             value = score / (MATCH * size)
             if value > best[0]:
