@@ -121,86 +121,81 @@ def check_bounds(candidates: DataFrame, ranges: dict[str, tuple[float, float]])
         **{f"{p}_finite": zero_count(f"f_{p}") for p in ranges}, **{f"{p}_in_range": zero_count(f"r_{p}") for p in ranges}})
 
 
-def check_bank(candidates: DataFrame, parameters: DataFrame, replicates: DataFrame, failures: DataFrame, bank: DataFrame,
-               names: list[str], fixed: list[str], summary: dict, backend: dict, expected: dict) -> DataFrame:
-    """The 26 checks on a stored bank, as checks(check, passed, observed, threshold).
-
-    candidates(candidate_id, <names>), parameters(candidate_id, parameter, value), replicates(candidate_id,
-    replicate), failures(candidate_id, replicate, error), bank(candidate_id, replicate, freq, ch_i, ch_j, re, im).
-    ``summary``, ``backend`` and ``expected`` are the small metadata records stored next to the bank. Each table
-    is reduced once; candidate ids are 0..n-1.
-    """
-    k, r, f, c = (expected[x] for x in ("candidates", "replicates", "frequencies", "channels"))
-    table = candidates.agg(
-        F.count(F.lit(1)).alias("n_cand"), F.count_if(F.greatest(*[F.abs(F.col(x)) for x in fixed], F.lit(0.0)) != 0).alias("moved"),
-        F.min("candidate_id").alias("id_lo"), F.max("candidate_id").alias("id_hi"), F.count_distinct("candidate_id").alias("id_n"))
-    long = candidates.select("candidate_id", F.explode(F.array(*[
-        F.struct(F.lit(x).alias("parameter"), F.col(x).cast("double").alias("v")) for x in names])).alias("p")).select(
-        "candidate_id", "p.parameter", "p.v")
-    matched = parameters.join(long, ["candidate_id", "parameter"], "full_outer").agg(
-        F.count("value").alias("n_par"), F.count_if(F.col("value").isNotNull() & ~finite("value")).alias("bad_par"),
-        F.count_if(~F.coalesce(F.abs(F.col("value") - F.col("v")) <= 1e-12, F.lit(False))).alias("unmatched"),
-        F.array_sort(F.collect_set("parameter")).alias("par_names"))
-    pairs = replicates.groupBy("candidate_id", "replicate").agg(F.count(F.lit(1)).alias("_c")).agg(
-        F.sum("_c").alias("n_rep"), F.count_if(F.col("_c") > 1).alias("dup_rep"),
-        F.count_if(F.col("candidate_id").between(0, k - 1) & F.col("replicate").between(0, r - 1)).alias("in_design"))
-    failed = failures.agg(F.count(F.lit(1)).alias("n_fail"))
-    cells = bank.groupBy("candidate_id", "replicate").agg(
-        F.count(F.lit(1)).alias("_c"), F.count_if(~finite("re") | ~finite("im")).alias("_bad")).agg(
-        F.count(F.lit(1)).alias("n_csd"), F.min("_c").alias("c_lo"), F.max("_c").alias("c_hi"), F.sum("_bad").alias("bad_csd"))
-    # Axis values are few: the distinct sets are reduced map-side before these arrays are built.
-    axes = bank.agg(F.array_sort(F.collect_set("freq")).alias("fr"), F.array_sort(F.collect_set("ch_i")).alias("chi"),
-                    F.array_sort(F.collect_set("ch_j")).alias("chj"))
-    row = table
-    for part in (matched, pairs, failed, cells, axes):
-        row = row.join(F.broadcast(part))
-    triangle = f * c * (c + 1) // 2
-
-    def same(value: bool) -> tuple[Column, Column, float]:
-        return F.lit(bool(value)), F.lit(float(bool(value))), 1.0
-
-    def equal(column: Column, target: float) -> tuple[Column, Column, float]:
-        return column == target, column, target
+def rule_rows(name: str, table: str, expected: int) -> dict:
+    """The table has ``expected`` rows; violations are the rows too many or too few."""
+    return {"name": name, "table": table, "value": F.abs(F.count(F.lit(1)) - expected)}
 
-    return tall_checks(row, {
-        "source_commit": same(summary.get("commit") == expected.get("commit")),
-        "candidate_hash": same(summary.get("candidate_sha256") == expected.get("candidate_sha256")),
-        "gain_hash_summary": same(summary.get("gain_sha256") == expected.get("gain_sha256")),
-        "gain_hash_backend": same(backend.get("gain_sha256") == expected.get("gain_sha256")),
-        "configured_gain_used": same(summary.get("gain_source") == backend.get("gain_source") == expected.get("gain_source")),
-        "candidate_count": equal(F.col("n_cand"), k), "replicate_count": equal(F.col("n_rep"), k * r),
-        "zero_failures": zero_count("n_fail"), "parameters_shape": equal(F.col("n_par"), k * len(names)),
-        "csd_shape": ((F.col("n_csd") == k * r) & (F.col("c_lo") == triangle) & (F.col("c_hi") == triangle), F.col("n_csd"), k * r),
-        "summary_parameters_shape": same(summary.get("parameters_shape") == [k, len(names)]),
-        "summary_csd_shape": same(summary.get("csd_shape") == [k, r, f, c, c]),
-        "arrays_finite": ((F.col("bad_par") == 0) & (F.col("bad_csd") == 0), F.col("bad_par") + F.col("bad_csd"), 0),
-        "summary_finite": same(summary.get("finite") is True),
-        "structural_fitting_disabled": same(summary.get("fit_structural") is False),
-        "structural_columns_zero": zero_count("moved"),
-        "summary_structural_columns_zero": same(summary.get("structural_columns") == [[0.0] * len(fixed)]),
-        "candidate_table_matches_bank": zero_count("unmatched"),
-        "candidate_indices_ordered": ((F.col("id_lo") == 0) & (F.col("id_hi") == k - 1) & (F.col("id_n") == k), F.col("id_n"), k),
-        "replicate_design_complete": ((F.col("dup_rep") == 0) & (F.col("in_design") == k * r), F.col("in_design"), k * r),
-        "frequency_axis": equal(F.size("fr"), f), "channel_axis": ((F.size("chi") == c) & (F.col("chi") == F.col("chj")), F.size("chi"), c),
-        "parameter_axis": (F.col("par_names") == F.array(*[F.lit(x) for x in sorted(names)]), F.size("par_names"), len(names)),
-        "gpu_backend": same(backend.get("device") == "gpu"), "backend_simulation_count": same(backend.get("simulations") == k * r),
-        "bank_file_size_summary": same(summary.get("bank_bytes") == expected.get("bank_bytes"))})
-
-
-def release_checks(candidates: DataFrame, replicates: DataFrame, failures: DataFrame, fixed: list[str], summary: dict,
-                   expected_candidates: int, expected_replicates: int) -> DataFrame:
-    """Summary-level checks before a release is frozen."""
-    row = candidates.agg(F.count(F.lit(1)).alias("n"),
-                         F.count_if(F.greatest(*[F.abs(F.col(x)) for x in fixed], F.lit(0.0)) != 0).alias("moved"))
-    for part in (replicates.agg(F.count(F.lit(1)).alias("r")), failures.agg(F.count(F.lit(1)).alias("f"))):
-        row = row.join(F.broadcast(part))
-    return tall_checks(row, {
-        "candidate_rows": (F.col("n") == expected_candidates, F.col("n"), expected_candidates),
-        "replicate_rows": (F.col("r") == expected_candidates * expected_replicates, F.col("r"), expected_candidates * expected_replicates),
-        "zero_failures": zero_count("f"), "fixed_columns_zero": zero_count("moved"),
-        "arrays_declared_finite": (F.lit(summary.get("finite") is True), F.lit(float(summary.get("finite") is True)), 1.0),
-        "structural_fitting_disabled": (F.lit(summary.get("fit_structural") is False), F.lit(float(summary.get("fit_structural") is False)), 1.0),
-        "status_recorded": (F.lit(summary.get("status") in ("accepted", "not_accepted")), F.lit(1.0), 1.0)})
+
+def rule_usable(name: str, table: str, columns: list[str]) -> dict:
+    """Every cell of the columns is a finite number; violations are the rows with one that is not."""
+    bad = F.lit(False)
+    for column in columns:
+        bad = bad | ~finite(F.col(column).cast("double"))
+    return {"name": name, "table": table, "value": F.count_if(bad)}
+
+
+def rule_held(name: str, table: str, column: str, value: float) -> dict:
+    """A column is ``value`` in every row; violations are the other rows, nulls among them."""
+    return {"name": name, "table": table, "value": F.count_if(~F.coalesce(F.col(column) == value, F.lit(False)))}
+
+
+def rule_once(name: str, table: str, keys: list[str], cells: int) -> dict:
+    """Every one of ``cells`` key combinations stands once; violations are repeats and missing combinations."""
+    def frame(tables: dict[str, DataFrame]) -> DataFrame:
+        each = tables[table].groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+        return each.agg((F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)) + F.greatest(F.lit(0), F.lit(cells) - F.count(F.lit(1)))).alias("v"))
+
+    return {"name": name, "frame": frame}
+
+
+def rule_agree(name: str, left: str, right: str, keys: list[str], column: str, tolerance: float) -> dict:
+    """Two tables hold the same keys with values no further apart than ``tolerance``; a key on one side only is a violation."""
+    def frame(tables: dict[str, DataFrame]) -> DataFrame:
+        a, b = (tables[t].select(*keys, F.col(column).cast("double").alias(f"_{side}")) for t, side in ((left, "a"), (right, "b")))
+        near = F.coalesce(F.abs(F.col("_a") - F.col("_b")) <= tolerance, F.lit(False))
+        return a.join(b, keys, "full_outer").agg(F.count_if(~near).alias("v"))
+
+    return {"name": name, "frame": frame}
+
+
+def rule_axis(name: str, table: str, column: str, order: str, expected: list) -> dict:
+    """The distinct values of a short axis, in the order of their first ``order``, are ``expected``; violations are unequal places."""
+    def frame(tables: dict[str, DataFrame]) -> DataFrame:
+        values = tables[table].groupBy(column).agg(F.min(order).alias("_o")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", column))), lambda x: x[column]).alias("_v"))
+        places = F.sequence(F.lit(0), F.greatest(F.size("_v"), F.lit(len(expected))) - 1)
+        wanted = F.array(*[F.lit(x) for x in expected])
+        return values.select(F.size(F.filter(places, lambda i: ~F.coalesce(F.get("_v", i) == F.get(wanted, i), F.lit(False)))).alias("v"))
+
+    return {"name": name, "frame": frame}
+
+
+def rule_recorded(name: str, record: dict, key: str, expected) -> dict:
+    """A metadata record carries ``key`` with the expected value; a missing entry, or nothing to expect, is a violation."""
+    return {"name": name, "fixed": int(expected is None or key not in record or record[key] != expected)}
+
+
+def check_tables(tables: dict[str, DataFrame], rules: list[dict]) -> DataFrame:
+    """checks(check, passed, observed, threshold) of a stored collection; observed counts violations and 0 passes.
+
+    Rules come from the ``rule_`` functions. Those that need one table row by row share one pass over it.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    parts, shared = [], {}
+    for rule in rules:
+        if "table" in rule:
+            shared.setdefault(rule["table"], []).append(rule)
+        elif "frame" in rule:
+            parts.append(rule["frame"](tables).select(F.lit(rule["name"]).alias("check"), F.col("v").cast("double").alias("observed")))
+        else:
+            parts.append(spark.range(1).select(F.lit(rule["name"]).alias("check"), F.lit(float(rule["fixed"])).alias("observed")))
+    for table, own in shared.items():
+        row = tables[table].agg(*[rule["value"].cast("double").alias(f"v{i}") for i, rule in enumerate(own)])
+        cells = F.array(*[F.struct(F.lit(rule["name"]).alias("check"), F.col(f"v{i}").alias("observed")) for i, rule in enumerate(own)])
+        parts.append(row.select(F.explode(cells).alias("c")).select("c.*"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("check", (F.col("observed") == 0).alias("passed"), "observed", F.lit(0.0).alias("threshold"))
 
 
 def align_models(reference: DataFrame, candidate: DataFrame, key: str, group: str, values: list[str]) -> DataFrame:

@@ -242,51 +242,73 @@ def nonneg_profile_fit(basis: DataFrame, profiles: DataFrame, pooled: dict[str,
     return packed.mapInPandas(solve, f"entity_id {kind}, rmse double, null_rmse double, ratio double")
 
 
-def network_topography(gain: DataFrame, nodes: DataFrame, topography: DataFrame, first: str, second: str) -> DataFrame:
+# Ridge of the block coefficients, as a share of the mean diagonal of the share products; a fixed value.
+TOPOGRAPHY_RIDGE = 0.05
+
+
+def block_shares(gain: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(sensor, block, share): part of a sensor's squared gain that comes from a block's nodes, less the block's mean over the sensors."""
+    power = gain.join(nodes.select("node_id", "block"), "node_id").groupBy("sensor", "block").agg(F.sum(F.col("g") * F.col("g")).alias("_p"))
+    totals = power.groupBy("sensor").agg(F.sum("_p").alias("_t"))
+    share = power.join(totals, "sensor").select("sensor", "block", F.coalesce(F.try_divide("_p", "_t"), F.lit(0.0)).alias("_s"))
+    level = share.groupBy("block").agg(F.avg("_s").alias("_m"))
+    return share.join(level, "block").select("sensor", "block", (F.col("_s") - F.col("_m")).alias("share"))
+
+
+def _square(rows: list, names: list[str], first: str, second: str, value: str):
+    """A names x names matrix from the rows of a block-pair table."""
+    import numpy as np
+
+    place = {n: i for i, n in enumerate(names)}
+    out = np.zeros((len(names), len(names)))
+    for r in rows:
+        out[place[r[first]], place[r[second]]] = r[value]
+    return out
+
+
+def network_topography(gain: DataFrame, nodes: DataFrame, topography: DataFrame, first: str, second: str, train: DataFrame | None = None) -> DataFrame:
     """Which blocks explain sensor topographies: report(kind, block, value).
 
-    Kinds: ``effect_correlation`` and ``effect_coefficient`` per block, ``mode_1``/``mode_2`` coefficients (weighted-centred, largest
-    absolute value 1), and, with block NULL, ``explained_1``, ``explained_2`` and ``multivariate_correlation``.
-    topography(entity_id, grp, sensor, value). Sensors x blocks and blocks x blocks matrices are solved on the driver; entities only enter
-    through join-aggregates and co-moments.
+    Kinds: ``effect_correlation`` (of a block's shares with the contrast ``second`` - ``first`` over the sensors; NULL if either is
+    constant) and ``effect_coefficient`` per block; ``mode_1``/``mode_2`` coefficients (mean 0 over the nodes, largest absolute value 1);
+    and, with block NULL, ``explained_1``, ``explained_2`` and ``multivariate_correlation``. topography(entity_id, grp, sensor,
+    value); only ids in ``train`` count if it is given. Entities only enter through aggregates: block products, block coefficients
+    and their co-moments are block x block tables, and these alone are solved on the driver.
     """
     import numpy as np
 
     spark = gain.sparkSession
-    power = gain.join(nodes.select("node_id", "block"), "node_id").groupBy("sensor", "block").agg(F.sum(F.col("g") * F.col("g")).alias("p")).collect()
-    sensors, blocks = sorted({r["sensor"] for r in power}), sorted({r["block"] for r in power})
-    shares = np.zeros((len(sensors), len(blocks)))
-    for r in power:
-        shares[sensors.index(r["sensor"]), blocks.index(r["block"])] = r["p"]
-    shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1e-300)
-    shares -= shares.mean(axis=0, keepdims=True)
-    gram = shares.T @ shares
-    solver = shares @ np.linalg.inv(gram + 0.05 * np.trace(gram) / len(blocks) * np.eye(len(blocks)))
-    weights = spark.createDataFrame([(s, *[float(v) for v in solver[i]]) for i, s in enumerate(sensors)], "sensor string, " + ", ".join(f"b{j} double" for j in range(len(blocks))))
-    coefficients = topography.join(F.broadcast(weights), "sensor").groupBy("entity_id").agg(*[F.sum(F.col("value") * F.col(f"b{j}")).alias(f"b{j}") for j in range(len(blocks))])
-    pairs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks))]
-    row = coefficients.agg(*[F.covar_pop(f"b{i}", f"b{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
-    covariance = np.zeros((len(blocks), len(blocks)))
-    for i, j in pairs:
-        covariance[i, j] = covariance[j, i] = row[f"c{i}_{j}"]
-    values, vectors = np.linalg.eigh(covariance)
-    values, vectors = values[::-1], vectors[:, ::-1]
+    if train is not None:
+        topography = topography.join(train.select("entity_id").distinct(), "entity_id", "left_semi")
+    shares = durable(block_shares(gain, nodes))
     sizes = {r["block"]: r["n"] for r in nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
+    names = sorted(sizes)
+    other = shares.select("sensor", F.col("block").alias("block2"), F.col("share").alias("share2"))
+    products = _square(shares.join(other, "sensor").groupBy("block", "block2").agg(F.sum(F.col("share") * F.col("share2")).alias("v")).collect(), names, "block", "block2", "v")
+    # Projecting a map on the shares and then solving in block space is the same as one sensor x block solver, with B x B numbers only.
+    inverse = np.linalg.inv(products + TOPOGRAPHY_RIDGE * np.trace(products) / len(names) * np.eye(len(names)))
+    projected = topography.join(shares, "sensor").groupBy("entity_id", "block").agg(F.sum(F.col("value") * F.col("share")).alias("c"))
+    again = projected.select("entity_id", F.col("block").alias("block2"), F.col("c").alias("c2"))
+    moments = _square(projected.join(again, "entity_id").groupBy("block", "block2").agg(F.covar_pop("c", "c2").alias("v")).collect(), names, "block", "block2", "v")
+    strength, direction = np.linalg.eigh(inverse @ moments @ inverse)
     rows: list[tuple] = []
-    for m in range(min(2, len(blocks))):
-        mode = vectors[:, m] - np.average(vectors[:, m], weights=[sizes[b] for b in blocks])
-        mode = mode / np.abs(mode).max()
-        mode = mode * np.sign(mode[np.abs(mode).argmax()])
-        rows += [(f"mode_{m + 1}", b, float(mode[i])) for i, b in enumerate(blocks)] + [(f"explained_{m + 1}", None, float(values[m] / values.sum()))]
-
-    def mean(g: str) -> Column:
-        return F.avg(F.when(F.col("grp") == g, F.col("value")))
-
-    contrast = {r["sensor"]: r["d"] for r in topography.groupBy("sensor").agg((mean(second) - mean(first)).alias("d")).collect()}
-    effect = np.array([contrast[s] for s in sensors])
-    fit = np.linalg.lstsq(shares, effect, rcond=None)[0]
-    rows += [("effect_correlation", b, float(np.corrcoef(shares[:, i], effect)[0, 1])) for i, b in enumerate(blocks)]
-    rows += [("effect_coefficient", b, float(fit[i])) for i, b in enumerate(blocks)] + [("multivariate_correlation", None, float(np.corrcoef(shares @ fit, effect)[0, 1]))]
+    for m in range(1, min(2, len(names)) + 1):
+        mode = direction[:, -m]
+        mode = mode - sum(mode[i] * sizes[n] for i, n in enumerate(names)) / sum(sizes.values())
+        peak = mode[np.abs(mode).argmax()]
+        rows += [(f"mode_{m}", n, float(mode[i] / peak) if peak else None) for i, n in enumerate(names)]
+        rows.append((f"explained_{m}", None, float(strength[-m] / strength.sum()) if strength.sum() > 0 else None))
+    side = [F.avg(F.when(F.col("grp") == g, F.col("value"))) for g in (first, second)]
+    contrast = durable(topography.groupBy("sensor").agg((side[1] - side[0]).alias("d")))
+    seen = shares.join(contrast, "sensor")
+    single = seen.groupBy("block").agg(correlation(F.col("share"), F.col("d")).alias("value"), F.sum(F.col("share") * F.col("d")).alias("v"))
+    per_block = {r["block"]: r for r in single.collect()}
+    weight = np.linalg.pinv(products) @ np.array([per_block[n]["v"] if n in per_block else 0.0 for n in names])
+    table = spark.createDataFrame([(n, float(w)) for n, w in zip(names, weight)], "block string, w double")
+    fitted = seen.join(table, "block").groupBy("sensor").agg(F.sum(F.col("share") * F.col("w")).alias("f"), F.first("d").alias("d"))
+    rows += [("effect_correlation", n, per_block[n]["value"] if n in per_block else None) for n in names]
+    rows += [("effect_coefficient", n, float(w)) for n, w in zip(names, weight)]
+    rows.append(("multivariate_correlation", None, fitted.agg(correlation(F.col("f"), F.col("d"))).first()[0]))
     return spark.createDataFrame(rows, "kind string, block string, value double")
 
 

@@ -96,46 +96,68 @@ def check_bounds(spark, sf):
     return _checks(checks.check_bounds(views.candidates(spark, sf), _BOUNDS))
 
 
-_META = {"commit": "c0", "candidate_sha256": "h0", "gain_sha256": "h1", "gain_source": "regional", "bank_bytes": 7}
-_TRUE_CHECKS = ("source_commit candidate_hash gain_hash_summary gain_hash_backend configured_gain_used summary_parameters_shape summary_csd_shape summary_finite "
-                "structural_fitting_disabled summary_structural_columns_zero gpu_backend backend_simulation_count bank_file_size_summary").split()
-
-
-def _bank_tables(spark, sf):
-    bank = views.bank_csd(spark, sf)
-    decade = F.floor(F.regexp_extract("props", r"(\d+)", 1).cast("bigint") / 10).cast("bigint").alias("candidate_id")
-    candidates = views.table(spark, sf, "events").groupBy(decade).agg(F.avg("value").alias("p1")).withColumn("p2", F.lit(0.0))
-    parameters = candidates.select("candidate_id", F.expr("stack(2, 'p1', p1, 'p2', p2) AS (parameter, value)"))
-    replicates = candidates.select("candidate_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("replicate"))
-    failures = replicates.where("replicate > 1").withColumn("error", F.lit(""))
-    return candidates, parameters, replicates, failures, bank
-
-
-@query("check_bank", """
-cells AS (SELECT recording_id, count(*) AS n FROM bk_csd GROUP BY 1),
-v AS (SELECT (SELECT count(DISTINCT recording_id) FROM fx_bank_samples) AS k, (SELECT count(*) FROM cells) AS kr, (SELECT count(*) FROM cells WHERE n <> 165) AS off,
-        (SELECT count(*) FROM bk_csd WHERE isnan(re) OR isnan(im)) AS bad, (SELECT count(DISTINCT freq) FROM bk_csd) AS f, (SELECT count(DISTINCT ch_i) FROM bk_csd) AS c)
-""" + "\nUNION ALL ".join([f"SELECT '{n}' AS \"check\", true AS passed, 1.0::DOUBLE AS observed, 1.0::DOUBLE AS threshold" for n in _TRUE_CHECKS]) + "\nUNION ALL " + _sql_checks([
-    ("candidate_count", "k = 10", "k", "10"), ("replicate_count", "k * 2 = 20", "k * 2", "20"), ("zero_failures", "true", "0", "0"), ("parameters_shape", "k * 2 = 20", "k * 2", "20"),
-    ("csd_shape", "kr = 20 AND off = 0", "kr", "20"), ("arrays_finite", "bad = 0", "bad", "0"), ("structural_columns_zero", "true", "0", "0"),
-    ("candidate_table_matches_bank", "true", "0", "0"), ("candidate_indices_ordered", "k = 10", "k", "10"), ("replicate_design_complete", "k * 2 = 20", "k * 2", "20"),
-    ("frequency_axis", "f = 11", "f", "11"), ("channel_axis", "c = 5", "c", "5"), ("parameter_axis", "true", "2", "2")], "FROM v"), ("fx_bank_samples", "bk_csd"))
-def check_bank(spark, sf):
-    expected = {**_META, "candidates": 10, "replicates": 2, "frequencies": 11, "channels": 5}
-    summary = {**_META, "parameters_shape": [10, 2], "csd_shape": [10, 2, 11, 5, 5], "finite": True, "fit_structural": False, "structural_columns": [[0.0]]}
-    backend = {**_META, "device": "gpu", "simulations": 20}
-    return _checks(checks.check_bank(*_bank_tables(spark, sf), ["p1", "p2"], ["p2"], summary, backend, expected))
+# The stored collection of these checks: parts as candidates, line items as replicates, part prices as seen in the line items. Its
+# defects are those of the data: sizes of 50, prices off the list, one order status too many, a line number that some orders lack.
+
+
+def _collection(spark, sf):
+    part, line, orders = (views.table(spark, sf, t) for t in ("part", "lineitem", "orders"))
+    priced = F.col("l_extendedprice") / F.col("l_quantity")
+    return {
+        "candidates": part.select(F.col("p_partkey").alias("candidate_id"), "p_size", "p_retailprice", F.when(F.col("p_size") == 50, 1.0).otherwise(0.0).alias("offset")),
+        "prices": part.select(F.col("p_partkey").alias("candidate_id"), F.col("p_retailprice").alias("value")),
+        "seen": line.groupBy(F.col("l_partkey").alias("candidate_id")).agg(F.avg(priced).alias("value")),
+        "replicates": line.select("l_orderkey", "l_linenumber", F.when(F.col("l_quantity") > 49, float("nan")).otherwise(F.col("l_extendedprice")).alias("value")),
+        "statuses": orders.select("o_orderstatus", "o_orderkey"), "nations": views.table(spark, sf, "nation")}
+
+
+def _record(spark, sf):
+    """Metadata as a writer would have kept it: counted from the tables, with one entry left out."""
+    return {"nations": views.table(spark, sf, "nation").count(), "regions": views.table(spark, sf, "region").count()}
 
 
-@query("release_checks", """
-v AS (SELECT count(DISTINCT CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT) // 10) AS k FROM events)
-""" + _sql_checks([("candidate_rows", "k = 10", "k", "10"), ("replicate_rows", "k * 2 = 20", "k * 2", "20"), ("zero_failures", "true", "0", "0"),
-                   ("fixed_columns_zero", "true", "0", "0"), ("arrays_declared_finite", "true", "1", "1"), ("structural_fitting_disabled", "true", "1", "1"),
-                   ("status_recorded", "true", "1", "1")], "FROM v"))
+_SEEN = "seen AS (SELECT l_partkey AS candidate_id, avg(l_extendedprice / l_quantity) AS value FROM lineitem GROUP BY 1)"
+_LINES = "lines AS (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY 1, 2)"
+
+
+def _violations(rows):
+    return "\nUNION ALL ".join(f"SELECT '{n}' AS \"check\", v = 0 AS passed, CAST(v AS DOUBLE) AS observed, 0.0::DOUBLE AS threshold FROM (SELECT ({q}) AS v)" for n, q in rows)
+
+
+@query("check_bank", f"{_SEEN}, {_LINES}," + """
+st AS (SELECT o_orderstatus AS s, row_number() OVER (ORDER BY min(o_orderkey)) AS i FROM orders GROUP BY 1),
+v AS (""" + _violations([
+    ("candidates_present", "SELECT abs(count(*) - 2000) FROM part"), ("offset_is_zero", "SELECT count(*) FROM part WHERE p_size = 50"), ("candidates_usable", "SELECT count(*) FROM part WHERE p_size IS NULL OR p_retailprice IS NULL"),
+    ("values_usable", "SELECT count(*) FROM lineitem WHERE l_quantity > 49"),
+    ("lines_once", "SELECT sum(c - 1) + greatest(0, (SELECT 7 * count(DISTINCT o_orderkey) FROM orders) - count(*)) FROM lines"),
+    ("prices_agree", "SELECT count(*) FROM (SELECT p_partkey AS k, p_retailprice AS a FROM part) p FULL JOIN seen ON k = candidate_id WHERE NOT coalesce(abs(a - value) <= 400, false)"),
+    ("status_axis", "SELECT greatest((SELECT count(*) FROM st), 3) - count(*) FROM st JOIN (VALUES (1, 'O'), (2, 'F'), (3, 'P')) e(i, s) ON e.i = st.i AND e.s = st.s"),
+    ("nation_axis", "SELECT count(*) FROM nation WHERE n_nationkey NOT BETWEEN 0 AND 24"), ("nations_recorded", "SELECT CAST(count(*) <> 25 AS INT) FROM nation"),
+    ("regions_recorded", "SELECT CAST(count(*) <> 6 AS INT) FROM region"), ("checksum_recorded", "SELECT 1")]) + """)
+SELECT * FROM v""")
+def check_bank(spark, sf):
+    """Eleven rules over a stored collection; the data breaks several of them."""
+    tables, record = _collection(spark, sf), _record(spark, sf)
+    orders = tables["statuses"].select("o_orderkey").distinct().count()
+    return _checks(checks.check_tables(tables, [
+        checks.rule_rows("candidates_present", "candidates", 2000), checks.rule_held("offset_is_zero", "candidates", "offset", 0.0), checks.rule_usable("candidates_usable", "candidates", ["p_size", "p_retailprice"]),
+        checks.rule_usable("values_usable", "replicates", ["value"]), checks.rule_once("lines_once", "replicates", ["l_orderkey", "l_linenumber"], 7 * orders), checks.rule_agree("prices_agree", "prices", "seen", ["candidate_id"], "value", 400.0),
+        checks.rule_axis("status_axis", "statuses", "o_orderstatus", "o_orderkey", ["O", "F", "P"]), checks.rule_axis("nation_axis", "nations", "n_nationkey", "n_nationkey", list(range(25))),
+        checks.rule_recorded("nations_recorded", record, "nations", 25), checks.rule_recorded("regions_recorded", record, "regions", 6), checks.rule_recorded("checksum_recorded", record, "checksum", "none")]))
+
+
+@query("release_checks", f"{_LINES}," + """
+v AS (""" + _violations([
+    ("order_rows", "SELECT abs(count(*) - 15000) FROM orders"), ("no_pending_orders", "SELECT count(*) FROM orders WHERE o_orderstatus = 'P'"), ("lines_once", "SELECT sum(c - 1) + greatest(0, (SELECT count(*) FROM lineitem) - count(*)) FROM lines"),
+    ("prices_usable", "SELECT count(*) FROM orders WHERE o_totalprice IS NULL OR isnan(o_totalprice)"), ("regions_recorded", "SELECT CAST(count(*) <> 5 AS INT) FROM region"), ("approval_recorded", "SELECT 1")]) + """)
+SELECT * FROM v""")
 def release_checks(spark, sf):
-    candidates, _, replicates, failures, _ = _bank_tables(spark, sf)
-    summary = {"finite": True, "fit_structural": False, "status": "accepted"}
-    return _checks(checks.release_checks(candidates, replicates, failures, ["p2"], summary, 10, 2))
+    """What must hold before a collection is handed on."""
+    orders, line = views.table(spark, sf, "orders"), views.table(spark, sf, "lineitem")
+    tables, record = {"orders": orders.withColumn("pending", F.when(F.col("o_orderstatus") == "P", 1).otherwise(0)), "lines": line}, _record(spark, sf)
+    return _checks(checks.check_tables(tables, [
+        checks.rule_rows("order_rows", "orders", 15000), checks.rule_held("no_pending_orders", "orders", "pending", 0), checks.rule_once("lines_once", "lines", ["l_orderkey", "l_linenumber"], line.count()),
+        checks.rule_usable("prices_usable", "orders", ["o_totalprice"]), checks.rule_recorded("regions_recorded", record, "regions", 5), checks.rule_recorded("approval_recorded", record, "approval", "yes")]))
 
 
 @query("read_dimension", """

@@ -93,31 +93,35 @@ def test_subset_align_and_oof_reject_bad_ids(spark):
         checks.fail_if_any(df, df).collect()
 
 
-def bank_tables(spark, shift=0.0):
-    names = ["p1", "p2"]
+def stored(spark, shift=0.0):
     candidates = spark.createDataFrame([(0, 1.5, 0.0), (1, 2.5, shift)], "candidate_id bigint, p1 double, p2 double")
-    parameters = spark.createDataFrame([(0, "p1", 1.5), (0, "p2", 0.0), (1, "p1", 2.5), (1, "p2", shift)], "candidate_id bigint, parameter string, value double")
-    replicates = spark.createDataFrame([(k, r) for k in range(2) for r in range(2)], "candidate_id bigint, replicate bigint")
-    failures = replicates.where("false").withColumn("error", F.lit(""))
-    cells = [(k, r, float(f), i, j, 1.0, 0.0) for k in range(2) for r in range(2) for f in (2, 3, 4) for i in "ab" for j in "ab" if i <= j]
-    bank = spark.createDataFrame(cells, "candidate_id bigint, replicate bigint, freq double, ch_i string, ch_j string, re double, im double")
-    meta = {"commit": "c", "candidate_sha256": "h", "gain_sha256": "g", "gain_source": "s", "bank_bytes": 5}
-    summary = {**meta, "parameters_shape": [2, 2], "csd_shape": [2, 2, 3, 2, 2], "finite": True, "fit_structural": False, "structural_columns": [[0.0]]}
-    return [candidates, parameters, replicates, failures, bank, names, ["p2"], summary, {**meta, "device": "gpu", "simulations": 4},
-            {**meta, "candidates": 2, "replicates": 2, "frequencies": 3, "channels": 2}]
-
-
-def test_bank_checker_passes_and_pinpoints_changes(spark):
-    rows = checks.check_bank(*bank_tables(spark)).collect()
-    assert len(rows) == 26 and all(r["passed"] for r in rows)
-    moved = {r["check"] for r in checks.check_bank(*bank_tables(spark, 0.1)).collect() if not r["passed"]}
-    assert moved == {"structural_columns_zero"}
-    tables = bank_tables(spark)
-    tables[4] = tables[4].withColumn("re", F.when((F.col("freq") == 3) & (F.col("ch_i") != F.col("ch_j")) & (F.col("candidate_id") == 1) & (F.col("replicate") == 0), float("nan")).otherwise(F.col("re")))
-    assert {r["check"] for r in checks.check_bank(*tables).collect() if not r["passed"]} == {"arrays_finite"}
-    tables = bank_tables(spark)
-    tables[2] = tables[2].where("NOT (candidate_id = 1 AND replicate = 1)")
-    assert {r["check"] for r in checks.check_bank(*tables).collect() if not r["passed"]} == {"replicate_count", "replicate_design_complete"}
+    table = spark.createDataFrame([(0, 1.5), (1, 2.5)], "candidate_id bigint, p1 double")
+    cells = spark.createDataFrame([(k, r, float(f), 1.0) for k in range(2) for r in range(2) for f in (2, 3, 4)], "candidate_id bigint, replicate bigint, freq double, re double")
+    return {"candidates": candidates, "table": table, "cells": cells}
+
+
+def stored_rules(record):
+    return [checks.rule_rows("two", "candidates", 2), checks.rule_held("still", "candidates", "p2", 0.0), checks.rule_agree("same", "candidates", "table", ["candidate_id"], "p1", 1e-12),
+            checks.rule_usable("usable", "cells", ["re"]), checks.rule_once("once", "cells", ["candidate_id", "replicate", "freq"], 12), checks.rule_axis("axis", "cells", "freq", "freq", [2.0, 3.0, 4.0]),
+            checks.rule_recorded("noted", record, "hash", "h")]
+
+
+def failing(tables, record=None):
+    return {r["check"]: r["observed"] for r in checks.check_tables(tables, stored_rules({"hash": "h"} if record is None else record)).collect() if not r["passed"]}
+
+
+def test_stored_checks_pass_and_pinpoint_changes(spark):
+    tables = stored(spark)
+    assert checks.check_tables(tables, stored_rules({"hash": "h"})).count() == 7 and failing(tables) == {}
+    assert failing(stored(spark, 0.1)) == {"still": 1.0}
+    assert failing(tables, {}) == {"noted": 1.0} and failing(tables, {"hash": None}) == {"noted": 1.0}
+    assert checks.rule_recorded("x", {}, "hash", None)["fixed"] == 1
+    broken = {**tables, "cells": tables["cells"].withColumn("re", F.when(F.col("freq") == 3, float("nan")).otherwise(F.col("re")))}
+    assert failing(broken) == {"usable": 4.0}
+    assert failing({**tables, "cells": tables["cells"].where("NOT (candidate_id = 1 AND replicate = 1)")}) == {"once": 3.0}
+    assert failing({**tables, "cells": tables["cells"].union(tables["cells"].where("candidate_id = 0"))}) == {"once": 6.0}
+    assert failing({**tables, "table": tables["table"].where("candidate_id = 0")}) == {"same": 1.0}
+    assert failing({**tables, "cells": tables["cells"].withColumn("freq", F.when(F.col("freq") == 4, 9.0).otherwise(F.col("freq")))}) == {"axis": 1.0}
 
 
 def test_factorized_design_repeats_both_sides(spark):
