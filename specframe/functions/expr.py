@@ -33,8 +33,8 @@ def hash_hex(seed, *parts) -> Column:
 
 
 def hash_mod(modulus, seed, *parts) -> Column:
-    """First eight hex digits of the hash as an integer, modulo ``modulus``."""
-    return F.conv(F.substring(hash_hex(seed, *parts), 1, 8), 16, 10).cast("bigint") % modulus
+    """First fifteen hex digits of the hash (60 bits) as an integer, modulo ``modulus``."""
+    return F.conv(F.substring(hash_hex(seed, *parts), 1, 15), 16, 10).cast("bigint") % modulus
 
 
 def correlation(x, y, on_constant: float | None = None) -> Column:

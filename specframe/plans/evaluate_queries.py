@@ -17,25 +17,35 @@ from .signal_queries import csd
 
 
 def both_models(spark, sf):
-    """Customers scored by both models, one column per metric and model."""
-    costs = views.model_costs(spark, sf)
-    wide = costs.groupBy("entity_id", "grp", "model").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in ("total", "spatial", "spectral")])
-    complete = wide.where("total IS NOT NULL AND spatial IS NOT NULL AND spectral IS NOT NULL")
-    paired = complete.groupBy("entity_id").agg(F.count_distinct("model").alias("n")).where("n = 2").select("entity_id")
-    kept = complete.join(paired, "entity_id", "left_semi")
-    return kept.where("model = 'F'").drop("model"), kept.where("model = 'O'").drop("model")
+    """Customers scored by both models, one column per metric and model.
+
+    Model F is a customer's finished orders, model O the others. Where a customer has no order of a kind, the mean of the model
+    stands in, and where the model has none, the mean of all its orders: every customer with an order is compared.
+    """
+    orders = views.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("entity_id"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("O").alias("model"),
+        (F.col("o_orderpriority") < "3").alias("urgent"), (F.col("o_totalprice") / 100000.0).alias("v"))
+    own = lambda m, kind=None: F.avg(F.when((F.col("model") == m) & (F.lit(True) if kind is None else F.col("urgent") == kind), F.col("v")))
+    means = orders.groupBy("entity_id").agg(F.avg("v").alias("all"), *[f.alias(f"{m}_{n}") for m in "FO" for n, f in (("total", own(m)), ("spatial", own(m, True)), ("spectral", own(m, False)))])
+    people = views.people(spark, sf).select("entity_id", "grp")
+
+    def side(m):
+        total = F.coalesce(f"{m}_total", "all")
+        return means.join(people, "entity_id").select("entity_id", "grp", total.alias("total"), *[F.coalesce(F.col(f"{m}_{n}"), total).alias(n) for n in ("spatial", "spectral")])
+
+    return side("F"), side("O")
 
 
 _PAIRED = """
-wd AS (SELECT entity_id, grp, model, max(value) FILTER (metric = 'total') AS total, max(value) FILTER (metric = 'spatial') AS spatial, max(value) FILTER (metric = 'spectral') AS spectral FROM fx_costs GROUP BY 1, 2, 3),
-cp AS (SELECT * FROM wd WHERE total IS NOT NULL AND spatial IS NOT NULL AND spectral IS NOT NULL),
-pr AS (SELECT f.entity_id, f.grp, f.total AS rt, o.total AS ct, f.spatial AS rs, o.spatial AS cs, f.spectral AS rp, o.spectral AS cpp FROM cp f JOIN cp o ON f.entity_id = o.entity_id AND f.model = 'F' AND o.model = 'O')
+cs AS (SELECT o_custkey AS entity_id, avg(o_totalprice / 100000.0) AS al, avg(o_totalprice / 100000.0) FILTER (o_orderstatus = 'F') AS ft, avg(o_totalprice / 100000.0) FILTER (o_orderstatus <> 'F') AS ot,
+         avg(o_totalprice / 100000.0) FILTER (o_orderstatus = 'F' AND o_orderpriority < '3') AS fs, avg(o_totalprice / 100000.0) FILTER (o_orderstatus <> 'F' AND o_orderpriority < '3') AS os FROM orders GROUP BY 1),
+pr AS (SELECT entity_id, grp, coalesce(ft, al) AS rt, coalesce(ot, al) AS ct, coalesce(fs, ft, al) AS rs, coalesce(os, ot, al) AS cs FROM cs JOIN fx_people USING (entity_id))
 """
 
 
 @query("align_models", _PAIRED + """
 SELECT entity_id, grp, round(rt, 11) AS reference_total, round(ct, 11) AS candidate_total, round(rs, 11) AS reference_spatial, round(cs, 11) AS candidate_spatial FROM pr
-""", ("fx_costs",))
+""", ("fx_people",))
 def align_models(spark, sf):
     out = checks.align_models(*both_models(spark, sf), "entity_id", "grp", ["total", "spatial"])
     return out.select(*[rnd(c, 11).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
@@ -43,11 +53,11 @@ def align_models(spark, sf):
 
 @query("paired_bootstrap", _PAIRED + """,
 d AS (SELECT entity_id, ct - rt AS total, cs - rs AS spatial, row_number() OVER (ORDER BY md5('5:' || entity_id), entity_id) - 1 AS j, count(*) OVER () AS n FROM pr),
-s AS (SELECT b.b, CAST(('0x' || substr(md5('5:' || b.b || ':all:' || j), 1, 8)) AS BIGINT) % n AS j FROM d CROSS JOIN (SELECT unnest(range(60)) AS b) b),
+s AS (SELECT b.b, CAST(('0x' || substr(md5('5:' || b.b || ':all:' || j), 1, 15)) AS BIGINT) % n AS j FROM d CROSS JOIN (SELECT unnest(range(60)) AS b) b),
 m AS (SELECT b, median(total) AS total, median(spatial) AS spatial FROM s JOIN d ON d.j = s.j GROUP BY 1)
 SELECT 'total' AS metric, (SELECT round(median(total), 6) FROM d) AS median_difference, round(quantile_cont(total, 0.025), 6) AS low, round(quantile_cont(total, 0.975), 6) AS high, (SELECT round(avg(CASE WHEN total < 0 THEN 1.0 ELSE 0.0 END), 6) FROM d) AS share_improved FROM m
 UNION ALL SELECT 'spatial', (SELECT round(median(spatial), 6) FROM d), round(quantile_cont(spatial, 0.025), 6), round(quantile_cont(spatial, 0.975), 6), (SELECT round(avg(CASE WHEN spatial < 0 THEN 1.0 ELSE 0.0 END), 6) FROM d) FROM m
-""", ("fx_costs",))
+""", ("fx_people",))
 def paired_bootstrap(spark, sf):
     paired = checks.align_models(*both_models(spark, sf), "entity_id", "grp", ["total", "spatial"])
     out = evaluate.paired_bootstrap(paired, ["total", "spatial"], 60, 5)
@@ -57,7 +67,7 @@ def paired_bootstrap(spark, sf):
 _DRAWS = """
 en AS (SELECT DISTINCT entity_id, grp FROM {source}),
 ix AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5('{seed}:' || entity_id), entity_id) - 1 AS j, count(*) OVER (PARTITION BY grp) AS n FROM en),
-sl AS (SELECT b.b, grp, CAST(('0x' || substr(md5('{seed}:' || b.b || ':' || grp || ':' || j), 1, 8)) AS BIGINT) % n AS j FROM ix CROSS JOIN (SELECT unnest(range({samples})) AS b) b),
+sl AS (SELECT b.b, grp, CAST(('0x' || substr(md5('{seed}:' || b.b || ':' || grp || ':' || j), 1, 15)) AS BIGINT) % n AS j FROM ix CROSS JOIN (SELECT unnest(range({samples})) AS b) b),
 ht AS (SELECT s.b, x.entity_id, x.grp, x.n, count(*) AS hits FROM sl s JOIN ix x ON x.grp = s.grp AND x.j = s.j GROUP BY 1, 2, 3, 4)
 """
 
@@ -103,7 +113,7 @@ m AS (SELECT round(median(ct / rt), 6) AS total, round(avg(CASE WHEN ct < rt THE
 g AS (SELECT 'total_below_null' AS "check", total AS observed, 1.0::DOUBLE AS threshold, total < 1.0 AS passed FROM m UNION ALL SELECT 'majority_beat_null', share, 0.5, share > 0.5 FROM m
   UNION ALL SELECT 'spatial_below_null', spatial, 1.0, spatial < 1.0 FROM m UNION ALL SELECT 'effect_preserved', correlation, 0.3, correlation >= 0.3 FROM m UNION ALL SELECT 'parameters_recoverable', NULL, 3.0, false)
 SELECT "check", observed, threshold, passed, CASE WHEN bool_and(passed) OVER () THEN 'accepted' ELSE 'not_accepted' END AS status FROM g
-""", ("fx_costs",))
+""", ("fx_people",))
 def acceptance_gates(spark, sf):
     from ..functions.expr import correlation
     from ..functions.quantiles import exact_quantiles
@@ -233,15 +243,20 @@ def feature_audit(spark, sf):
 # --- files -------------------------------------------------------------------------------------------
 
 
-@query("discover_files")
-def discover_files(spark, sf):
-    root, group = sf.rstrip("/").rsplit("/", 1)
-    return files.discover_files(spark, root, [group], "*.parquet", 5)
+_LISTED = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@query("artifact_manifest")
-def artifact_manifest(spark, sf):
-    return files.artifact_manifest(spark, sf.rstrip("/"))
+@query("discover_files", "\nUNION ALL ".join(f"SELECT '{t}' AS entity_id, count(*) AS n FROM {t}" for t in _LISTED))
+def discover_files(spark, sf):
+    """Every table of the folder is discovered, and its rows are read and counted."""
+    root, group = sf.rstrip("/").rsplit("/", 1)
+    found = files.discover_files(spark, root, [group], "*.parquet")
+    counted = [views.table(spark, sf, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("entity_id"), "n") for t in _LISTED]
+    out = counted[0]
+    for part in counted[1:]:
+        out = out.unionByName(part)
+    known = found.select(F.regexp_extract("path", r"/(\w+)\.parquet", 1).alias("entity_id")).distinct()
+    return out.join(known, "entity_id", "left_semi")
 
 
 @query("read_dense_matrix", """

@@ -124,8 +124,7 @@ def _letter_rates(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Letter rates of whole texts. One Arrow pass over a batch replaces 26 scans of every text by string functions."""
     counts = F.pandas_udf(letter_counts, "array<bigint>")("part")
     return (
-        texts.where(F.length("part") > 0)
-        .select(*keys, F.length("part").alias("_n"), counts.alias("_c"))
+        texts.select(*keys, F.greatest(F.length("part"), F.lit(1)).alias("_n"), counts.alias("_c"))
         .select(*keys, "_n", F.posexplode("_c").alias("coord", "_k"))
         .select(*keys, F.col("coord").cast("bigint").alias("coord"), (F.col("_k").cast("double") / F.col("_n")).alias("value"))
     )
@@ -142,7 +141,7 @@ def letter_segments(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("rel_b").alias("segment"),
                  F.substring("text", quarter + 1, half - quarter).alias("raw")))
     texts = (
-        table(spark, sf, "documents").where(F.length("text") >= 8)
+        table(spark, sf, "documents").where(F.col("text").isNotNull())
         .select(F.col("doc_id").alias("entity_id"), F.explode(parts).alias("p"))
         .select("entity_id", "p.segment", F.lower("p.raw").alias("part"))
     )
@@ -177,11 +176,12 @@ def bank(spark: SparkSession, sf: str) -> DataFrame:
 
 def bank_params(spark: SparkSession, sf: str) -> DataFrame:
     """bank_params(candidate_id, p1, p2, p3), each about -1..1."""
-    length = F.length("text").cast("double")
-    spaces = length - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    vowels = length - F.length(F.replace(F.replace("text", F.lit("e"), F.lit("")), F.lit("o"), F.lit("")))
+    whole = F.length("text")
+    spaces = whole - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    vowels = whole - F.length(F.replace(F.replace("text", F.lit("e"), F.lit("")), F.lit("o"), F.lit("")))
+    length = F.greatest(whole, F.lit(1)).cast("double")  # an empty text has no letters of any kind
     return (
-        table(spark, sf, "documents").where(F.length("text") >= 8)
+        table(spark, sf, "documents").where(F.col("text").isNotNull())
         .groupBy(F.concat_ws("/", "lang", "source").alias("candidate_id"))
         .agg((F.avg(F.ln(length)) / 5.0 - 1.0).alias("p1"), (F.avg(spaces / length) * 10.0 - 1.5).alias("p2"),
              (F.avg(vowels / length) * 5.0 - 0.7).alias("p3"))
@@ -258,14 +258,13 @@ SELECT n_name AS sensor, cos(n_nationkey * 0.9::DOUBLE) * 6.0 AS x, sin(n_nation
 """)
 SQL_VIEWS["fx_letter_segments"] = ((), """
 SELECT entity_id, segment, CAST(c AS BIGINT) AS coord,
-       CAST(length(part) - length(replace(part, chr(CAST(97 + c AS INTEGER)), '')) AS DOUBLE) / length(part) AS value
+       CAST(length(part) - length(replace(part, chr(CAST(97 + c AS INTEGER)), '')) AS DOUBLE) / greatest(length(part), 1) AS value
 FROM (SELECT doc_id AS entity_id, segment, lower(part) AS part FROM (
-        SELECT doc_id, 'fit' AS segment, substring(text, 1, length(text) // 2) AS part FROM documents WHERE length(text) >= 8
-        UNION ALL SELECT doc_id, 'validation', substring(text, length(text) // 2 + 1) FROM documents WHERE length(text) >= 8
-        UNION ALL SELECT doc_id, 'rel_a', substring(text, 1, length(text) // 4) FROM documents WHERE length(text) >= 8
-        UNION ALL SELECT doc_id, 'rel_b', substring(text, length(text) // 4 + 1, length(text) // 2 - length(text) // 4)
-                  FROM documents WHERE length(text) >= 8)) p
-CROSS JOIN (SELECT unnest(range(26)) AS c) WHERE length(part) > 0
+        SELECT doc_id, 'fit' AS segment, substring(text, 1, length(text) // 2) AS part FROM documents
+        UNION ALL SELECT doc_id, 'validation', substring(text, length(text) // 2 + 1) FROM documents
+        UNION ALL SELECT doc_id, 'rel_a', substring(text, 1, length(text) // 4) FROM documents
+        UNION ALL SELECT doc_id, 'rel_b', substring(text, length(text) // 4 + 1, length(text) // 2 - length(text) // 4) FROM documents)) p
+CROSS JOIN (SELECT unnest(range(26)) AS c) WHERE part IS NOT NULL
 """)
 SQL_VIEWS["fx_entities"] = ((), """
 SELECT doc_id AS entity_id, 'q' || quality AS grp, CASE WHEN toxic = 1 THEN 'holdout' ELSE 'train' END AS split FROM labels
@@ -280,10 +279,10 @@ SELECT lang || '/' || source AS candidate_id, CAST(CASE WHEN segment = 'fit' THE
 FROM fx_letter_segments JOIN documents ON doc_id = entity_id WHERE segment IN ('fit', 'validation') GROUP BY 1, 2, 3
 """)
 SQL_VIEWS["fx_bank_params"] = ((), """
-SELECT lang || '/' || source AS candidate_id, avg(ln(length(text))) / 5.0 - 1.0 AS p1,
-       avg((length(text) - length(replace(text, ' ', ''))) / CAST(length(text) AS DOUBLE)) * 10.0 - 1.5 AS p2,
-       avg((length(text) - length(replace(replace(text, 'e', ''), 'o', ''))) / CAST(length(text) AS DOUBLE)) * 5.0 - 0.7 AS p3
-FROM documents WHERE length(text) >= 8 GROUP BY 1
+SELECT lang || '/' || source AS candidate_id, avg(ln(greatest(length(text), 1))) / 5.0 - 1.0 AS p1,
+       avg((length(text) - length(replace(text, ' ', ''))) / CAST(greatest(length(text), 1) AS DOUBLE)) * 10.0 - 1.5 AS p2,
+       avg((length(text) - length(replace(replace(text, 'e', ''), 'o', ''))) / CAST(greatest(length(text), 1) AS DOUBLE)) * 5.0 - 0.7 AS p3
+FROM documents WHERE text IS NOT NULL GROUP BY 1
 """)
 SQL_VIEWS["fx_candidates"] = ((), """
 SELECT p_partkey AS candidate_id, CAST(p_size AS DOUBLE) AS p1, p_retailprice AS p2,
