@@ -55,7 +55,7 @@ def exact_quantiles(df: DataFrame, by: list[str], values: dict[str, list[tuple[f
     kept = kept.withColumn("_cum", F.sum("_c").over(running))
     match = [F.col(f"k.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     ranked = kept.alias("k").join(bases.alias("b"), match).select(
-        *[F.col(f"k.{k}") for k in keys], "k._x", "k._i", "b._n",
+        *[F.col(f"k.{k}") for k in keys], "k._x", "k._c", "k._i", "b._n",
         (F.col("k._cum") + F.element_at("b._below", F.col("k._i") + 1)).alias("_upto"),
         F.element_at(F.array(*[F.lit(p) for p in probabilities]), F.col("k._i") + 1).alias("_p"))
     position = F.col("_p") * (F.col("_n") - 1)
@@ -63,8 +63,13 @@ def exact_quantiles(df: DataFrame, by: list[str], values: dict[str, list[tuple[f
     points = ranked.groupBy(*keys, "_i").agg(
         F.min(F.when(F.col("_upto") > F.col("_lo"), F.col("_x"))).alias("_a"),
         F.min(F.when(F.col("_upto") > F.least(F.col("_lo") + 1, F.col("_n") - 1), F.col("_x"))).alias("_z"),
-        F.first("_frac").alias("_frac"))
-    points = points.withColumn("_value", F.col("_a") + F.col("_frac") * (F.col("_z") - F.col("_a")))
+        F.first("_frac").alias("_frac"),
+        # The first kept row must not lie beyond the wanted rank with rows missing below it.
+        (F.min("_upto") - F.min_by("_c", "_x") <= F.first("_lo")).alias("_first"))
+    # A bracket that missed its order statistic would give NULL or a wrong value: fail instead.
+    held = points["_a"].isNotNull() & points["_z"].isNotNull() & points["_first"]
+    value = F.col("_a") + F.col("_frac") * (F.col("_z") - F.col("_a"))
+    points = points.withColumn("_value", F.when(held, value).otherwise(F.raise_error(F.lit("a quantile bracket missed its rank")).cast("double")))
     columns = []
     for n, wanted in values.items():
         for p, alias in wanted:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import correlation, hash_mod
+from ..functions.packing import declared_axis, dense
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import global_running, hash_rank
 from ..session import durable
@@ -70,13 +71,15 @@ def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samp
         part = tables[name].where(F.col("grp").isin(first, second)).select("entity_id", "grp", "block", "coord", F.lit(i).alias("t"), "value")
         tagged = part if tagged is None else tagged.unionByName(part)
     packed = tagged.groupBy("entity_id", "grp").agg(F.array_sort(F.collect_list(F.struct("block", "coord", "t", "value"))).alias("z"))
-    packed = durable(packed)
-    layout = packed.select(F.transform("z", lambda x: F.concat_ws("\t", x["block"], x["coord"].cast("string"), x["t"].cast("string"))).alias("n")).first()["n"]
+    order = ["block", "coord", "t"]
+    axis = declared_axis(tagged, order)
+    layout = axis.select(F.transform("_axis", lambda x: F.concat_ws("\t", x["block"], x["coord"].cast("string"), x["t"].cast("string"))).alias("n")).first()["n"]
+    packed = durable(dense(packed, {"z": "z"}, axis, order, "entity_id"))
     people = packed.select("entity_id", "grp")
     sizes = people.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
     weights = draws(people, samples, seed).groupBy("entity_id").agg(F.collect_list(F.struct("b", "hits")).alias("w"))
     rows = packed.join(weights, "entity_id", "left").join(F.broadcast(sizes), "grp").select(
-        F.col("z.value").alias("z"), F.coalesce(F.col("w.b"), F.array().cast("array<int>")).alias("b"), F.coalesce(F.col("w.hits"), F.array().cast("array<bigint>")).alias("hits"),
+        "z", F.coalesce(F.col("w.b"), F.array().cast("array<int>")).alias("b"), F.coalesce(F.col("w.hits"), F.array().cast("array<bigint>")).alias("hits"),
         (F.when(F.col("grp") == second, 1.0).otherwise(-1.0) / F.col("_n")).alias("sign"))
 
     def partial(batches):
@@ -197,14 +200,43 @@ def binary_metrics(scores: DataFrame) -> DataFrame:
     return auc.join(F.broadcast(plain))
 
 
+def nonnegative_weights(design, target):
+    """Least-squares weights without a negative one: columns join by steepest gain and leave when they would turn negative.
+
+    At the end the gradient of every unused column is at most 0 and that of every used one is 0, which is the condition
+    for the optimum.
+    """
+    import numpy as np
+
+    columns = design.shape[1]
+    used, weights = np.zeros(columns, dtype=bool), np.zeros(columns)
+    slack = 1e-10 * max(1.0, float(np.abs(design).max() * np.abs(target).max()) * len(target))
+    for _ in range(10 * columns):
+        gain = design.T @ (target - design @ weights)
+        gain[used] = -np.inf
+        if used.all() or gain.max() <= slack:
+            break
+        used[gain.argmax()] = True
+        while True:
+            trial = np.zeros(columns)
+            trial[used] = np.linalg.lstsq(design[:, used], target, rcond=None)[0]
+            falling = used & (trial <= 0)
+            if not falling.any():
+                weights = trial
+                break
+            step = (weights[falling] / (weights[falling] - trial[falling] + 1e-300)).min()
+            weights = weights + step * (trial - weights)
+            weights[falling & (weights <= 1e-12)] = 0.0
+            used &= weights > 0
+    return weights
+
+
 def nonneg_profile_fit(basis: DataFrame, profiles: DataFrame, pooled: dict[str, float]) -> DataFrame:
     """(entity_id, rmse, null_rmse, ratio): non-negative fit of the basis plus a constant to each fit profile, scored unseen.
 
-    basis(sensor, block, value) is a small shared table; profiles(entity_id, segment, sensor, value). All supports of the few columns
-    are tried at once as matrix products over a batch of entities, which gives the exact non-negative optimum.
+    basis(sensor, block, value) is a small shared table; profiles(entity_id, segment, sensor, value). The weights
+    come from an active-set search per entity, so the basis may have any number of columns.
     """
-    import itertools
-
     import numpy as np
 
     cells = basis.collect()
@@ -212,14 +244,10 @@ def nonneg_profile_fit(basis: DataFrame, profiles: DataFrame, pooled: dict[str,
     design = np.ones((len(sensors), len(blocks) + 1))
     for r in cells:
         design[sensors.index(r["sensor"]), blocks.index(r["block"])] = r["value"]
-    if design.shape[1] > 12:
-        raise ValueError("the basis has too many columns for the exhaustive search")
-    supports = [list(s) for k in range(1, design.shape[1] + 1) for s in itertools.combinations(range(design.shape[1]), k)]
-    inverses = [np.linalg.pinv(design[:, s]) for s in supports]
     null = np.array([pooled[s] for s in sensors])
     value = F.struct("sensor", "value")
-    packed = profiles.groupBy("entity_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("segment") == s, value))).alias(n) for s, n in (("fit", "f"), ("validation", "u"))]).select(
-        "entity_id", F.col("f.value").alias("fit"), F.col("u.value").alias("unseen"))
+    packed = profiles.groupBy("entity_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("segment") == s, value))).alias(n) for s, n in (("fit", "f"), ("validation", "u"))])
+    packed = dense(packed, {"f": "fit", "u": "unseen"}, declared_axis(profiles, ["sensor"], sensors), ["sensor"], "entity_id")
     kind = dict(profiles.dtypes)["entity_id"]
 
     def solve(batches):
@@ -227,13 +255,7 @@ def nonneg_profile_fit(basis: DataFrame, profiles: DataFrame, pooled: dict[str,
             if not len(pdf):
                 continue
             target, unseen = np.stack(pdf["fit"].to_numpy()), np.stack(pdf["unseen"].to_numpy())
-            best, error = np.zeros((len(pdf), len(sensors))), (target * target).sum(axis=1)
-            for support, inverse in zip(supports, inverses):
-                weights = target @ inverse.T
-                fitted = weights @ design[:, support].T
-                residual = ((fitted - target) ** 2).sum(axis=1)
-                better = (weights >= -1e-12).all(axis=1) & (residual < error - 1e-15)
-                best[better], error[better] = fitted[better], residual[better]
+            best = np.stack([design @ nonnegative_weights(design, row) for row in target])
             level = best.mean(axis=1, keepdims=True)
             best = np.divide(best, level, out=np.zeros_like(best), where=level > 0)
             rmse, base = np.sqrt(((best - unseen) ** 2).mean(axis=1)), np.sqrt(((null - unseen) ** 2).mean(axis=1))

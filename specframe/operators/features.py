@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.packing import declared_axis, dense
 from ..functions.expr import correlation
 from .checks import guard
 
@@ -78,9 +79,10 @@ def select_edges_by_band(reliability: DataFrame, bands: list[str], threshold: fl
 
 
 def pack(features: DataFrame, keys: list[str], name: str = "f") -> DataFrame:
-    """One dense array per entity, ordered by (block, coord) where present."""
+    """One dense array per entity, ordered by (block, coord) where present; an entity with a missing coordinate is an error."""
     order = [c for c in ("block", "coord") if c in features.columns]
-    return features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "value"))).alias("_z")).select(*keys, F.col("_z.value").alias(name))
+    packed = features.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, "value"))).alias("_z"))
+    return dense(packed, {"_z": name}, declared_axis(features, order), order, keys[0])
 
 
 def pca_scores(standard: DataFrame, k: int) -> tuple[DataFrame | None, DataFrame]:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions.expr import correlation, ratio
+from ..functions.packing import declared_axis, dense
 from ..functions.quantiles import exact_quantiles
 
 
@@ -23,17 +24,17 @@ def squared_distance(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
 
-def pack_entities(features: DataFrame, segments: dict[str, str]) -> DataFrame:
-    """One row per entity with an array per segment, ordered by coordinate; entities lacking a segment are dropped.
+def pack_entities(features: DataFrame, segments: dict[str, str], axis: list | None = None) -> DataFrame:
+    """One row per entity with an array per segment, ordered by coordinate.
 
-    ``segments`` maps segment -> array name.
+    ``segments`` maps segment -> array name. Every array must hold the declared coordinates (``axis``, or all that occur) once
+    each; a gap, or an entity without a segment, is an error that names the entity.
     """
     arrays = [F.array_sort(F.collect_list(F.when(F.col("segment") == s, F.struct("coord", "value")))).alias(f"_{name}") for s, name in segments.items()]
     extra = [c for c in ("grp", "split") if c in features.columns]
-    packed = features.where(F.col("segment").isin(*segments)).groupBy("entity_id", *extra).agg(*arrays)
-    for name in segments.values():
-        packed = packed.where(F.size(f"_{name}") > 0)
-    return packed.select("entity_id", *extra, *[F.col(f"_{n}.value").alias(n) for n in segments.values()])
+    wanted = features.where(F.col("segment").isin(*segments))
+    packed = wanted.groupBy("entity_id", *extra).agg(*arrays)
+    return dense(packed, {f"_{n}": n for n in segments.values()}, declared_axis(wanted, ["coord"], axis), ["coord"], "entity_id")
 
 
 def pack_states(states: DataFrame, parameters: DataFrame | None = None, theta: list[str] = ()) -> DataFrame:
@@ -44,7 +45,7 @@ def pack_states(states: DataFrame, parameters: DataFrame | None = None, theta: l
     means = states.groupBy("state_id", "candidate_id", "coord").agg(F.avg("value").alias("value"), F.var_pop("value").alias("_s"))
     packed = means.groupBy("state_id", "candidate_id").agg(
         F.array_sort(F.collect_list(F.struct("coord", "value"))).alias("_f"), F.sum("_s").alias("spread"))
-    packed = packed.select("state_id", "candidate_id", F.col("_f.value").alias("f"), "spread")
+    packed = dense(packed, {"_f": "f"}, declared_axis(means, ["coord"]), ["coord"], "state_id").select("state_id", "candidate_id", "f", "spread")
     if parameters is None:
         return packed.withColumn("theta", F.array().cast("array<double>"))
     return packed.join(parameters.select("candidate_id", F.array(*[F.col(t) for t in theta]).alias("theta")), "candidate_id")
@@ -72,7 +73,8 @@ def pairwise_cost(entities: DataFrame, states: DataFrame, method: str = "long",
             F.sum(F.pow(F.col("f") - F.col("value"), F.lit(2)) + F.col("s")).alias("cost"))
     import numpy as np
 
-    packed = pack_entities(entities.withColumn("segment", F.lit("fit")), {"fit": "fit"})
+    axis = [r["coord"] for r in states.select("coord").distinct().collect()]  # the coordinates are fixed by the design
+    packed = pack_entities(entities.withColumn("segment", F.lit("fit")), {"fit": "fit"}, axis)
     kind = dict(entities.dtypes)["entity_id"]
     out = None
     for chunk in bank_chunks(pack_states(states), [], limit):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,14 +26,16 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "specframe")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder for cut lineage and staged tables.
+    """The shared folder for cut lineage and staged tables: the session's ``spark.checkpoint.dir``.
 
-    It is the session's ``spark.checkpoint.dir``; a temporary one is set only where the session names
-    none, which is the single-machine test case.
+    Without one, a single-machine session (``local``, as in tests) gets a temporary folder; on a cluster that is an
+    error, because executors would write to disks that no other executor sees.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not re.match(r"local(\[[^\]]*\])?$", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return context.getCheckpointDir()
 

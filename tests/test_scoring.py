@@ -202,3 +202,22 @@ def test_group_signal_finds_a_separable_label(spark):
     df = spark.createDataFrame(rows, "entity_id int, label int, x array<double>")
     row = evaluate.cv_group_signal(df, df, 1, 2, 2, [1], [0.01], 5, 5).first()
     assert row["roc_auc"] > 0.9 and row["brier"] < 0.25
+
+
+def test_ragged_entities_are_an_error(spark):
+    """An entity with other coordinates than the states must not be matched column by column."""
+    states = spark.createDataFrame([("s", "c", 0, k, float(k)) for k in (0, 1)], "state_id string, candidate_id string, replicate int, coord bigint, value double")
+    for coords in ((1, 2), (0,), (0, 0, 1)):
+        entities = spark.createDataFrame([(2, k, 1.0) for k in coords], "entity_id bigint, coord bigint, value double")
+        with pytest.raises(Exception, match="unknown for 2"):
+            scoring.pairwise_cost(entities, states, "arrow").collect()
+    with pytest.raises(Exception, match="unknown for 7"):
+        features.pack(spark.createDataFrame([(7, 0, 1.0), (8, 0, 1.0), (8, 1, 2.0)], "entity_id bigint, coord bigint, value double"), ["entity_id"]).collect()
+
+
+def test_nonnegative_weights_meet_the_optimality_conditions():
+    for columns in (3, 20):
+        design, target = np.abs(RNG.normal(size=(30, columns))), RNG.normal(size=30)
+        weights = evaluate.nonnegative_weights(design, target)
+        gradient = design.T @ (target - design @ weights)
+        assert (weights >= 0).all() and gradient.max() < 1e-7 and np.abs(gradient[weights > 0]).max(initial=0) < 1e-7
