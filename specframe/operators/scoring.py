@@ -124,8 +124,11 @@ def _costs(rows, bank):
     return cross + bank["spread"][None, :]
 
 
+PROBABILITIES = (0.05, 0.95)
+
+
 def _quantiles(values, weights, probabilities):
-    """Weighted quantiles of each parameter for a batch of weight rows (single-chunk banks)."""
+    """Weighted quantiles of each parameter for a batch of weight rows."""
     import numpy as np
 
     out = np.empty((weights.shape[0], values.shape[1], len(probabilities)))
@@ -146,7 +149,7 @@ def posterior_pass(entities: DataFrame, states: DataFrame, variants: list[tuple[
     (name, temperature, prior column). Weights are softmax(-(cost + prior) / (2 T)). Columns: m (largest log
     weight), s, s2, c2 (sums of weights, squared weights and squared candidate weights, all relative to m), theta and pred
     (weighted sums), best_* (MAP state), oracle (smallest unseen distance), top (k heaviest states), q (5 and 95 % points of
-    each parameter; NULL if the bank needs several chunks).
+    each parameter). A bank of several chunks gives the same columns as one: sums merge, and the quantiles take a second pass.
     """
     import numpy as np
 
@@ -157,8 +160,8 @@ def posterior_pass(entities: DataFrame, states: DataFrame, variants: list[tuple[
     kinds, state_kinds = dict(entities.dtypes), dict(states.dtypes)
     schema = (f"entity_id {kinds['entity_id']}, variant string, m double, s double, s2 double, c2 double, best_state string, "
               f"best_candidate {state_kinds['candidate_id']}, best_f array<double>, theta array<double>, pred array<double>, oracle double, "
-              f"top array<struct<l:double,state_id:string,candidate_id:{state_kinds['candidate_id']}>>, q array<double>")
-    probabilities = [0.05, 0.95]
+              f"top array<struct<l:double,state_id:string,candidate_id:{state_kinds['candidate_id']}>>, q array<double>, hist array<double>")
+    grid = [] if single else _parameter_grid(states)
 
     def reduce_chunk(batches, chunk):
         bank = chunk.value
@@ -183,18 +186,22 @@ def posterior_pass(entities: DataFrame, states: DataFrame, variants: list[tuple[
                 for row, picked in enumerate(part):
                     picked = picked[np.lexsort((bank["state_id"][picked], -logit[row, picked]))]
                     top.append([{"l": float(logit[row, j]), "state_id": bank["state_id"][j], "candidate_id": bank["candidate_id"][j]} for j in picked])
-                q = list(_quantiles(bank["theta"], e / s[:, None], probabilities)) if single and bank["theta"].shape[1] else [None] * len(pdf)
+                q = list(_quantiles(bank["theta"], e / s[:, None], PROBABILITIES)) if single and bank["theta"].shape[1] else [None] * len(pdf)
+                hist = [None] * len(pdf) if single else list(_histogram(bank["theta"], e, grid))
                 yield pd.DataFrame({
                     "entity_id": pdf["entity_id"].to_numpy(), "variant": variant, "m": m, "s": s, "s2": (e * e).sum(axis=1),
                     "c2": (np.add.reduceat(e, bank["starts"], axis=1) ** 2).sum(axis=1), "best_state": bank["state_id"][best],
                     "best_candidate": bank["candidate_id"][best], "best_f": list(bank["f"][best]), "theta": list(e @ bank["theta"]),
-                    "pred": list(e @ bank["f"]), "oracle": oracle, "top": top, "q": q})
+                    "pred": list(e @ bank["f"]), "oracle": oracle, "top": top, "q": q, "hist": hist})
 
     out = None
     for chunk in chunks:
         part = entities.select(*keep).mapInPandas(lambda batches, chunk=chunk: reduce_chunk(batches, chunk), schema)
         out = part if out is None else out.unionByName(part)
-    return out if single else _merge_chunks(out, top_k)
+    if single:
+        return out.drop("hist")
+    merged = session.durable(_merge_chunks(out, top_k))
+    return _with_quantiles(merged, entities, chunks, variants, grid)
 
 
 def _merge_chunks(parts: DataFrame, top_k: int) -> DataFrame:
@@ -214,9 +221,97 @@ def _merge_chunks(parts: DataFrame, top_k: int) -> DataFrame:
     ordered = F.array_sort(F.transform(F.flatten(F.transform("p", lambda x: x["top"])), lambda t: F.struct((-t["l"]).alias("l"), t["state_id"].alias("state_id"), t["candidate_id"].alias("candidate_id"))))
     top = F.transform(F.slice(ordered, 1, top_k), lambda t: F.struct((-t["l"]).alias("l"), t["state_id"].alias("state_id"), t["candidate_id"].alias("candidate_id")))
     return grouped.withColumn("b", best).select(
-        "entity_id", "variant", "m", scaled("s", 1).alias("s"), scaled("s2", 2).alias("s2"), scaled("c2", 2).alias("c2"), "b.best_state", "b.best_candidate", "b.best_f",
-        vector("theta").alias("theta"), vector("pred").alias("pred"), F.array_min(F.transform("p", lambda x: x["oracle"])).alias("oracle"), top.alias("top"),
-        F.lit(None).cast("array<double>").alias("q"))
+        "entity_id", "variant", "m", vector("hist").alias("hist"), scaled("s", 1).alias("s"), scaled("s2", 2).alias("s2"), scaled("c2", 2).alias("c2"), "b.best_state", "b.best_candidate", "b.best_f",
+        vector("theta").alias("theta"), vector("pred").alias("pred"), F.array_min(F.transform("p", lambda x: x["oracle"])).alias("oracle"), top.alias("top"))
+
+
+def _parameter_grid(states: DataFrame, bins: int = 200) -> list[list[float]]:
+    """Per parameter, values of states that cut them into about ``bins`` parts, for bins (previous cut, cut]."""
+    width = states.agg(F.max(F.size("theta"))).first()[0] or 0
+    shares = [(i + 1) / bins for i in range(bins - 1)]
+    if width == 0:
+        return []
+    row = states.agg(*[F.percentile_approx(F.get("theta", F.lit(i)), shares, 10 * bins).alias(f"g{i}") for i in range(width)]).first()
+    return [sorted(set(row[f"g{i}"])) for i in range(width)]
+
+
+def _histogram(theta, weights, grid):
+    """Weight per bin, for each row of weights and each parameter side by side."""
+    import numpy as np
+
+    parts = []
+    for column, cuts in enumerate(grid):
+        place = np.searchsorted(cuts, theta[:, column], side="left")
+        order = np.argsort(place, kind="stable")
+        present, starts = np.unique(place[order], return_index=True)
+        part = np.zeros((len(weights), len(cuts) + 1))
+        part[:, present] = np.add.reduceat(weights[:, order], starts, axis=1)
+        parts.append(part)
+    return np.concatenate(parts, axis=1) if parts else np.zeros((len(weights), 0))
+
+
+def _with_quantiles(merged: DataFrame, entities: DataFrame, chunks: list, variants: list[tuple[str, float, str]], grid: list[list[float]]) -> DataFrame:
+    """Add q to merged rows: the merged histogram tells the bin of each quantile, and a second pass fetches that bin's states only."""
+    import numpy as np
+
+    kind = dict(entities.dtypes)["entity_id"]
+    slots = [(i, p) for i in range(len(grid)) for p in PROBABILITIES]
+    if not slots:
+        return merged.drop("hist").withColumn("q", F.lit(None).cast("array<double>"))
+    offsets = np.cumsum([0, *[len(cuts) + 1 for cuts in grid]])
+
+    def crossing(hist, s):
+        """Bin of each slot and the share of weight below it, per row."""
+        bins, below = np.zeros((len(hist), len(slots)), dtype=int), np.zeros((len(hist), len(slots)))
+        for j, (i, p) in enumerate(slots):
+            share = np.cumsum(hist[:, offsets[i] : offsets[i + 1]], axis=1) / s[:, None]
+            over = share > p
+            bins[:, j] = np.where(over.any(axis=1), over.argmax(axis=1), len(grid[i]))
+            rows = np.flatnonzero(bins[:, j] > 0)
+            below[rows, j] = share[rows, bins[rows, j] - 1]
+        return bins, below
+
+    temperature = {name: (t, prior) for name, t, prior in variants}
+    located = merged.select("entity_id", "variant", "m", "s", "hist").join(entities.select("entity_id", "fit"), "entity_id")
+
+    def members(batches, chunk):
+        bank = chunk.value
+        places = [np.searchsorted(cuts, bank["theta"][:, i], side="left") for i, cuts in enumerate(grid)]
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            bins, below = crossing(np.stack(pdf["hist"].to_numpy()), pdf["s"].to_numpy())
+            cost = _costs(np.stack(pdf["fit"].to_numpy()), bank)
+            out = []
+            for row, (entity, variant, m, s) in enumerate(zip(pdf["entity_id"], pdf["variant"], pdf["m"], pdf["s"])):
+                t, prior = temperature[variant]
+                weight = np.exp(-0.5 * (cost[row] + bank["priors"][prior]) / t - m) / s
+                for j, (i, _) in enumerate(slots):
+                    inside = places[i] == bins[row, j]
+                    out.append((entity, variant, j, int(bins[row, j]), float(below[row, j]), bank["theta"][inside, i].tolist(), weight[inside].tolist()))
+            yield pd.DataFrame(out, columns=["entity_id", "variant", "j", "bin", "below", "v", "w"])
+
+    fetched = None
+    for chunk in chunks:
+        part = located.mapInPandas(lambda batches, chunk=chunk: members(batches, chunk), f"entity_id {kind}, variant string, j int, bin int, below double, v array<double>, w array<double>")
+        fetched = part if fetched is None else fetched.unionByName(part)
+    gathered = fetched.groupBy("entity_id", "variant", "j").agg(F.first("bin").alias("bin"), F.first("below").alias("below"), F.flatten(F.collect_list("v")).alias("v"), F.flatten(F.collect_list("w")).alias("w"))
+
+    def solve(batches):
+        for pdf in batches:
+            points = []
+            for j, place, below, v, w in zip(pdf["j"], pdf["bin"], pdf["below"], pdf["v"], pdf["w"]):
+                i, p = slots[j]
+                order = np.argsort(v, kind="stable")
+                value, upto = np.asarray(v)[order], below + np.cumsum(np.asarray(w)[order])
+                if place > 0:  # the last state below the bin is the cut itself
+                    value, upto = np.r_[grid[i][place - 1], value], np.r_[below, upto]
+                points.append(float(np.interp(p, upto, value)))
+            yield pd.DataFrame({"entity_id": pdf["entity_id"].to_numpy(), "variant": pdf["variant"].to_numpy(), "j": pdf["j"].to_numpy(), "x": points})
+
+    solved = gathered.mapInPandas(solve, f"entity_id {kind}, variant string, j int, x double")
+    q = solved.groupBy("entity_id", "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda r: r["x"]).alias("q"))
+    return merged.drop("hist").join(q, ["entity_id", "variant"])
 
 
 def posterior_summary(passed: DataFrame, theta: list[str]) -> DataFrame:

@@ -66,10 +66,11 @@ def test_posterior_pass(spark, limit):
     assert costs.unseen_cost.to_numpy() == pytest.approx(((w @ mean - U) ** 2).sum(axis=1))
     assert costs.map_unseen_cost.to_numpy() == pytest.approx(((mean[w.argmax(axis=1)] - U) ** 2).sum(axis=1))
     assert costs.oracle_unseen_cost.to_numpy() == pytest.approx(((mean[None] - U[:, None]) ** 2).sum(axis=2).min(axis=1))
-    if limit is None:
-        order = np.argsort(theta[:, 1], kind="stable")
-        want = [np.interp(0.05, np.cumsum(w[i][order]), theta[order, 1]) for i in range(N)]
-        assert got.b_q05.to_numpy() == pytest.approx(np.array(want))
+    for column, name in enumerate("abc"):  # the same quantiles whatever the number of chunks
+        order = np.argsort(theta[:, column], kind="stable")
+        for share, suffix in ((0.05, "q05"), (0.95, "q95")):
+            want = [np.interp(share, np.cumsum(w[i][order]), theta[order, column]) for i in range(N)]
+            assert got[f"{name}_{suffix}"].to_numpy() == pytest.approx(np.array(want))
 
 
 def test_nearest_pass_in_chunks_and_prior(spark):
