@@ -172,17 +172,30 @@ def learnability(spark, sf):
     return out.select("parameter", rnd("r2", 4).alias("r2"), rnd("nrmse", 4).alias("nrmse"))
 
 
+def _nations(spark, sf):
+    """Keys of the nation dimension, in order."""
+    return sorted(r["n_nationkey"] for r in views.table(spark, sf, "nation").select("n_nationkey").collect())
+
+
 def _profiles(spark, sf):
-    """profiles(entity_id, grp, segment, sensor, value): share of a customer's spending by nation of the supplier, early and late."""
+    """profiles(entity_id, grp, segment, sensor, value): share of a customer's spending by nation of the supplier, early and late.
+
+    Every customer with an order has both segments; one without spending in a segment is level over the nations there.
+    """
+    keys = _nations(spark, sf)
     orders, line, supplier = (views.table(spark, sf, t) for t in ("orders", "lineitem", "supplier"))
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
-        F.col("o_custkey").alias("entity_id"), "s_nationkey", F.when(F.year("o_orderdate") < 1998, "fit").otherwise("validation").alias("segment"), "l_extendedprice")
-    sums = rows.groupBy("entity_id", "segment").agg(*[(F.sum(F.when(F.col("s_nationkey") == i, F.col("l_extendedprice")).otherwise(0.0)) / 100000.0 + 0.1).alias(f"n{i}") for i in range(25)])
-    cells = F.array(*[F.struct(F.lit(f"NATION_{i}").alias("sensor"), F.col(f"n{i}").alias("v")) for i in range(25)])
-    mean = sum((F.col(f"n{i}") for i in range(25)), F.lit(0.0)) / 25.0
-    tall = sums.withColumn("m", mean).select("entity_id", "segment", "m", F.explode(cells).alias("c")).select("entity_id", "segment", "c.sensor", (F.col("c.v") / F.col("m")).alias("value"))
-    complete = sums.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("entity_id")
-    return tall.join(complete, "entity_id", "left_semi").join(views.people(spark, sf).select("entity_id", "grp"), "entity_id")
+        F.col("o_custkey").alias("entity_id"), "s_nationkey", (F.year("o_orderdate") < 1998).alias("early"), "l_extendedprice")
+
+    def spent(early, key):
+        return F.sum(F.when((F.col("early") == early) & (F.col("s_nationkey") == key), F.col("l_extendedprice")).otherwise(0.0)) / 100000.0 + 0.1
+
+    sides = (("fit", True), ("validation", False))
+    sums = rows.groupBy("entity_id").agg(*[spent(early, k).alias(f"{name}{k}") for name, early in sides for k in keys])
+    cells = [F.struct(F.lit(name).alias("segment"), F.lit(f"NATION_{k}").alias("sensor"),
+                      (F.col(f"{name}{k}") / (sum((F.col(f"{name}{j}") for j in keys), F.lit(0.0)) / float(len(keys)))).alias("value")) for name, _ in sides for k in keys]
+    tall = sums.select("entity_id", F.explode(F.array(*cells)).alias("c")).select("entity_id", "c.*")
+    return tall.join(views.people(spark, sf).select("entity_id", "grp"), "entity_id")
 
 
 @query("nonneg_profile_fit")
@@ -267,10 +280,11 @@ def read_dense_matrix(spark, sf):
     """Nation trade counts written as matrix text, then read back as edges."""
     line, orders, customer, supplier = (views.table(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
     counts = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("c_custkey") == F.col("o_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = counts.groupBy("c_nationkey").agg(*[F.count_if(F.col("s_nationkey") == i).cast("string").alias(f"n{i}") for i in range(25)])
+    keys = _nations(spark, sf)
+    rows = counts.groupBy("c_nationkey").agg(*[F.count_if(F.col("s_nationkey") == i).cast("string").alias(f"n{i}") for i in keys])
     path = stage_path(spark, "matrix")
-    rows.orderBy("c_nationkey").select(F.concat_ws(" ", *[f"n{i}" for i in range(25)]).alias("value")).write.text(path)
-    return files.read_dense_matrix(spark, path, 25)
+    rows.orderBy("c_nationkey").select(F.concat_ws(" ", *[f"n{i}" for i in keys]).alias("value")).write.text(path)
+    return files.read_dense_matrix(spark, path, len(keys))
 
 
 @query("collection_store", """
