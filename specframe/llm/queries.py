@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, licenses, lm_score, mixing, near_dup, quality_model, quality_rules, token_files, toxicity, url_filter
-from .common import table
+from .common import GAP, WORD, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -93,15 +93,64 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op7_near_dup")
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op7_near_dup", f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{WORD}') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 2 THEN list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) WHEN len(ws) = 1 THEN ws ELSE [] END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+u AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT doc_id, n AS n_shingles, min(y) AS component_id, doc_id = min(y) AS kept FROM n JOIN r ON r.x = doc_id GROUP BY doc_id, n""")
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
-@query("op8_quality_rules")
+def _rules_sql() -> str:
+    """The rules in SQL: counts, median shares per language, Jensen-Shannon distances, limits."""
+    rules = quality_rules
+    classes = [f"length(text) - length(regexp_replace(text, '{p.replace(chr(39), chr(39) * 2)}', '', 'g'))" for p in rules.CLASSES]
+    common = {lang: [f"len(list_filter(cw, lambda x: x = '{word}'))" for word in words] for lang, words in rules.COMMON_WORDS.items()}
+
+    def shares(parts: list[str], total: str) -> str:
+        return f"[x / CAST(greatest({total}, 1) AS DOUBLE) for x in [{', '.join(parts)}, {total} - ({' + '.join(parts)})]]"
+
+    def distance(p: str, q: str) -> str:
+        one = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((z[1] + z[2]) / 2)) ELSE 0 END"
+        return f"sqrt(greatest(0, list_sum([{one.format('z[1]')} + {one.format('z[2]')} for z in list_transform(range(1, len({p}) + 1), lambda i: [{p}[i], {q}[i]])]) / 2))"
+
+    langs = list(rules.COMMON_WORDS)
+    words = ", ".join(f"{shares(common[lang], 'n_words')} AS w_{lang}" for lang in langs)
+    medians = lambda column, size: "list_transform([" + ", ".join(f"quantile_disc({column}[{i + 1}], 0.5)" for i in range(size)) + "], lambda x: x)"
+    refs = "\nUNION ALL ".join(
+        f"SELECT '{lang}' AS l, {medians('cs', len(rules.CLASSES) + 1)} AS rc, {medians(f'w_{lang}', len(common[lang]) + 1)} AS rw FROM f "
+        f"WHERE lang = '{lang}' AND n_chars >= {rules.MIN_CHARS} AND n_words >= {rules.MIN_WORDS} HAVING count(*) > 0" for lang in langs)
+    own = "CASE r.l " + " ".join(f"WHEN '{lang}' THEN w_{lang}" for lang in langs) + " END"
+    return f"""
+WITH b AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS ls FROM b),
+g AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS k FROM t WHERE len(ws) >= 3),
+o AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+v AS (SELECT doc_id, count(DISTINCT i + d) AS n FROM o CROSS JOIN (VALUES (0), (1), (2)) q(d) GROUP BY 1),
+c AS (SELECT doc_id, lang, text, length(text) AS n_chars, len(ws) AS n_words, length(regexp_replace(text, '{GAP}', '', 'g')) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+        len(ls) - len(list_distinct(ls)) AS n_dup_lines, list_transform(ws, lambda x: lower(regexp_replace(x, '[.,;:!?]+$', ''))) AS cw FROM t),
+f AS (SELECT *, {shares(classes, 'n_chars')} AS cs, {words} FROM c),
+r AS ({refs}),
+d AS (SELECT doc_id, r.l, f.lang = r.l AS own, {distance('cs', 'rc')} AS dc, {distance(f'({own})', 'rw')} AS dw FROM f CROSS JOIN r),
+m AS (SELECT doc_id, coalesce(max(dc) FILTER (own), min(dc)) AS dc, coalesce(max(dw) FILTER (own), min(dw)) AS dw FROM d GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(v.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(v.n, 0) > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * coalesce(v.n, 0) > 50 * n_words) AND (n_chars < {rules.MIN_CHARS} OR coalesce(dc, 0) <= {rules.MAX_CHAR_DISTANCE}) AND (n_words < {rules.MIN_WORDS} OR coalesce(dw, 0) <= {rules.MAX_WORD_DISTANCE}) AS kept
+FROM f LEFT JOIN v USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+
+@query("op8_quality_rules", _rules_sql())
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query("op9_lm_score")
