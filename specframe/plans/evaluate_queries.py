@@ -53,14 +53,14 @@ def align_models(spark, sf):
 
 @query("paired_bootstrap", _PAIRED + """,
 d AS (SELECT entity_id, ct - rt AS total, cs - rs AS spatial, row_number() OVER (ORDER BY md5('5:' || entity_id), entity_id) - 1 AS j, count(*) OVER () AS n FROM pr),
-s AS (SELECT b.b, CAST(('0x' || substr(md5('5:' || b.b || ':all:' || j), 1, 15)) AS BIGINT) % n AS j FROM d CROSS JOIN (SELECT unnest(range(60)) AS b) b),
+s AS (SELECT b.b, CAST(('0x' || substr(md5('5:' || b.b || ':all:' || j), 1, 15)) AS BIGINT) % n AS j FROM d CROSS JOIN (SELECT unnest(range(1000)) AS b) b),
 m AS (SELECT b, median(total) AS total, median(spatial) AS spatial FROM s JOIN d ON d.j = s.j GROUP BY 1)
 SELECT 'total' AS metric, (SELECT round(median(total), 6) FROM d) AS median_difference, round(quantile_cont(total, 0.025), 6) AS low, round(quantile_cont(total, 0.975), 6) AS high, (SELECT round(avg(CASE WHEN total < 0 THEN 1.0 ELSE 0.0 END), 6) FROM d) AS share_improved FROM m
 UNION ALL SELECT 'spatial', (SELECT round(median(spatial), 6) FROM d), round(quantile_cont(spatial, 0.025), 6), round(quantile_cont(spatial, 0.975), 6), (SELECT round(avg(CASE WHEN spatial < 0 THEN 1.0 ELSE 0.0 END), 6) FROM d) FROM m
 """, ("fx_people",))
 def paired_bootstrap(spark, sf):
     paired = checks.align_models(*both_models(spark, sf), "entity_id", "grp", ["total", "spatial"])
-    out = evaluate.paired_bootstrap(paired, ["total", "spatial"], 60, 5)
+    out = evaluate.paired_bootstrap(paired, ["total", "spatial"], 1000, 5)
     return out.select("metric", *[rnd(c).alias(c) for c in out.columns[1:]])
 
 
@@ -72,24 +72,24 @@ ht AS (SELECT s.b, x.entity_id, x.grp, x.n, count(*) AS hits FROM sl s JOIN ix x
 """
 
 
-@query("effect_bootstrap", _DRAWS.format(source="fx_blocks", seed=9, samples=40) + """,
+@query("effect_bootstrap", _DRAWS.format(source="fx_blocks", seed=9, samples=1000) + """,
 v AS (SELECT entity_id, block, coord, max(value) FILTER (segment = 'validation') AS o, max(value) FILTER (segment = 'fit') AS r, max(value) FILTER (segment = 'rel_a') AS c FROM fx_blocks GROUP BY 1, 2, 3),
-wt AS (SELECT b, entity_id, hits * CASE WHEN grp = 'q1' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / n AS w FROM ht UNION ALL SELECT 40, entity_id, CASE WHEN grp = 'q1' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / n FROM ix),
+wt AS (SELECT b, entity_id, hits * CASE WHEN grp = 'q1' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / n AS w FROM ht UNION ALL SELECT 1000, entity_id, CASE WHEN grp = 'q1' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END / n FROM ix),
 ef AS (SELECT b, block, coord, sum(w * o) AS o, sum(w * r) AS r, sum(w * c) AS c FROM wt JOIN v ON v.entity_id = wt.entity_id GROUP BY 1, 2, 3),
 st AS (SELECT b, block, corr(o, r) AS rr, corr(o, c) AS rc, sqrt(sum(r * r)) / sqrt(sum(o * o)) AS nr, sqrt(sum(c * c)) / sqrt(sum(o * o)) AS nc FROM ef GROUP BY 1, 2)
-SELECT block, round(max(rr) FILTER (b = 40), 6) AS reference_correlation, round(max(rc) FILTER (b = 40), 6) AS candidate_correlation, round(max(nr) FILTER (b = 40), 6) AS reference_norm, round(max(nc) FILTER (b = 40), 6) AS candidate_norm,
-  round(max(rc - rr) FILTER (b = 40), 6) AS correlation_difference, round(quantile_cont(rc - rr, 0.025) FILTER (b < 40), 6) AS correlation_low, round(quantile_cont(rc - rr, 0.975) FILTER (b < 40), 6) AS correlation_high,
-  round(max(nc - nr) FILTER (b = 40), 6) AS norm_difference, round(quantile_cont(nc - nr, 0.025) FILTER (b < 40), 6) AS norm_low, round(quantile_cont(nc - nr, 0.975) FILTER (b < 40), 6) AS norm_high FROM st GROUP BY 1
+SELECT block, round(max(rr) FILTER (b = 1000), 6) AS reference_correlation, round(max(rc) FILTER (b = 1000), 6) AS candidate_correlation, round(max(nr) FILTER (b = 1000), 6) AS reference_norm, round(max(nc) FILTER (b = 1000), 6) AS candidate_norm,
+  round(max(rc - rr) FILTER (b = 1000), 6) AS correlation_difference, round(quantile_cont(rc - rr, 0.025) FILTER (b < 1000), 6) AS correlation_low, round(quantile_cont(rc - rr, 0.975) FILTER (b < 1000), 6) AS correlation_high,
+  round(max(nc - nr) FILTER (b = 1000), 6) AS norm_difference, round(quantile_cont(nc - nr, 0.025) FILTER (b < 1000), 6) AS norm_low, round(quantile_cont(nc - nr, 0.975) FILTER (b < 1000), 6) AS norm_high FROM st GROUP BY 1
 """, ("fx_blocks",))
 def effect_bootstrap(spark, sf):
     data = letters(spark, sf)
     tables = {n: data.where(F.col("segment") == s) for n, s in (("observed", "validation"), ("reference", "fit"), ("candidate", "rel_a"))}
-    out = evaluate.effect_bootstrap(tables, "q0", "q1", 40, 9)
+    out = evaluate.effect_bootstrap(tables, "q0", "q1", 1000, 9)
     return out.select("block", *[rnd(c).alias(c) for c in out.columns[1:]])
 
 
 @query("parameter_effects", """
-pp AS (SELECT entity_id, grp, age, sex FROM fx_people WHERE grp IN ('BUILDING', 'MACHINERY')), """ + _DRAWS.format(source="pp", seed=3, samples=50) + """,
+pp AS (SELECT entity_id, grp, age, sex FROM fx_people WHERE grp IN ('BUILDING', 'MACHINERY')), """ + _DRAWS.format(source="pp", seed=3, samples=1000) + """,
 u AS (SELECT entity_id, grp, 'age' AS parameter, age AS v FROM pp UNION ALL SELECT entity_id, grp, 'sex', sex FROM pp),
 p AS (SELECT parameter, avg(v) FILTER (grp = 'MACHINERY') - avg(v) FILTER (grp = 'BUILDING') AS d, var_samp(v) FILTER (grp = 'BUILDING') AS v0, var_samp(v) FILTER (grp = 'MACHINERY') AS v1, count(*) FILTER (grp = 'BUILDING') AS n0, count(*) FILTER (grp = 'MACHINERY') AS n1 FROM u GROUP BY 1),
 x AS (SELECT h.b, u.parameter, u.grp, u.v FROM ht h JOIN u ON u.entity_id = h.entity_id CROSS JOIN LATERAL (SELECT unnest(range(h.hits)) AS i) r),
@@ -99,7 +99,7 @@ SELECT parameter, n0 AS n_first, n1 AS n_second, round(d, 6) AS difference, roun
   CASE parameter WHEN 'age' THEN 0.62 ELSE 0.41 END::DOUBLE AS recovery, 0.5::DOUBLE AS recovery_threshold, parameter = 'age' AS passes_recovery FROM p JOIN c USING (parameter)
 """, ("fx_people",))
 def parameter_effects(spark, sf):
-    out = evaluate.parameter_effects(views.people(spark, sf), ["age", "sex"], "BUILDING", "MACHINERY", {"age": 0.62, "sex": 0.41}, {"age": 0.5, "sex": 0.5}, 50, 3)
+    out = evaluate.parameter_effects(views.people(spark, sf), ["age", "sex"], "BUILDING", "MACHINERY", {"age": 0.62, "sex": 0.41}, {"age": 0.5, "sex": 0.5}, 1000, 3)
     exact = ("recovery", "recovery_threshold")
     return out.select(*[rnd(c).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in out.dtypes])
 
