@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranking import global_running
+from ..session import small_side
 from .checks import dedupe_keep_first
 
 Ranges = dict[str, tuple[float, float]]
@@ -95,7 +96,7 @@ def adaptive_design(broad: DataFrame, bank: DataFrame, anchors: DataFrame, offse
     k = anchors.agg(F.max("rank").alias("_k"))
     home = range_map(bank.select("candidate_id", *names), ranges, log, "normalize").join(anchors, "candidate_id").select(
         (F.col("rank") - 1).alias("_slot"), F.col("candidate_id").cast("string").alias("anchor_id"), *[F.col(c).alias(f"_a_{c}") for c in names])
-    local = offsets.join(F.broadcast(k)).withColumn("_slot", F.col("idx") % F.col("_k")).join(F.broadcast(home), "_slot").select(
+    local = offsets.join(F.broadcast(k)).withColumn("_slot", F.col("idx") % F.col("_k")).join(small_side(home), "_slot").select(
         "idx", "anchor_id", *[F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"_a_{c}") + F.col(c) * radius[c])).alias(c) for c in names])
     local = range_map(local, ranges, log, "denormalize")
     parts = [

@@ -10,7 +10,7 @@ from ..functions.expr import correlation, hash_mod
 from ..functions.packing import declared_axis, dense
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import global_running, hash_rank
-from ..session import durable
+from ..session import durable, small_side
 
 
 def boundary_check(states: DataFrame, cost: str, ident: str, grids: dict[str, list[float]]) -> DataFrame:
@@ -29,7 +29,7 @@ def draws(entities: DataFrame, samples: int, seed: int, group: str = "grp", key:
     """
     ranked = hash_rank(entities.select(key, group), [group], seed, key, "_j").withColumn("_j", F.col("_j") - 1)
     sizes = entities.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    slots = ranked.join(F.broadcast(sizes), group).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    slots = ranked.join(small_side(sizes), group).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     picked = slots.select("b", group, hash_mod(F.col("_n"), seed, F.col("b"), F.col(group), F.col("_j")).alias("_j"))
     hits = picked.groupBy("b", group, "_j").agg(F.count(F.lit(1)).alias("hits"))
     return hits.join(ranked, [group, "_j"]).select("b", key, group, "hits")
@@ -78,7 +78,7 @@ def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samp
     people = packed.select("entity_id", "grp")
     sizes = people.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
     weights = draws(people, samples, seed).groupBy("entity_id").agg(F.collect_list(F.struct("b", "hits")).alias("w"))
-    rows = packed.join(weights, "entity_id", "left").join(F.broadcast(sizes), "grp").select(
+    rows = packed.join(weights, "entity_id", "left").join(small_side(sizes), "grp").select(
         "z", F.coalesce(F.col("w.b"), F.array().cast("array<int>")).alias("b"), F.coalesce(F.col("w.hits"), F.array().cast("array<bigint>")).alias("hits"),
         (F.when(F.col("grp") == second, 1.0).otherwise(-1.0) / F.col("_n")).alias("sign"))
 
@@ -145,7 +145,7 @@ def parameter_effects(fits: DataFrame, parameters: list[str], first: str, second
     chosen = fits.where(F.col("grp").isin(first, second))
     tall = unpivot(chosen, ["entity_id", "grp"], parameters)
     means = tall.groupBy("parameter").agg(F.avg("value").alias("_m"))
-    tall = tall.join(F.broadcast(means), "parameter").withColumn("value", F.col("value") - F.col("_m")).drop("_m")
+    tall = tall.join(small_side(means), "parameter").withColumn("value", F.col("value") - F.col("_m")).drop("_m")
     point = _standardized(tall, [], F.lit(1.0), first, second)
     drawn = draws(chosen, samples, seed).join(tall.drop("grp"), "entity_id")
     boot = _standardized(drawn, ["b"], F.col("hits").cast("double"), first, second).groupBy("parameter").agg(
@@ -353,7 +353,7 @@ def cv_group_signal(fit: DataFrame, unseen: DataFrame, repeats: int, outer: int,
 
     def balanced(df: DataFrame) -> DataFrame:
         counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
-        return df.join(F.broadcast(counts), "label").withColumn("weight", F.lit(1.0) / F.col("_c"))
+        return df.join(small_side(counts), "label").withColumn("weight", F.lit(1.0) / F.col("_c"))
 
     def model(train: DataFrame, k: int, strength: float):
         selector = UnivariateFeatureSelector(featuresCol="z", labelCol="label", outputCol="s", selectionMode="numTopFeatures")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.packing import declared_axis, dense
 from ..functions.expr import correlation
+from ..session import small_side
 from .checks import guard
 
 
@@ -30,7 +31,7 @@ def robust_standardize(train: DataFrame, floor: tuple[str, float] = ("p10", 0.1)
 
 
 def apply_standardize(features: DataFrame, stats: DataFrame) -> DataFrame:
-    joined = features.join(stats.select("block", "coord", "mean", "scale"), ["block", "coord"])
+    joined = features.join(small_side(stats.select("block", "coord", "mean", "scale")), ["block", "coord"])
     return joined.withColumn("value", (F.col("value") - F.col("mean")) / F.col("scale")).select(*features.columns)
 
 
@@ -177,7 +178,7 @@ def weighted_features(standard: DataFrame, weights: dict[str, float]) -> DataFra
     """value x sqrt(block weight / block size); the sizes come from the distinct coordinates."""
     sizes = standard.select("block", "coord").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
     weight = F.element_at(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (k, float(v))]), F.col("block"))
-    return standard.join(F.broadcast(sizes), "block").withColumn("value", F.col("value") * F.sqrt(weight / F.col("_n"))).select(*standard.columns)
+    return standard.join(small_side(sizes), "block").withColumn("value", F.col("value") * F.sqrt(weight / F.col("_n"))).select(*standard.columns)
 
 
 def feature_blocks(blocks: dict[str, DataFrame], all_name: str = "all") -> DataFrame:

@@ -553,7 +553,7 @@ def parameter_sensitivity(parameters: DataFrame, bank: DataFrame, theta: list[st
         (F.covar_pop("c.x", "y") * F.count(F.lit(1))).alias("xy"), F.coalesce(F.abs(correlation(F.col("c.x"), F.col("y"))), F.lit(0.0)).alias("r"))
     solve = parameters.sparkSession.createDataFrame([(theta[j], theta[i], float(inverse[i, j])) for i in range(len(theta)) for j in range(len(theta))],
                                                     "parameter string, target string, weight double")
-    effects = moments.join(F.broadcast(solve), "parameter").groupBy("block", "coord", "target").agg(F.sum(F.col("weight") * F.col("xy")).alias("beta"))
+    effects = moments.join(session.small_side(solve), "parameter").groupBy("block", "coord", "target").agg(F.sum(F.col("weight") * F.col("xy")).alias("beta"))
     effects = effects.groupBy("block", F.col("target").alias("parameter")).agg(F.sqrt(F.avg(F.col("beta") * F.col("beta"))).alias("effect_rms"))
     noise = means.groupBy("block").agg(F.sqrt(F.avg("noise")).alias("noise_rms"))
     marginal = moments.groupBy("block", "parameter").agg(F.max("r").alias("max_marginal_r"))

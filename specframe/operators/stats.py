@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import EPS, correlation
 from ..functions.quantiles import exact_quantiles
 from ..functions.ranking import global_running, hash_rank
+from ..session import small_side
 from .checks import guard
 
 
@@ -122,7 +123,7 @@ def stratified_holdout(entities: DataFrame, group: str, fraction: float, seed: i
     """+ split: in each group the first max(1, round(n * fraction)) ids of the seeded shuffle are the holdout."""
     sizes = entities.groupBy(group).agg(F.greatest(F.lit(1.0), F.bround(F.count(F.lit(1)) * F.lit(fraction))).alias("_k"))
     ranked = hash_rank(entities, [group], seed, key, "_r")
-    return ranked.join(F.broadcast(sizes), group).select(*entities.columns, F.when(F.col("_r") <= F.col("_k"), "holdout").otherwise("train").alias("split"))
+    return ranked.join(small_side(sizes), group).select(*entities.columns, F.when(F.col("_r") <= F.col("_k"), "holdout").otherwise("train").alias("split"))
 
 
 def stratified_folds(entities: DataFrame, group: str, k: int, seed: int, key: str = "entity_id") -> DataFrame:
@@ -183,7 +184,7 @@ def weighted_quantile(df: DataFrame, value: str, weight: str, by: list[str], ord
 def representative_entity(fits: DataFrame, group: str, ratio: str, key: str = "entity_id") -> DataFrame:
     """Per group the entity whose ratio is closest to the group median (lowest id on ties)."""
     medians = exact_quantiles(fits, [group], {ratio: [(0.5, "median")]})
-    return fits.join(F.broadcast(medians), group).groupBy(group).agg(
+    return fits.join(small_side(medians), group).groupBy(group).agg(
         F.first("median").alias("median"), F.min(F.struct(F.abs(F.col(ratio) - F.col("median")).alias("d"), F.col(key).alias("k"), F.col(ratio).alias("r"))).alias("_b")).select(
         group, "median", F.col("_b.k").alias(key), F.col("_b.r").alias(ratio))
 

@@ -7,9 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Largest table (rows x 8-byte cells) we turn into a broadcast value. Larger inputs take the chunked path.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Most rows of a keyed join side that is broadcast after counting.
+SMALL_ROWS = 200_000
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "specframe") -> SparkSession:
@@ -46,6 +49,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """A join side that is meant to be small: stored, counted, and broadcast only up to ``limit`` rows; else joined as it is.
+
+    Beyond the limit the join shuffles, and the adaptive planner splits its hot keys; the rows are the same.
+    """
+    stored = durable(df)
+    return F.broadcast(stored) if stored.count() <= (SMALL_ROWS if limit is None else limit) else stored
+
+
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path for a staged table in the shared folder."""
     return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"

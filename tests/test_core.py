@@ -99,3 +99,13 @@ def test_gates_fail_on_missing_metrics(spark):
     assert all(r["passed"] and r["status"] == "accepted" for r in rows)
     rows = {r["check"]: r for r in evaluate.acceptance_gates(metrics, [("a", "total", "<", 1.0), ("c", "none", ">", 0.5)]).collect()}
     assert rows["a"]["passed"] and not rows["c"]["passed"] and rows["a"]["status"] == "not_accepted"
+
+
+def test_small_side_gives_equal_rows_on_both_sides_of_its_limit(spark):
+    from specframe.session import small_side
+
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS k")
+    side = spark.range(7).selectExpr("id AS k", "id * 10 AS v")
+    plans = [rows.join(small_side(side, limit), "k") for limit in (7, 6)]
+    got = [sorted(map(tuple, p.collect())) for p in plans]
+    assert got[0] == got[1] and len(got[0]) == 1000
