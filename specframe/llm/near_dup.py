@@ -270,11 +270,15 @@ class _Search:
 
     def links(self) -> DataFrame:
         members = self.members()
+        if members.isEmpty():  # no two documents share a bucket
+            return members.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst"))
         hub = members.groupBy("bucket").agg(F.max(F.struct("rank", (-F.col("doc_id")).alias("minus"))).alias("h")).select("bucket", (-F.col("h.minus")).alias("hub"))
         met = members.join(hub, "bucket").filter("doc_id <> hub")
         found = self.confirmed(met.select(F.least("doc_id", "hub").alias("src"), F.greatest("doc_id", "hub").alias("dst")))
         # The hub has met every member of its bucket; buckets that have come together are finished.
         still_open = _stored(self._apart(met.select("bucket", "doc_id"), self.labels(found)), "open")
+        if still_open.isEmpty():
+            return found
         return found.unionByName(self.confirmed(self._across(still_open)))
 
     def _across(self, still_open: DataFrame) -> DataFrame:
