@@ -7,7 +7,7 @@ on further ordinary windows. Because the base is common, most windows compress t
 gain (ordinary length - toxic length) of a window is large only where it holds toxic material.
 
 A document's features are its largest gains, the numbers of windows at rising thresholds of gain, and its length. Their
-weights come from logistic regression on documents that the dictionaries were not trained on; the cut with the best F1
+weights come from logistic regression on documents that the dictionaries were not trained on; the cut with the best F-measure
 there is moved to ``CUT``, so the score reads alike on every corpus.
 
 Fitting reads at most ``max_toxic`` and ``max_ordinary`` labelled documents, the first by hash of the id: a bounded
@@ -37,6 +37,7 @@ BASE_BYTES, OWN_BYTES = 96 * 1024, 4 * 1024
 MAX_TOXIC, MAX_ORDINARY = 4000, 6000
 FIT_SHARE = 0.6  # of the sample for the dictionaries, the rest for the weights
 CUT = 0.7
+BETA = 0.5
 STEPS = tuple(range(2, 11))  # thresholds of gain, bytes
 
 
@@ -124,12 +125,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def best_cut(value: np.ndarray, y: np.ndarray) -> float:
-    """The value midway between two documents at which calling everything above it toxic has the best F1."""
+    """The value midway between two documents at which calling everything above it toxic has the best F-measure.
+
+    Precision weighs twice as much as recall (BETA), since a false alarm costs a clean document.
+    """
     order = np.argsort(-value, kind="stable")
     sorted_value, hits = value[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
+    score = (1 + BETA**2) * hits / (np.arange(1, len(y) + 1) + BETA**2 * y.sum())
     ends = np.append(sorted_value[:-1] > sorted_value[1:], True)  # ties stay together
-    at = int(np.argmax(np.where(ends, f1, -1)))
+    at = int(np.argmax(np.where(ends, score, -1)))
     below = sorted_value[at + 1] if at + 1 < len(y) else sorted_value[at] - 1.0
     return float((sorted_value[at] + below) / 2)
 
