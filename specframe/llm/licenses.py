@@ -2,9 +2,10 @@
 
 A text is reduced to its words in lower case with single spaces. Each license family has a name pattern and literal
 keywords of which every match must hold one; each form is a way to invoke a license, with a priority and a weight. Family
-times form gives the rules. The work is gated twice: a text without any of a few literal triggers is never reduced,
-and a family's rules run only where one of its keywords stands. All places of all rules that ran are then ordered by
-start, longer first, and a place is suppressed if a place of the same or a stronger priority contains it: the notice
+times form gives the rules. Work is gated by what the rules themselves must hold, in the reduced text: families are looked
+at only where some form's literal stands, a family only where one of its keywords does, a rule only where a literal of its own
+form does. All places of all rules that ran are then ordered by start, longer first, and a place is suppressed if a place of the
+same or a stronger priority contains it: the notice
 ``licensed under the gnu lesser general public license`` silences the ``general public license`` inside it.
 
 Beside the rules stand the base phrases, which are counted at every place and whose labels always stay.
@@ -33,9 +34,6 @@ SCAN_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # Base phrases and their labels; fixed values.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-# Text without any of these holds neither a base phrase nor a rule's match.
-TRIGGERS = ("licen", "spdx", "copyright", "public domain", "creative", "cc", "gpl", "gnu", "bsd", "mozilla", "mpl", "boost", "wtfpl", "copyleft", "warrant", "permission", "redistribut")
-
 _V = "(?:v ?|version )?"  # before a version number
 _LATER = "(?: or (?:any |at your option any )?later(?: version)?| only)?"
 # Families: label, pattern of the name in reduced text, keywords. Names are public license names.
@@ -69,14 +67,16 @@ FAMILIES = (
     ("ms-rl", "(?:microsoft reciprocal|ms rl)", ("microsoft reciprocal", "ms rl")), ("afl-3", f"(?:academic free|afl)(?: licen[sc]e)? ?{_V}3(?: 0)?", ("academic free", "afl")), ("osl-3", f"(?:open software|osl)(?: licen[sc]e)? ?{_V}3(?: 0)?", ("open software", "osl")),
     ("sspl-1", "(?:server side public|sspl)", ("server side", "sspl")), ("busl-1.1", "(?:business source|busl)", ("business source", "busl")), ("elastic-2", f"elastic(?: licen[sc]e)? {_V}2(?: 0)?", ("elastic",)),
 )
-# Forms: pattern around the name (N), priority (0 is strongest), weight.
+# Forms: pattern around the name (N), priority (0 is strongest), weight, literals of which every match must hold one.
 FORMS = (
-    ("spdx licen[sc]e identifier N", 0, 1.0),
-    ("(?:licen[sc]ed|released|distributed|published|provided|available|offered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?: (?:public )?licen[sc]e)?(?: as published by the free software foundation)?", 1, 0.9),
-    ("(?:governed by|covered by|subject to|pursuant to|in accordance with) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?: licen[sc]e)?", 1, 0.8),
-    ("under (?:the )?N licen[sc]e", 1, 0.8),
-    ("licen[sc]e (?:is )?N(?: licen[sc]e)?", 2, 0.7),
-    ("(?:the )?N licen[sc]e(?: agreement)?", 2, 0.6),
+    ("spdx licen[sc]e identifier N", 0, 1.0, (" spdx licen",)),
+    ("(?:licen[sc]ed|released|distributed|published|provided|available|offered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?: (?:public )?licen[sc]e)?(?: as published by the free software foundation)?", 1, 0.9,
+     ("ed under ", "available under ", " to you under ")),
+    ("(?:governed by|covered by|subject to|pursuant to|in accordance with) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?N(?: licen[sc]e)?", 1, 0.8,
+     (" governed by ", " covered by ", " subject to ", " pursuant to ", " in accordance with ")),
+    ("under (?:the )?N licen[sc]e", 1, 0.8, (" licen",)),
+    ("licen[sc]e (?:is )?N(?: licen[sc]e)?", 2, 0.7, (" licen",)),
+    ("(?:the )?N licen[sc]e(?: agreement)?", 2, 0.6, (" licen",)),
 )
 # Clauses by which a license shows without its name: label, pattern, keyword.
 CLAUSES = (
@@ -100,7 +100,7 @@ CLAUSES = (
 CLAUSE_PRIORITY, CLAUSE_WEIGHT, BASE_WEIGHT = 1, 0.9, 0.9
 PRIORITIES = 3
 
-RULE_TYPE = "array<struct<keywords:array<string>,label:string,rules:array<struct<number:int,pattern:string,priority:int,weight:double>>>>"
+RULE_TYPE = "array<struct<keywords:array<string>,label:string,rules:array<struct<number:int,pattern:string,priority:int,weight:double,needs:array<string>>>>>"
 
 
 def rule_groups() -> list[dict]:
@@ -108,12 +108,12 @@ def rule_groups() -> list[dict]:
     whole = lambda pattern: f"(?<= ){pattern}(?= )"
     groups, number = [], 0
     for label, pattern, keyword in CLAUSES:
-        groups.append({"keywords": [keyword], "label": label, "rules": [{"number": number, "pattern": whole(pattern), "priority": CLAUSE_PRIORITY, "weight": CLAUSE_WEIGHT}]})
+        groups.append({"keywords": [keyword], "label": label, "rules": [{"number": number, "pattern": whole(pattern), "priority": CLAUSE_PRIORITY, "weight": CLAUSE_WEIGHT, "needs": [keyword]}]})
         number += 1
     for label, name, keywords in FAMILIES:
         rules = []
-        for form, priority, weight in FORMS:
-            rules.append({"number": number, "pattern": whole(form.replace("N", name)), "priority": priority, "weight": weight})
+        for form, priority, weight, needs in FORMS:
+            rules.append({"number": number, "pattern": whole(form.replace("N", name)), "priority": priority, "weight": weight, "needs": list(needs)})
             number += 1
         groups.append({"keywords": list(keywords), "label": label, "rules": rules})
     return groups
@@ -134,9 +134,12 @@ def _places(text: Column, pattern: Column) -> Column:
 
 def detections(text: Column) -> Column:
     """Places of all rules in reduced text, as an ordered array of (begin, longest, priority, number, end, label, weight)."""
-    groups = F.from_json(F.lit(json.dumps(rule_groups())), RULE_TYPE)
-    near = F.filter(groups, lambda g: F.exists(g["keywords"], lambda k: F.contains(text, k)))
-    hits = F.flatten(F.transform(near, lambda g: F.flatten(F.transform(g["rules"], lambda r: F.transform(_places(text, r["pattern"]), lambda p: F.struct(
+    groups = rule_groups()
+    table = lambda own: F.from_json(F.lit(json.dumps(own)), RULE_TYPE)
+    holds = lambda literals: F.exists(literals, lambda k: F.contains(text, k))
+    invoked = reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in sorted({k for form in FORMS for k in form[3]})])
+    near = F.filter(F.when(invoked, table(groups)).otherwise(table(groups[: len(CLAUSES)])), lambda g: holds(g["keywords"]))
+    hits = F.flatten(F.transform(near, lambda g: F.flatten(F.transform(F.filter(g["rules"], lambda r: holds(r["needs"])), lambda r: F.transform(_places(text, r["pattern"]), lambda p: F.struct(
         p["begin"].alias("begin"), (-p["end"]).alias("longest"), r["priority"].alias("priority"), r["number"].alias("number"), p["end"].alias("end"), g["label"].alias("label"), r["weight"].alias("weight")))))))
     return F.array_sort(hits)
 
@@ -159,13 +162,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     rows = rows.withColumn("n_words", F.regexp_count("text", F.lit(SCAN_WORD)).cast("long"))
-    lowered = F.lower("text")
-    triggered = reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(t)) for t in TRIGGERS])
     words = F.trim(F.regexp_replace(F.translate("text", UPPER, LOWER), SCAN_GAP, " "))
-    rows = rows.select("doc_id", "n_words", F.when(triggered, F.concat(F.lit(" "), words, F.lit(" "))).alias("reduced"))
+    rows = rows.select("doc_id", "n_words", F.concat(F.lit(" "), words, F.lit(" ")).alias("reduced"))
     for i, (phrase, _) in enumerate(BASE):
         rows = rows.withColumn(f"b{i}", F.when(F.contains("reduced", F.lit(f" {phrase} ")), F.split("reduced", f"(?<= ){phrase}(?= )", -1)))
-    rows = rows.withColumn("places", F.when(F.col("reduced").isNotNull(), surviving(detections(F.col("reduced")))))
+    rows = rows.withColumn("places", surviving(detections(F.col("reduced"))))
     n_base, firsts, lasts, base_labels = F.lit(0).cast("long"), [], [], []
     for i, (phrase, label) in enumerate(BASE):
         pieces = F.col(f"b{i}")

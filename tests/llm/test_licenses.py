@@ -70,3 +70,46 @@ def test_there_are_hundreds_of_rules():
 
 def test_empty_table(spark):
     assert licenses.scan(documents(spark, ODD).limit(0)).count() == 0
+
+
+def shortest_matches(pattern):
+    """A shortest text for every alternative of a rule's pattern, without its bounds."""
+    options = lambda branches: [t for b in branches for t in sequence(b)]
+
+    def sequence(parts):
+        out = [""]
+        for kind, value in parts:
+            name = str(kind)
+            if name == "LITERAL":
+                own = [chr(value)]
+            elif name == "IN":
+                own = [chr(value[0][1])]
+            elif name == "ANY":
+                own = ["x"]
+            elif name == "BRANCH":
+                own = options(value[1])
+            elif name == "SUBPATTERN":
+                own = sequence(value[3])
+            else:  # repeats
+                assert name in ("MAX_REPEAT", "MIN_REPEAT")
+                own = [t * value[0] for t in sequence(value[2])] if value[0] else [""]
+            out = [a + b for a in out for b in own]
+        return out
+
+    return sorted(set(sequence(re._parser.parse(pattern.removeprefix("(?<= )").removesuffix("(?= )")))))
+
+
+def test_every_rule_fires_on_its_own_match_alone(spark):
+    cases = []
+    for group in licenses.rule_groups():
+        for rule in group["rules"]:
+            cases += [(rule["number"], t) for t in shortest_matches(rule["pattern"])]
+    assert {n for n, _ in cases} == {r["number"] for g in licenses.rule_groups() for r in g["rules"]}
+    texts = sorted({t for _, t in cases}) + ["placed into the public\ndomain", "released under MIT", "All rights reserved."]
+    got = {texts[r["doc_id"]]: r for r in licenses.scan(documents(spark, list(enumerate(texts)))).collect()}
+    for text in texts:
+        expected = plain_places(text)
+        assert expected and [(p["label"], p["weight"], p["begin"], p["end"]) for p in got[text]["places"] or []] == expected, text
+    reduced = spark.createDataFrame([(t, f" {t} ") for t in {t for _, t in cases}], "text string, reduced string")
+    fired = {r["text"]: set(r["numbers"]) for r in reduced.select("text", licenses.detections(reduced["reduced"])["number"].alias("numbers")).collect()}
+    assert all(number in fired[text] for number, text in cases)
