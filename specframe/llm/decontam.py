@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram hits, then Smith-Waterman alignment.
 
 Words are lower-cased (A-Z) and lose ASCII punctuation. Every test item is cut into n-grams, and one pass over the
 corpus counts them. An item's seeds are its rare n-grams: those no more frequent than ``rare_share`` of all corpus
-n-grams, and in any case those up to ``SEED_FACTOR`` times the median of its own that occur, so an item that leaked
-everywhere keeps seeds. A second pass finds
-seeds in every whole text. Hits of one item on near diagonals form a place, and the item is aligned with the words of
-that place (match 2, mismatch -1, gap -1). The score is the local alignment over the score of a perfect copy; substituting
-a share e of the words costs 1.5 e. Pairs at ``threshold`` or above are returned.
-
-Both passes are maps over the documents: no text is shuffled, and a seed or an item that occurs in a third of all
+n-grams, and in any case those up to ``SEED_FACTOR`` times the median of its own that occur. Seeds are reported and decide
+nothing: no rule on counts can tell which n-grams an edited copy keeps. A second pass finds all n-grams, rare or not,
+in every whole text. Hits of one item on near diagonals form a place, and unless the place holds too few of the item's words for the
+threshold, the item is aligned with the words of that place (match 2, mismatch -1, gap -1). The score is the local alignment
+over the score of a perfect copy; substituting a share e of the words costs 1.5 e. Pairs at ``threshold`` or above are
+returned; a copy without one intact n-gram has no place.
+
+Both passes are maps over the documents: no text is shuffled, and an n-gram or an item that occurs in a third of all
 documents is no group anywhere. Items are read in chunks of at most ``CHUNK_WORDS`` words, and only one chunk's
 index is broadcast at a time, so the benchmark may have any size; each chunk costs two passes.
 
@@ -71,6 +72,8 @@ class Index:
     first: np.ndarray  # first entry of each code in ``entries``; one more at the end
     entries: np.ndarray  # rows (item, offset)
     seed: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))  # per entry
+    distinct: tuple | None = None  # of _counted_words
+    scratch: np.ndarray | None = None  # count of each word in a text; zero between texts
 
     @staticmethod
     def build(rows: list[tuple], n: int) -> Index:
@@ -122,39 +125,70 @@ class Index:
         self.seed = per_entry <= np.maximum(SEED_FACTOR * half, rare)
         return self
 
+    def _counted_words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct words of every item, their counts, and where each item's begin; made once in each process."""
+        if self.distinct is None:
+            parts = [np.unique(item, return_counts=True) for item in self.items]
+            begins = np.concatenate([[0], np.cumsum([len(w) for w, _ in parts])]).astype(np.int64)
+            self.distinct = (np.concatenate([w for w, _ in parts]), np.concatenate([c for _, c in parts]), begins)
+            self.scratch = np.zeros(len(self.vocabulary) + 1, dtype=np.int64)
+        return self.distinct
+
+    def _shared(self, item: int, words: np.ndarray) -> int:
+        """How many words of the item can be matched with these words: no alignment matches more."""
+        own, counts, begins = self._counted_words()
+        own, counts = own[begins[item] : begins[item + 1]], counts[begins[item] : begins[item + 1]]
+        at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), counts).sum())
+
+    def _possible(self, candidates: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
+        """Those of the items (sorted) of which the whole text holds words enough for the threshold."""
+        own, counts, begins = self._counted_words()
+        seen, n = np.unique(ids, return_counts=True)
+        self.scratch[seen] = n
+        sizes = begins[candidates + 1] - begins[candidates]
+        ends = np.cumsum(sizes)
+        flat = np.repeat(begins[candidates] - (ends - sizes), sizes) + np.arange(ends[-1])
+        shared = np.add.reduceat(np.minimum(self.scratch[own[flat]], counts[flat]), ends - sizes)
+        self.scratch[seen] = 0
+        return candidates[shared >= threshold * np.fromiter((len(self.items[i]) for i in candidates), dtype=np.int64, count=len(candidates))]
+
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item number, score, first and last word, seeds) of the items whose best place reaches the threshold."""
         ids = self.numbers(words_of(text))
         positions, numbers = self.hits(ids)
-        starts: dict[int, list[int]] = {}
-        for position, number in zip(positions.tolist(), numbers.tolist()):
-            for entry in range(self.first[number], self.first[number + 1]):
-                if self.seed[entry]:
-                    item, offset = self.entries[entry].tolist()
-                    starts.setdefault(item, []).append(position - offset)
+        if len(positions) == 0:
+            return []
+        sizes = self.first[numbers + 1] - self.first[numbers]
+        ends = np.cumsum(sizes)
+        entry = np.repeat(self.first[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])
+        items, begins, seeds = self.entries[entry, 0], np.repeat(positions, sizes) - self.entries[entry, 1], self.seed[entry]
+        keep = np.isin(items, self._possible(np.unique(items), ids, threshold))
+        items, begins, seeds = items[keep], begins[keep], seeds[keep]
+        order = np.lexsort((begins, items))
+        items, begins, seeds = items[order], begins[order], seeds[order]
+        found, at = np.unique(items, return_index=True)
         out = []
-        for item, begins in starts.items():
-            best = self._best_place(item, sorted(begins), ids, threshold)
+        for item, low, high in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(items)]):
+            best = self._best_place(item, begins[low:high], ids, threshold)
             if best[0] >= threshold:
-                out.append((item, *best, len(begins)))
+                out.append((item, *best, int(np.count_nonzero(seeds[low:high]))))
         return out
 
-    def _best_place(self, number: int, begins: list[int], ids: np.ndarray, threshold: float) -> tuple[float, int, int]:
+    def _best_place(self, number: int, begins: np.ndarray, ids: np.ndarray, threshold: float) -> tuple[float, int, int]:
         item = self.items[number]
         size, best = len(item), (-1.0, 0, 0)
-        place_from = 0
-        for i in range(1, len(begins) + 1):
-            if i < len(begins) and begins[i] - begins[i - 1] <= size // 2:
-                continue
-            low, high = begins[place_from], begins[i - 1]
-            place_from = i
-            if low == high and low >= 0 and np.array_equal(ids[low : low + size], item):
-                return 1.0, low, low + size - 1
+        for group in np.split(begins, np.flatnonzero(np.diff(begins) > size // 2) + 1):
+            low, high = int(group[0]), int(group[-1])
+            starts, hits = np.unique(group, return_counts=True)
+            for start in starts[hits >= size - self.n + 1].tolist():
+                if start >= 0 and np.array_equal(ids[start : start + size], item):
+                    return 1.0, start, start + size - 1
             slack = size // 2
             from_word = max(0, low - slack)
             place = ids[from_word : high + size + slack]
             # A score takes at least that many words of the item.
-            if np.count_nonzero(np.isin(place, item)) < max(best[0], threshold) * size:
+            if self._shared(number, place) < max(best[0], threshold) * size:
                 continue
             score, last = alignment(item, place)
             value = score / (MATCH * size)

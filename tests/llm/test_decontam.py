@@ -83,3 +83,16 @@ def test_odd_rows(spark):
     assert decontam.contaminated(docs, tests.limit(0)).count() == 0
     assert decontam.contaminated(docs.limit(0), tests).count() == 0
     assert decontam.clean(docs, tests.limit(0)).count() == len(ODD)
+
+
+def test_many_copies_of_one_edited_form_beside_a_verbatim_one(spark):
+    item = [f"w{i}" for i in range(50)]
+    edited = ["changed" if i % 5 == 4 else w for i, w in enumerate(item)]
+    rows = [(i, f"head{i} " + " ".join(edited) + f" tail{i}") for i in range(300)] + [(300, " ".join(item))]
+    rows += [(301 + i, " ".join(sentence(60))) for i in range(20)]
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r for r in decontam.contaminated(docs, tests).collect()}
+    assert set(got) == set(range(301))
+    assert got[300]["score"] == 1.0 and got[0]["score"] == plain_alignment(decontam.words_of(" ".join(item)), decontam.words_of(rows[0][1])) / 100
+    assert {r["doc_id"] for r in decontam.clean(docs, tests).collect()} == set(range(301, 321))
