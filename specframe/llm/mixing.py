@@ -24,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import hash_hex
 from ..functions.ranking import global_running, hash_rank
-from ..session import durable
+from ..session import durable, stage_path
 from .common import fresh, word_count
 
 WEIGHTS = (1, 2, 3)
@@ -113,9 +114,13 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeats: int = 3) -> D
 
 
 def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 3, seed: str = "mix", id_col: str = "doc_id",
-                text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: id, source, size, source_size, target, copies (how often the mix takes it), taken (words)."""
-    sized = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+                text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row per document: id, source, size, source_size, target, copies (how often the mix takes it), taken (words).
+
+    With ``row_col``, a stored column that tells all rows apart, it is returned as row_id and orders rows that share an id.
+    """
+    own = [F.col(row_col).alias("row_id")] if row_col else []
+    sized = durable(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *own))
     targets = durable(source_targets(sized, weights, max_repeats))
     budget = F.floor(F.col("target") + 0.5)
     plans = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.lit(max_repeats), F.floor(budget / F.col("source_size")))).otherwise(0).cast("long"))
@@ -126,11 +131,16 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_repeats: int = 3, seed: st
     known = _same(sized, durable(picks), ["source", "size"], ["n", "picks", "passes"])
     # Only lengths that are taken in part need an order among their documents.
     part = (F.col("picks") > 0) & (F.col("picks") < F.col("n"))
-    ranked = hash_rank(known.filter(part), ["source", "size"], seed, "doc_id", "place")
+    if row_col:
+        key = F.when(F.col("doc_id").isNull(), hash_hex(seed, F.lit("row"), F.col("row_id"))).otherwise(hash_hex(seed, F.col("doc_id")))
+        ranked = hash_rank(known.filter(part), ["source", "size"], seed, "row_id", "place", key=key)
+    else:
+        ranked = hash_rank(known.filter(part), ["source", "size"], seed, "doc_id", "place")
     whole = known.filter(~part).withColumn("place", F.lit(0).cast("long"))
     copies = F.col("passes") + F.when((F.col("picks") > 0) & (F.col("place") <= F.col("picks")), 1).otherwise(0)
-    taken = ranked.unionByName(whole).select("doc_id", "source", "size", copies.cast("long").alias("copies"))
-    empty = sized.filter("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("copies"))
+    columns = sized.columns
+    taken = ranked.unionByName(whole).select(*columns, copies.cast("long").alias("copies"))
+    empty = sized.filter("size = 0").select(*columns, F.lit(0).cast("long").alias("copies"))
     out = _same(taken.unionByName(empty), targets, ["source"], ["source_size", "target"])
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
@@ -144,14 +154,15 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as the mix takes it.
+    """The documents of the mix with all their columns, each row as often as the mix takes that row.
 
-    Rows that share an id share their copies evenly, rounded down.
+    Rows are numbered once and stored with their texts, so the decision on a row reaches it whatever its id is.
     """
-    id_col = options.get("id_col", "doc_id")
-    per_id = mix_sources(docs, **options).groupBy("doc_id").agg((F.sum("copies") / F.count(F.lit(1))).cast("int").alias("copies"))
-    key, copies, copy = fresh("key"), fresh("copies"), fresh("copy")
-    per_id = per_id.filter("copies > 0").select(F.col("doc_id").alias(key), F.col("copies").alias(copies))
-    joined = docs.join(per_id, docs[id_col].eqNullSafe(per_id[key]))
+    spark, row, key, copies, copy = docs.sparkSession, fresh("row"), fresh("key"), fresh("copies"), fresh("copy")
+    path = stage_path(spark, "mix-rows")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    per_row = mix_sources(stored, row_col=row, **options).filter("copies > 0").select(F.col("row_id").alias(key), F.col("copies").cast("int").alias(copies))
+    joined = stored.join(per_row, F.col(row) == F.col(key))
     repeated = joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    return repeated.select(*[stored[c] for c in docs.columns])

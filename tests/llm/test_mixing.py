@@ -76,3 +76,28 @@ def test_odd_rows_and_stage(spark):
     assert mixed.columns == docs.columns
     assert mixed.filter("trim(text) = ''").count() == 0
     assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def test_stage_keeps_the_decision_of_every_row(spark):
+    rng = random.Random(8)
+    text = lambda i: f"t{i} " + " ".join("w" for _ in range(rng.randint(1, 40)))
+    rows = [(i, text(i), None, rng.choice(["a", "b", "c", None])) for i in range(400)]
+    rows += [(None, text(1000 + i), None, rng.choice(["a", "b", "c"])) for i in range(300)]  # a third of the corpus has no id
+    rows += [(7, text(2000 + i), None, rng.choice(["a", "b", "c"])) for i in range(200)]
+    docs = documents(spark, rows)
+    decided = mixing.mix_sources(docs).toPandas()
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.toPandas()
+    got["size"] = got.text.str.split().str.len()
+    own = decided.assign(source=decided.source.fillna("-"))
+    words = got.assign(source=got.source.fillna("-")).groupby("source")["size"].sum()
+    for source, group in own.groupby("source"):
+        assert abs(words[source] - group.target.iloc[0]) <= 2
+    taken = own.groupby(["source", "size"]).copies.sum()
+    copies = got.assign(source=got.source.fillna("-")).groupby(["source", "size"]).size()
+    assert taken[taken > 0].to_dict() == copies.to_dict()
+    # The choice by the seeded order of ids is that of mix_sources where no id repeats.
+    alone = documents(spark, rows[:7] + rows[8:400])
+    expected = mixing.mix_sources(alone).filter("copies > 0").toPandas()
+    assert dict(zip(expected.doc_id, expected.copies)) == mixing.mixed_documents(alone).toPandas().groupby("doc_id").size().to_dict()
