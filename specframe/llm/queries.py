@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lm_score, mixing, near_dup, quality_model, quality_rules, token_files, toxicity, url_filter
+from . import decontam, licenses, lm_score, mixing, near_dup, quality_model, quality_rules, token_files, toxicity, url_filter, vector_search
 from .common import GAP, WORD, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -166,3 +166,14 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_files")
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+@query("op13_exact_top", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20""")
+def op13_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.exact_top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
