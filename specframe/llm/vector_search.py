@@ -5,9 +5,9 @@ the order of that dimension's value: runs of equal value are the posting segment
 dimension j has the impact q[j] * v. Segments are processed by descending quantised size of their impact (levels halve),
 each adding its impact to the accumulators of its rows. After a level, what is missing from any accumulator is at most
 the sum over dimensions of the largest impact not yet processed; rows whose accumulator plus that bound reaches the k-th
-best exact score known so far are the possible members. Nothing else can enter the result, which is the proof on which
-processing stops, as soon as scoring the possible members exactly costs less than the segments left. Then they are scored
-exactly. If no early proof comes, all segments are processed.
+best exact score known so far are the possible members. Nothing else can enter the result: processing stops on this proof, once it
+leaves out three quarters of the rows, and the possible members are scored exactly. If no early proof comes, all segments
+are processed.
 
 Blocks of queries meet blocks of the index in a keyed join (``functions.blocks``); a task holds one block of each. Each
 block gives at most k rows a query, and a window with a group limit keeps the k best.
@@ -37,6 +37,8 @@ LIMIT = 1 << 27
 FOUND = "query_row long, query_id long, cand_row long, vec_id long, score long"
 # The first level is this share of the largest impact; each next one is half of the one before.
 FIRST_LEVEL = 0.125
+# Processing stops when at most this share of a block's rows is not proved out.
+POSSIBLE = 0.25
 
 
 def integer_vectors(vectors: DataFrame, is_query: Column, scale: int, id_col: str, vector_col: str) -> DataFrame:
@@ -77,53 +79,65 @@ def _packer(width: int, indexed: bool):
 
 
 class BlockIndex:
-    """Impact-ordered postings of one block."""
+    """Impact-ordered postings of one block, for queries with components of at most ``reach`` in absolute value.
 
-    def __init__(self, matrix: np.ndarray, postings: np.ndarray):
-        self.matrix, self.postings = matrix.astype(np.int64), postings
+    Numbers are held in a type in which every sum of products is exact: float64, or int64 where that is too narrow.
+    """
+
+    def __init__(self, matrix: np.ndarray, postings: np.ndarray, reach: int = LIMIT):
         self.n, self.width = matrix.shape
-        self.values = np.take_along_axis(self.matrix.T, postings.astype(np.int64), axis=1) if self.n else self.matrix.T.copy()
+        self.postings = postings.astype(np.intp)
+        values = np.take_along_axis(matrix.T, self.postings, axis=1) if self.n else matrix.T
         # One sorted array for all dimensions: a search in it finds a bound in every dimension at once.
         self.step = np.int64(8 * LIMIT)
-        self.keys = (self.values + self.step * np.arange(self.width)[:, None]).ravel()
-        self.extreme = np.abs(self.values[:, [0, -1]]).max(axis=1) if self.n else np.zeros(self.width, dtype=np.int64)
+        self.keys = (values + self.step * np.arange(self.width)[:, None]).ravel()
+        self.extreme = np.abs(values[:, [0, -1]].astype(np.int64)).max(axis=1) if self.n else np.zeros(self.width, dtype=np.int64)
+        most = self.width * int(self.extreme.max(initial=0)) * reach
+        self.kind = np.float64 if most < 1 << 53 else np.int64
+        self.matrix, self.values = matrix.astype(self.kind), values.astype(self.kind)
 
-    def top(self, q: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+    def top(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and exact scores of all possible members of the k best, and the number of postings processed."""
-        dims = np.flatnonzero((q != 0) & (self.extreme > 0))
-        size = np.abs(q[dims])
+        q = query.astype(self.kind)
+        dims = np.flatnonzero((query != 0) & (self.extreme > 0))
+        size = np.abs(query[dims]).astype(np.int64)
         largest = size * self.extreme[dims]
-        everything = np.arange(self.n)
+
+        def scored(rows: np.ndarray) -> np.ndarray:
+            return (self.matrix[rows] @ q).astype(np.int64)
+
         if self.n <= k + 1 or not len(dims):
-            return everything[everything != own], self.matrix[everything[everything != own]] @ q, 0
-        acc = np.zeros(self.n, dtype=np.int64)
+            everything = np.arange(self.n)
+            everything = everything[everything != own]
+            return everything, scored(everything), 0
+        acc = np.zeros(self.n, dtype=self.kind)
         base, starts = self.step * dims, self.n * dims
         low, high = np.zeros(len(dims), dtype=np.int64), np.full(len(dims), self.n)
-        level, done, floor = max(1, int(largest.max() * FIRST_LEVEL)), 0, None
+        level, floor = max(1, int(largest.max() * FIRST_LEVEL)), None
         while True:
             bound = np.minimum(-(-level // size), 2 * LIMIT)
             new_low = np.maximum(low, np.searchsorted(self.keys, base - bound, side="right") - starts)
             new_high = np.minimum(high, np.searchsorted(self.keys, base + bound, side="left") - starts)
-            for j, a, b, c, d in zip(dims.tolist(), low.tolist(), new_low.tolist(), new_high.tolist(), high.tolist()):
-                # A row stands once in a dimension, so plain indexed addition adds every posting.
-                if a < b:
-                    acc[self.postings[j, a:b]] += q[j] * self.values[j, a:b]
-                if c < d:
-                    acc[self.postings[j, c:d]] += q[j] * self.values[j, c:d]
+            runs = [(j, a, b) for j, a, b in zip(dims.tolist(), low.tolist(), new_low.tolist()) if a < b]
+            runs += [(j, a, b) for j, a, b in zip(dims.tolist(), new_high.tolist(), high.tolist()) if a < b]
+            if runs:
+                rows = np.concatenate([self.postings[j, a:b] for j, a, b in runs])
+                impacts = np.concatenate([q[j] * self.values[j, a:b] for j, a, b in runs])
+                if self.kind == np.int64:
+                    np.add.at(acc, rows, impacts)
+                else:
+                    acc += np.bincount(rows, impacts, self.n)
             low, high = new_low, new_high
-            done = int((low + self.n - high).sum())
-            left = len(dims) * self.n - done
             if own >= 0:
-                acc[own] = np.iinfo(np.int64).min // 2
+                acc[own] = -np.inf if self.kind != np.int64 else np.iinfo(np.int64).min // 2
             best = np.argpartition(acc, self.n - k)[self.n - k :]
-            exact = int((self.matrix[best] @ q).min())
+            exact = int(scored(best).min())
             floor = exact if floor is None else max(floor, exact)
             missing = int(np.minimum(largest, level - 1).sum())
-            possible = np.flatnonzero(acc + missing >= floor)
-            if level == 1 or len(possible) * self.width <= left:
-                if own >= 0:
-                    possible = possible[possible != own]
-                return possible, self.matrix[possible] @ q, done
+            possible = np.flatnonzero(acc >= floor - missing)
+            if level == 1 or len(possible) <= POSSIBLE * self.n:
+                possible = possible[possible != own]
+                return possible, scored(possible), int((low + self.n - high).sum())
             level = max(1, level // 2)
 
 
@@ -134,9 +148,10 @@ def _search(k: int, width: int):
                 get = lambda name: batch.column(name)[i].as_py()
                 ids, rows = np.array([x if x is not None else np.iinfo(np.int64).max for x in get("rids")], dtype=np.int64), get("rrows")
                 present = np.array([x is not None for x in get("rids")])
-                index = BlockIndex(np.frombuffer(get("rmatrix"), dtype=np.int32).reshape(-1, width), np.frombuffer(get("rpostings"), dtype=np.int32).reshape(width, -1))
+                queries = np.frombuffer(get("lmatrix"), dtype=np.int32).reshape(-1, width)
+                reach = int(np.abs(queries.astype(np.int64)).max(initial=0))
+                index = BlockIndex(np.frombuffer(get("rmatrix"), dtype=np.int32).reshape(-1, width), np.frombuffer(get("rpostings"), dtype=np.int32).reshape(width, -1), reach)
                 place = {row: n for n, row in enumerate(rows)}
-                queries = np.frombuffer(get("lmatrix"), dtype=np.int32).reshape(-1, width).astype(np.int64)
                 out: list[tuple] = []
                 for query_id, query_row, q in zip(get("lids"), get("lrows"), queries):
                     members, scores, _ = index.top(q, k, place.get(query_row, -1))

@@ -27,7 +27,7 @@ def found(spark, rows, k=5, modulus=3):
     return sorted([tuple(r) for r in got.collect()], key=repr)
 
 
-@pytest.mark.parametrize("kind", ["normal", "ties", "sparse", "positive"])
+@pytest.mark.parametrize("kind", ["normal", "ties", "sparse", "positive", "large"])
 def test_equals_brute_force_over_several_blocks(spark, monkeypatch, kind):
     monkeypatch.setattr(vector_search, "INDEX_CELLS", 256 * 8)
     monkeypatch.setattr(vector_search, "QUERY_CELLS", 64 * 8)
@@ -38,6 +38,8 @@ def test_equals_brute_force_over_several_blocks(spark, monkeypatch, kind):
         m[100:400] = m[100]  # a third of all rows are one vector
     if kind == "sparse":
         m[rng.random(m.shape) < 0.8] = 0
+    if kind == "large":
+        m = m * 4e6
     if kind == "positive":
         m = np.abs(m)
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(m)]
