@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lm_score, mixing, near_dup, quality_model, quality_rules, token_files, toxicity, url_filter, vector_search
-from .common import GAP, WORD, table
+from . import decontam, lexical_search, licenses, lm_score, mixing, near_dup, quality_model, quality_rules, token_files, toxicity, url_filter, vector_search
+from .common import GAP, LOWER, UPPER, WORD, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -177,3 +177,26 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 20""")
 def op13_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.exact_top(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _split(column: str) -> str:
+    return f"regexp_extract_all(translate({column}, '{UPPER}', '{LOWER}'), '{_TERM}')"
+
+
+@query("op12_ranked_search", f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_split('text')} AS ts FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS big_n, CAST(sum(len(ts)) AS BIGINT) AS big_l FROM d WHERE len(ts) > 0),
+p AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest({_split('text')}) AS term FROM benchmark WHERE text IS NOT NULL),
+w AS (SELECT item_id, term, CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM q JOIN df USING (term) CROSS JOIN s),
+c AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM w JOIN tf USING (term) CROSS JOIN s GROUP BY ALL),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)

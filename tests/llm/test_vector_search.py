@@ -39,7 +39,7 @@ def test_equals_brute_force_over_several_blocks(spark, monkeypatch, kind):
     if kind == "sparse":
         m[rng.random(m.shape) < 0.8] = 0
     if kind == "large":
-        m = m * 4e6
+        m = m * 2e6
     if kind == "positive":
         m = np.abs(m)
     rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(m)]
