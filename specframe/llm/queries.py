@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lexical_search, licenses, lm_score, mixing, near_dup, quality_model, quality_rules, token_files, toxicity, url_filter, vector_search
+from . import decontam, lexical_search, licenses, lm_score, mixing, near_dup, prefix_trie, quality_model, quality_rules, token_files, toxicity, url_filter, vector_search
 from .common import GAP, LOWER, UPPER, WORD, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -200,3 +200,33 @@ k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY scor
 SELECT * FROM k WHERE rank <= 50""")
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+# Unsigned crc32 of a decimal id, bit by bit: SQL has no such function, so the table of its 256 steps is derived first.
+_CRC = """crc_bits AS (SELECT i, 0 AS k, CAST(i AS BIGINT) AS v FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS steps FROM crc_bits WHERE k = 8)"""
+
+
+@query("op11_prefix_trie", f"""
+WITH RECURSIVE {_CRC},
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32)) AS pos,
+  concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS said, octet_length(CAST(coalesce(text, '') AS BLOB)) AS size FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, count(*) AS n FROM t GROUP BY 1),
+h AS (SELECT c, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: xor(a >> 8, steps[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h FROM ids CROSS JOIN crc_table),
+r AS (SELECT h.c, t.pos, t.said, t.size FROM h JOIN t ON t.c = h.c - h.c % 5 AND t.pos <= h.h
+  UNION ALL SELECT h.c, least(h.h, coalesce(b.n, 0)) + t.pos - h.h, t.said, t.size FROM h JOIN t ON t.c = h.c AND t.pos > h.h LEFT JOIN ids b ON b.c = h.c - h.c % 5),
+e AS (SELECT c, 0 AS pos, sha256('') AS said, 0 AS size FROM ids UNION ALL SELECT c, pos, sha256(said), size FROM r),
+o AS (SELECT c, pos, size, string_agg(said, '') OVER (PARTITION BY c ORDER BY pos) AS path, pos = max(pos) OVER (PARTITION BY c) AS last FROM e),
+o2 AS (SELECT c, pos, size, last, sha256(path) AS node FROM o),
+o3 AS (SELECT *, lag(node) OVER (PARTITION BY c ORDER BY pos) AS parent FROM o2),
+n AS (SELECT node, parent, pos AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS own, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM o3 GROUP BY ALL),
+k AS (SELECT parent AS node, count(*) AS kids FROM n WHERE parent IS NOT NULL GROUP BY 1),
+first AS (SELECT node, parent, own, CAST(k.kids IS NULL AS INT) AS leaf FROM n LEFT JOIN k USING (node)),
+up AS (SELECT node AS top, parent, own, leaf FROM first UNION ALL SELECT f.node, f.parent, up.own, up.leaf FROM up JOIN first f ON up.parent = f.node),
+s AS (SELECT top AS node, sum(own) AS saved, sum(leaf) AS leaves FROM up GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(k.kids, 0) AS BIGINT) AS n_children, CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n p ON p.node = n.parent LEFT JOIN k ON k.node = n.node JOIN s ON s.node = n.node""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
