@@ -211,7 +211,7 @@ crc_table AS (SELECT list(v ORDER BY i) AS steps FROM crc_bits WHERE k = 8)"""
 @query("op11_prefix_trie", f"""
 WITH RECURSIVE {_CRC},
 t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, substr(sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))), 1, 32)) AS pos,
-  concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS said, octet_length(CAST(coalesce(text, '') AS BLOB)) AS size FROM conversations WHERE conv_id IS NOT NULL),
+  concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
 ids AS (SELECT c, count(*) AS n FROM t GROUP BY 1),
 h AS (SELECT c, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
   lambda a, b: xor(a >> 8, steps[1 + (xor(a, b) & 255)])), 4294967295) % 9 AS h FROM ids CROSS JOIN crc_table),
