@@ -1,16 +1,12 @@
 """Entities against a bank of candidate states: costs, nearest states, softmax posteriors and their summaries.
 
-The bank (states x coordinates) is fixed by the design; entities grow with the data. Pair costs are therefore
-reduced where they are made: the bank is broadcast in chunks of checked size, each task multiplies its batch of
-entities with a chunk, and one row of mergeable partial sums per entity leaves the task. Only
-``pairwise_cost`` and ``kernel_posterior``, whose results are the pairs, write pairs out.
+Pair costs are reduced where they are made (``tiled``): blocks of entities meet blocks of the bank in a keyed join, and one row of
+mergeable partial sums per entity leaves a tile. Only ``pairwise_cost`` and ``kernel_posterior``, whose results are
+the pairs, write pairs out.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +14,7 @@ from .. import session
 from ..functions.expr import correlation, ratio
 from ..functions.packing import declared_axis, dense
 from ..functions.quantiles import exact_quantiles
+from . import tiled
 
 
 def squared_distance(a, b) -> Column:
@@ -71,247 +68,24 @@ def pairwise_cost(entities: DataFrame, states: DataFrame, method: str = "long",
         means = states.groupBy("state_id", "coord").agg(F.avg("value").alias("f"), F.var_pop("value").alias("s"))
         return entities.join(means, "coord").groupBy("entity_id", "state_id").agg(
             F.sum(F.pow(F.col("f") - F.col("value"), F.lit(2)) + F.col("s")).alias("cost"))
-    import numpy as np
-
     axis = [r["coord"] for r in states.select("coord").distinct().collect()]  # the coordinates are fixed by the design
     packed = pack_entities(entities.withColumn("segment", F.lit("fit")), {"fit": "fit"}, axis)
-    kind = dict(entities.dtypes)["entity_id"]
-    out = None
-    for chunk in bank_chunks(pack_states(states), [], limit):
-        def pairs(batches, chunk=chunk):
-            bank = chunk.value
-            for pdf in batches:
-                cost = _costs(np.stack(pdf["fit"].to_numpy()), bank)
-                n = len(bank["state_id"])
-                yield pd.DataFrame({"entity_id": np.repeat(pdf["entity_id"].to_numpy(), n), "state_id": np.tile(bank["state_id"], len(pdf)), "cost": cost.ravel()})
-
-        part = packed.select("entity_id", "fit").mapInPandas(pairs, f"entity_id {kind}, state_id string, cost double")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def bank_chunks(states: DataFrame, priors: list[str], limit: int | None = None) -> list:
-    """Broadcast values of the packed bank, each at most ``limit`` bytes; candidates are never split.
-
-    The size is counted before anything is collected. A bank beyond the limit is dealt out by a hash of the candidate,
-    one chunk in driver memory at a time.
-    """
-    import numpy as np
-
-    limit = limit or session.BROADCAST_BYTES
-    n, width = states.agg(F.count(F.lit(1)), F.max(F.size("f") + F.size("theta"))).first()
-    chunks = max(1, math.ceil(n * ((width or 0) + len(priors) + 2) * 8 / limit))
-    context = states.sparkSession.sparkContext
-    out = []
-    for i in range(chunks):
-        part = states if chunks == 1 else states.where(F.pmod(F.xxhash64("candidate_id"), F.lit(chunks)) == i)
-        pdf = part.toPandas().sort_values(["candidate_id", "state_id"], kind="stable")
-        if not len(pdf):
-            continue
-        candidates = pdf["candidate_id"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, candidates[1:] != candidates[:-1]])
-        out.append(context.broadcast({
-            "state_id": pdf["state_id"].to_numpy(), "candidate_id": candidates, "starts": starts, "f": np.stack(pdf["f"].to_numpy()),
-            "spread": pdf["spread"].to_numpy(dtype=float), "theta": np.stack(pdf["theta"].to_numpy()), "priors": {p: pdf[p].to_numpy(dtype=float) for p in priors}}))
-    return out
-
-
-def _costs(rows, bank):
-    import numpy as np
-
-    f = bank["f"]
-    cross = np.maximum((rows * rows).sum(axis=1)[:, None] + (f * f).sum(axis=1)[None, :] - 2.0 * rows @ f.T, 0.0)
-    return cross + bank["spread"][None, :]
-
-
-PROBABILITIES = (0.05, 0.95)
-
-
-def _quantiles(values, weights, probabilities):
-    """Weighted quantiles of each parameter for a batch of weight rows."""
-    import numpy as np
-
-    out = np.empty((weights.shape[0], values.shape[1], len(probabilities)))
-    for column in range(values.shape[1]):
-        order = np.argsort(values[:, column], kind="stable")
-        ordered = values[order, column]
-        cumulative = np.cumsum(weights[:, order], axis=1)
-        for row in range(weights.shape[0]):
-            out[row, column] = np.interp(probabilities, cumulative[row], ordered)
-    return out.reshape(weights.shape[0], -1)
+    bank = pack_states(states)
+    kinds = {"entity_id": dict(entities.dtypes)["entity_id"], "state_id": dict(bank.dtypes)["state_id"]}
+    return tiled.pair_costs(tiled.entity_side(packed, ["entity_id"], ["fit"], limit), tiled.bank_side(bank, [], limit), kinds)
 
 
 def posterior_pass(entities: DataFrame, states: DataFrame, variants: list[tuple[str, float, str]], top_k: int = 10,
-                   limit: int | None = None) -> DataFrame:
+                   limit: int | None = None, quantiles: bool = True) -> DataFrame:
     """One row per entity and variant with everything the posterior summaries need.
 
     ``entities`` are packed rows (entity_id, fit[, unseen], ..); ``states`` packed rows plus prior columns; a variant is
     (name, temperature, prior column). Weights are softmax(-(cost + prior) / (2 T)). Columns: m (largest log
     weight), s, s2, c2 (sums of weights, squared weights and squared candidate weights, all relative to m), theta and pred
     (weighted sums), best_* (MAP state), oracle (smallest unseen distance), top (k heaviest states), q (5 and 95 % points of
-    each parameter). A bank of several chunks gives the same columns as one: sums merge, and the quantiles take a second pass.
+    each parameter, null without ``quantiles``). ``limit`` is the size of a block in bytes; results do not depend on it.
     """
-    import numpy as np
-
-    names = sorted({prior for _, _, prior in variants})
-    chunks = bank_chunks(states, names, limit)
-    single = len(chunks) == 1
-    keep = [c for c in ("entity_id", "fit", "unseen") if c in entities.columns]
-    kinds, state_kinds = dict(entities.dtypes), dict(states.dtypes)
-    schema = (f"entity_id {kinds['entity_id']}, variant string, m double, s double, s2 double, c2 double, best_state string, "
-              f"best_candidate {state_kinds['candidate_id']}, best_f array<double>, theta array<double>, pred array<double>, oracle double, "
-              f"top array<struct<l:double,state_id:string,candidate_id:{state_kinds['candidate_id']}>>, q array<double>, hist array<double>")
-    grid = [] if single else _parameter_grid(states)
-
-    def reduce_chunk(batches, chunk):
-        bank = chunk.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            cost = _costs(np.stack(pdf["fit"].to_numpy()), bank)
-            oracle = np.full(len(pdf), np.nan)
-            if "unseen" in pdf.columns:
-                unseen = np.stack(pdf["unseen"].to_numpy())
-                f = bank["f"]
-                oracle = np.maximum((unseen * unseen).sum(axis=1)[:, None] + (f * f).sum(axis=1)[None, :] - 2.0 * unseen @ f.T, 0.0).min(axis=1)
-            for variant, temperature, prior in variants:
-                logit = -0.5 * (cost + bank["priors"][prior][None, :]) / temperature
-                best = logit.argmax(axis=1)
-                m = logit.max(axis=1)
-                e = np.exp(logit - m[:, None])
-                s = e.sum(axis=1)
-                k = min(top_k, e.shape[1])
-                part = np.argpartition(-logit, k - 1, axis=1)[:, :k]
-                top = []
-                for row, picked in enumerate(part):
-                    picked = picked[np.lexsort((bank["state_id"][picked], -logit[row, picked]))]
-                    top.append([{"l": float(logit[row, j]), "state_id": bank["state_id"][j], "candidate_id": bank["candidate_id"][j]} for j in picked])
-                q = list(_quantiles(bank["theta"], e / s[:, None], PROBABILITIES)) if single and bank["theta"].shape[1] else [None] * len(pdf)
-                hist = [None] * len(pdf) if single else list(_histogram(bank["theta"], e, grid))
-                yield pd.DataFrame({
-                    "entity_id": pdf["entity_id"].to_numpy(), "variant": variant, "m": m, "s": s, "s2": (e * e).sum(axis=1),
-                    "c2": (np.add.reduceat(e, bank["starts"], axis=1) ** 2).sum(axis=1), "best_state": bank["state_id"][best],
-                    "best_candidate": bank["candidate_id"][best], "best_f": list(bank["f"][best]), "theta": list(e @ bank["theta"]),
-                    "pred": list(e @ bank["f"]), "oracle": oracle, "top": top, "q": q, "hist": hist})
-
-    out = None
-    for chunk in chunks:
-        part = entities.select(*keep).mapInPandas(lambda batches, chunk=chunk: reduce_chunk(batches, chunk), schema)
-        out = part if out is None else out.unionByName(part)
-    if single:
-        return out.drop("hist")
-    merged = session.durable(_merge_chunks(out, top_k))
-    return _with_quantiles(merged, entities, chunks, variants, grid)
-
-
-def _merge_chunks(parts: DataFrame, top_k: int) -> DataFrame:
-    """Add partial sums of bank chunks: one small row per entity and chunk meets in one group."""
-    grouped = parts.groupBy("entity_id", "variant").agg(F.collect_list(F.struct(*[c for c in parts.columns if c not in ("entity_id", "variant")])).alias("p"))
-    grouped = grouped.withColumn("m", F.array_max(F.transform("p", lambda x: x["m"])))
-
-    def scaled(name: str, power: int) -> Column:
-        return F.aggregate(F.transform("p", lambda x: x[name] * F.exp((x["m"] - F.col("m")) * power)), F.lit(0.0), lambda a, v: a + v)
-
-    def vector(name: str) -> Column:
-        size = F.size(F.element_at("p", 1)[name])
-        cell = lambda i: F.aggregate(F.transform("p", lambda x: F.get(x[name], i) * F.exp(x["m"] - F.col("m"))), F.lit(0.0), lambda a, v: a + v)
-        return F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), cell)).otherwise(F.array().cast("array<double>"))
-
-    best = F.array_min(F.transform("p", lambda x: F.struct((-x["m"]).alias("l"), x["best_state"].alias("best_state"), x["best_candidate"].alias("best_candidate"), x["best_f"].alias("best_f"))))
-    ordered = F.array_sort(F.transform(F.flatten(F.transform("p", lambda x: x["top"])), lambda t: F.struct((-t["l"]).alias("l"), t["state_id"].alias("state_id"), t["candidate_id"].alias("candidate_id"))))
-    top = F.transform(F.slice(ordered, 1, top_k), lambda t: F.struct((-t["l"]).alias("l"), t["state_id"].alias("state_id"), t["candidate_id"].alias("candidate_id")))
-    return grouped.withColumn("b", best).select(
-        "entity_id", "variant", "m", vector("hist").alias("hist"), scaled("s", 1).alias("s"), scaled("s2", 2).alias("s2"), scaled("c2", 2).alias("c2"), "b.best_state", "b.best_candidate", "b.best_f",
-        vector("theta").alias("theta"), vector("pred").alias("pred"), F.array_min(F.transform("p", lambda x: x["oracle"])).alias("oracle"), top.alias("top"))
-
-
-def _parameter_grid(states: DataFrame, bins: int = 200) -> list[list[float]]:
-    """Per parameter, values of states that cut them into about ``bins`` parts, for bins (previous cut, cut]."""
-    width = states.agg(F.max(F.size("theta"))).first()[0] or 0
-    shares = [(i + 1) / bins for i in range(bins - 1)]
-    if width == 0:
-        return []
-    row = states.agg(*[F.percentile_approx(F.get("theta", F.lit(i)), shares, 10 * bins).alias(f"g{i}") for i in range(width)]).first()
-    return [sorted(set(row[f"g{i}"])) for i in range(width)]
-
-
-def _histogram(theta, weights, grid):
-    """Weight per bin, for each row of weights and each parameter side by side."""
-    import numpy as np
-
-    parts = []
-    for column, cuts in enumerate(grid):
-        place = np.searchsorted(cuts, theta[:, column], side="left")
-        order = np.argsort(place, kind="stable")
-        present, starts = np.unique(place[order], return_index=True)
-        part = np.zeros((len(weights), len(cuts) + 1))
-        part[:, present] = np.add.reduceat(weights[:, order], starts, axis=1)
-        parts.append(part)
-    return np.concatenate(parts, axis=1) if parts else np.zeros((len(weights), 0))
-
-
-def _with_quantiles(merged: DataFrame, entities: DataFrame, chunks: list, variants: list[tuple[str, float, str]], grid: list[list[float]]) -> DataFrame:
-    """Add q to merged rows: the merged histogram tells the bin of each quantile, and a second pass fetches that bin's states only."""
-    import numpy as np
-
-    kind = dict(entities.dtypes)["entity_id"]
-    slots = [(i, p) for i in range(len(grid)) for p in PROBABILITIES]
-    if not slots:
-        return merged.drop("hist").withColumn("q", F.lit(None).cast("array<double>"))
-    offsets = np.cumsum([0, *[len(cuts) + 1 for cuts in grid]])
-
-    def crossing(hist, s):
-        """Bin of each slot and the share of weight below it, per row."""
-        bins, below = np.zeros((len(hist), len(slots)), dtype=int), np.zeros((len(hist), len(slots)))
-        for j, (i, p) in enumerate(slots):
-            share = np.cumsum(hist[:, offsets[i] : offsets[i + 1]], axis=1) / s[:, None]
-            over = share > p
-            bins[:, j] = np.where(over.any(axis=1), over.argmax(axis=1), len(grid[i]))
-            rows = np.flatnonzero(bins[:, j] > 0)
-            below[rows, j] = share[rows, bins[rows, j] - 1]
-        return bins, below
-
-    temperature = {name: (t, prior) for name, t, prior in variants}
-    located = merged.select("entity_id", "variant", "m", "s", "hist").join(entities.select("entity_id", "fit"), "entity_id")
-
-    def members(batches, chunk):
-        bank = chunk.value
-        places = [np.searchsorted(cuts, bank["theta"][:, i], side="left") for i, cuts in enumerate(grid)]
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            bins, below = crossing(np.stack(pdf["hist"].to_numpy()), pdf["s"].to_numpy())
-            cost = _costs(np.stack(pdf["fit"].to_numpy()), bank)
-            out = []
-            for row, (entity, variant, m, s) in enumerate(zip(pdf["entity_id"], pdf["variant"], pdf["m"], pdf["s"])):
-                t, prior = temperature[variant]
-                weight = np.exp(-0.5 * (cost[row] + bank["priors"][prior]) / t - m) / s
-                for j, (i, _) in enumerate(slots):
-                    inside = places[i] == bins[row, j]
-                    out.append((entity, variant, j, int(bins[row, j]), float(below[row, j]), bank["theta"][inside, i].tolist(), weight[inside].tolist()))
-            yield pd.DataFrame(out, columns=["entity_id", "variant", "j", "bin", "below", "v", "w"])
-
-    fetched = None
-    for chunk in chunks:
-        part = located.mapInPandas(lambda batches, chunk=chunk: members(batches, chunk), f"entity_id {kind}, variant string, j int, bin int, below double, v array<double>, w array<double>")
-        fetched = part if fetched is None else fetched.unionByName(part)
-    gathered = fetched.groupBy("entity_id", "variant", "j").agg(F.first("bin").alias("bin"), F.first("below").alias("below"), F.flatten(F.collect_list("v")).alias("v"), F.flatten(F.collect_list("w")).alias("w"))
-
-    def solve(batches):
-        for pdf in batches:
-            points = []
-            for j, place, below, v, w in zip(pdf["j"], pdf["bin"], pdf["below"], pdf["v"], pdf["w"]):
-                i, p = slots[j]
-                order = np.argsort(v, kind="stable")
-                value, upto = np.asarray(v)[order], below + np.cumsum(np.asarray(w)[order])
-                if place > 0:  # the last state below the bin is the cut itself
-                    value, upto = np.r_[grid[i][place - 1], value], np.r_[below, upto]
-                points.append(float(np.interp(p, upto, value)))
-            yield pd.DataFrame({"entity_id": pdf["entity_id"].to_numpy(), "variant": pdf["variant"].to_numpy(), "j": pdf["j"].to_numpy(), "x": points})
-
-    solved = gathered.mapInPandas(solve, f"entity_id {kind}, variant string, j int, x double")
-    q = solved.groupBy("entity_id", "variant").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda r: r["x"]).alias("q"))
-    return merged.drop("hist").join(q, ["entity_id", "variant"])
+    return tiled.posterior(entities, states, variants, top_k, limit, quantiles)
 
 
 def posterior_summary(passed: DataFrame, theta: list[str]) -> DataFrame:
@@ -395,7 +169,7 @@ def select_temperature(train: DataFrame, states: DataFrame, prior: str, base: fl
     """
     temperatures = sorted({max(minimum, base * m) for m in multipliers})
     labels = {repr(t): t for t in temperatures}
-    passed = posterior_pass(train, states, [(label, t, prior) for label, t in labels.items()], top_k=1)
+    passed = posterior_pass(train, states, [(label, t, prior) for label, t in labels.items()], top_k=1, quantiles=False)
     null = F.array(*[F.lit(float(v)) for v in pooled])
     ratios = prediction(passed).join(train.select("entity_id", "unseen"), "entity_id").select(
         F.col("variant").cast("double").alias("temperature"), ratio(squared_distance("pred", "unseen"), squared_distance(null, F.col("unseen"))).alias("r"))
@@ -408,7 +182,7 @@ def select_temperature(train: DataFrame, states: DataFrame, prior: str, base: fl
 
 def recovery_rows(targets: DataFrame, states: DataFrame, truth: DataFrame, theta: list[str], variants: list[tuple[str, float, str]]) -> DataFrame:
     """(variant, entity_id, parameter, truth, estimate) for targets whose parameters are known."""
-    passed = posterior_pass(targets, states, variants, top_k=1)
+    passed = posterior_pass(targets, states, variants, top_k=1, quantiles=False)
     estimate = F.array(*[F.struct(F.lit(t).alias("parameter"), (F.get("theta", F.lit(i)) / F.col("s")).alias("estimate"), F.col(t).alias("truth")) for i, t in enumerate(theta)])
     return passed.join(truth.withColumnRenamed("candidate_id", "entity_id"), "entity_id").select("variant", "entity_id", F.explode(estimate).alias("r")).select(
         "variant", "entity_id", "r.parameter", "r.truth", "r.estimate")
@@ -425,33 +199,11 @@ def nearest_pass(entities: DataFrame, states: DataFrame, strength: float = 0.0,
     """(entity_id, candidate_id, total, cost) of the state with the smallest cost + prior, lowest id on ties.
 
     The prior is strength x mean squared distance between the state's parameters and the entity's ``center`` array.
-    Distances use the difference form, and tasks return one row per entity and bank chunk.
+    Pivot distances leave most states out (``tiled.nearest``); the others use the difference form. One row per entity and bank block.
     """
-    import numpy as np
-
-    kinds, state_kinds = dict(entities.dtypes), dict(states.dtypes)
-    schema = f"entity_id {kinds['entity_id']}, candidate_id {state_kinds['candidate_id']}, total double, cost double"
-    keep = [c for c in ("entity_id", "fit", "center") if c in entities.columns]
-
-    def search(batches, chunk):
-        bank = chunk.value
-        for pdf in batches:
-            rows = []
-            for i in range(len(pdf)):
-                cost = ((bank["f"] - pdf["fit"].iloc[i][None, :]) ** 2).sum(axis=1) + bank["spread"]
-                total = cost.copy()
-                if strength:
-                    total += strength * ((bank["theta"] - pdf["center"].iloc[i][None, :]) ** 2).mean(axis=1)
-                if exclude_self:
-                    total[bank["candidate_id"] == pdf["entity_id"].iloc[i]] = np.inf
-                best = int(total.argmin())
-                rows.append((pdf["entity_id"].iloc[i], bank["candidate_id"][best], float(total[best]), float(cost[best])))
-            yield pd.DataFrame(rows, columns=["entity_id", "candidate_id", "total", "cost"])
-
-    out = None
-    for chunk in bank_chunks(states, [], limit):
-        part = entities.select(*keep).mapInPandas(lambda batches, chunk=chunk: search(batches, chunk), schema)
-        out = part if out is None else out.unionByName(part)
+    kinds = {"entity_id": dict(entities.dtypes)["entity_id"], "candidate_id": dict(states.dtypes)["candidate_id"]}
+    left = tiled.entity_side(entities, ["entity_id"], ["fit", "center"] if strength else ["fit"], limit)
+    out = tiled.nearest_parts(left, tiled.bank_side(states, [], limit), kinds, strength, exclude_self)
     return out.groupBy("entity_id").agg(F.min(F.struct("total", "candidate_id", "cost")).alias("b")).select(
         "entity_id", "b.candidate_id", "b.total", "b.cost").where(F.col("total") < float("inf"))
 

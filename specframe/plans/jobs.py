@@ -75,7 +75,7 @@ def nested_evaluation(raw: DataFrame, bank: DataFrame, params: DataFrame, theta:
         base, pooled = scoring.base_temperature(train), scoring.pooled_mean(train)
         table = scoring.select_temperature(train, states, "prior", base, multipliers, 1e-4, pooled)
         temperature = table.where("rank = 1").first()["temperature"]
-        passed = scoring.posterior_pass(held, states, [("fold", temperature, "prior")], 1)
+        passed = scoring.posterior_pass(held, states, [("fold", temperature, "prior")], 1, quantiles=False)
         costs = scoring.predictive_costs(passed, held, pooled).join(held.select("entity_id", "grp"), "entity_id")
         out.append(costs.withColumn("outer_fold", F.lit(fold)).withColumn("temperature", F.lit(temperature)))
     return reduce(DataFrame.unionByName, out)

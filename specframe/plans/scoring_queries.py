@@ -17,6 +17,9 @@ THETA = ["p1", "p2", "p3"]
 FRACTIONS = [0.0, 0.2, 0.4]
 TERMS = [(THETA, 0.02), (["p3"], 0.05)]
 SHARPNESS = 0.05
+# Temperatures tried, as multiples of the base temperature, and the smallest temperature.
+MULTIPLIERS = [0.005, 0.01, 0.02, 0.05, 0.1, 0.25, 0.5, 1.0]
+LEAST_TEMPERATURE = 1e-4
 
 SQL_VIEWS["fx_y"] = (("fx_z",), """
 SELECT entity_id, grp, split, segment, block, coord, value * sqrt(1.0::DOUBLE / 26) AS value FROM fx_z WHERE segment IN ('fit', 'validation')
@@ -82,8 +85,8 @@ class Setup:
         self.train = self.entities.where("split = 'train'")
         self.base = scoring.base_temperature(self.train) if temperature else None
 
-    def passed(self, top_k: int = 10):
-        return scoring.posterior_pass(self.entities, self.states, [("main", SHARPNESS * self.base, "prior")], top_k)
+    def passed(self, top_k: int = 10, quantiles: bool = False):
+        return scoring.posterior_pass(self.entities, self.states, [("main", SHARPNESS * self.base, "prior")], top_k, quantiles=quantiles)
 
 
 def fit_rows(long):
@@ -133,7 +136,7 @@ FROM (SELECT entity_id, arg_min(state_id, struct_pack(w := -weight, s := state_i
         sum(weight * p1) AS p1, sum(weight * p2) AS p2, sum(weight * p3) AS p3 FROM fx_posterior JOIN fx_bank_params USING (candidate_id) GROUP BY 1) x JOIN cw ON cw.entity_id = x.entity_id
 """ + "\n".join(f"JOIN q_{t}_{p} ON q_{t}_{p}.entity_id = x.entity_id" for t in THETA for p in ("05", "95")), ("fx_posterior", "fx_bank_params"))
 def posterior_summary(spark, sf):
-    out = scoring.posterior_summary(Setup(spark, sf).passed(), THETA)
+    out = scoring.posterior_summary(Setup(spark, sf).passed(quantiles=True), THETA)
     digits = {"ess_states": 4, "ess_candidates": 4}
     return out.select(*[rnd(c, digits.get(c, 5 if "_q" in c else 6)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
@@ -195,8 +198,8 @@ def block_cost_ratios(spark, sf):
     return scoring.block_cost_ratios(s.passed(), s.entities, scoring.pooled_mean(s.train), _POSITIONS).withColumn("ratio", rnd("ratio"))
 
 
-@query("select_temperature", """
-t AS (SELECT DISTINCT greatest(1e-4, base * m) AS temperature, base FROM fx_base CROSS JOIN (VALUES (0.02::DOUBLE), (0.05::DOUBLE), (0.2::DOUBLE), (1.0::DOUBLE)) m(m)),
+@query("select_temperature", f"""
+t AS (SELECT DISTINCT greatest({LEAST_TEMPERATURE}, base * m) AS temperature, base FROM fx_base CROSS JOIN (VALUES {", ".join(f"({m}::DOUBLE)" for m in MULTIPLIERS)}) m(m)),
 l AS (SELECT c.entity_id, c.state_id, temperature, -0.5 * (cost + prior) / temperature AS l FROM fx_pair_cost c JOIN fx_prior p ON p.candidate_id = c.candidate_id CROSS JOIN t WHERE c.split = 'train'),
 e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY entity_id, temperature)) AS e FROM l),
 w AS (SELECT *, e / sum(e) OVER (PARTITION BY entity_id, temperature) AS w FROM e),
@@ -208,7 +211,7 @@ FROM s CROSS JOIN fx_base
 """, ("fx_pair_cost", "fx_prior", "fx_base", "fx_means", "fx_y", "fx_pooled"))
 def select_temperature(spark, sf):
     s = Setup(spark, sf)
-    out = scoring.select_temperature(s.train, s.states, "prior", s.base, [0.02, 0.05, 0.2, 1.0], 1e-4, scoring.pooled_mean(s.train))
+    out = scoring.select_temperature(s.train, s.states, "prior", s.base, MULTIPLIERS, LEAST_TEMPERATURE, scoring.pooled_mean(s.train))
     return out.select(*[rnd(c).alias(c) if c != "rank" else F.col(c) for c in out.columns])
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specframe.functions.expr import correlation
-from specframe.operators import evaluate, features, scoring, stats
+from specframe.operators import evaluate, features, scoring, stats, tiled
 
 RNG = np.random.default_rng(31)
 N, S, R, D, P = 17, 24, 2, 5, 3
@@ -48,7 +48,7 @@ def test_posterior_pass(spark, limit):
     packed = scoring.pack_entities(entities, {"fit": "fit", "validation": "unseen"})
     bank = scoring.pack_states(states, params, ["a", "b", "c"]).join(params.select("candidate_id", "prior"), "candidate_id")
     if limit:
-        assert len(scoring.bank_chunks(bank, ["prior"], limit)) > 2
+        assert tiled.bank_side(bank, ["prior"], limit).count > 2
     passed = scoring.posterior_pass(packed, bank, [("v", T, "prior")], 4, limit)
     cost, w = dense()
     mean, theta = STATES.mean(axis=1), THETA[np.arange(S) // 2]
@@ -222,3 +222,27 @@ def test_nonnegative_weights_meet_the_optimality_conditions():
         weights = evaluate.nonnegative_weights(design, target)
         gradient = design.T @ (target - design @ weights)
         assert (weights >= 0).all() and gradient.max() < 1e-7 and np.abs(gradient[weights > 0]).max(initial=0) < 1e-7
+
+
+def test_pivots_skip_distances_and_keep_the_nearest():
+    """Clustered states: bounds leave most pairs out, and what is left holds the exact nearest, ties included."""
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(40, 12)) * 10
+    f = np.repeat(centers, 50, axis=0) + rng.normal(size=(2000, 12)) * 0.1
+    f[77] = f[33]
+    rows = np.r_[f[33:34], centers[rng.integers(0, 40, 299)] + rng.normal(size=(299, 12)) * 0.1]
+    spread = np.where(np.arange(2000) % 2, 0.0, 0.01)
+    spread[[33, 77]] = 0.0
+    best, total, _, computed = tiled.nearest(rows, f, spread)
+    dense = ((rows[:, None] - f[None]) ** 2).sum(axis=2) + spread
+    assert (best == dense.argmin(axis=1)).all() and best[0] == 33 and total == pytest.approx(dense.min(axis=1))
+    assert computed < 0.1 * dense.size  # more than nine in ten distances skipped
+
+
+def test_heaviest_and_quantiles_on_ties():
+    logit = np.array([[1.0, 3.0, 3.0, 3.0, 0.0], [2.0, 2.0, 2.0, 2.0, 2.0]])
+    assert tiled.heaviest(logit, 2).tolist() == [[1, 2], [0, 1]] and tiled.heaviest(logit, 9).shape == (2, 5)
+    owner, value, weight = np.array([0, 0, 0, 1, 1]), np.array([3.0, 1.0, 2.0, 5.0, 5.0]), np.array([0.2, 0.5, 0.3, 0.5, 0.5])
+    got = tiled.solve_quantile(owner, value, weight, np.zeros(2), np.full(2, np.nan), np.array([0.65, 0.95]))
+    assert got == pytest.approx([1.5, 5.0])
+    assert tiled.solve_quantile(np.array([0]), np.array([4.0]), np.array([0.4]), np.array([0.5]), np.array([2.0]), np.array([0.7])) == pytest.approx([3.0])
