@@ -334,56 +334,6 @@ def network_topography(gain: DataFrame, nodes: DataFrame, topography: DataFrame,
     return spark.createDataFrame(rows, "kind string, block string, value double")
 
 
-def cv_group_signal(fit: DataFrame, unseen: DataFrame, repeats: int, outer: int, inner: int, top_k: list[int], strengths: list[float], seed: int, iterations: int = 20) -> DataFrame:
-    """(repeat, roc_auc, balanced_accuracy, brier) of a class-balanced logistic model trained on fit halves, scored on unseen halves.
-
-    fit/unseen(entity_id, label, x) with x an array of features. Folds are stratified by label; inner folds pick the number of
-    features and the regularisation by AUC. Every model is fitted by MLlib on the executors; the loop only runs over folds and grid points.
-    """
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    from .stats import stratified_folds
-
-    def prepared(df: DataFrame) -> DataFrame:
-        return df.select("entity_id", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("x"))
-
-    def balanced(df: DataFrame) -> DataFrame:
-        counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("_c"))
-        return df.join(small_side(counts), "label").withColumn("weight", F.lit(1.0) / F.col("_c"))
-
-    def model(train: DataFrame, k: int, strength: float):
-        selector = UnivariateFeatureSelector(featuresCol="z", labelCol="label", outputCol="s", selectionMode="numTopFeatures")
-        selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k)
-        logistic = LogisticRegression(featuresCol="s", labelCol="label", weightCol="weight", regParam=strength, maxIter=iterations)
-        return Pipeline(stages=[StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True), selector, logistic]).fit(balanced(train))
-
-    out = None
-    fit_rows, unseen_rows = durable(prepared(fit)), durable(prepared(unseen))
-    measure = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="label")
-    grid = [(k, s) for k in top_k for s in strengths]
-    for repeat in range(repeats):
-        folds = stratified_folds(fit_rows.select("entity_id", "label"), "label", outer, seed + repeat).select("entity_id", "fold")
-        scored = None
-        for fold in range(outer):
-            train = fit_rows.join(folds.where(F.col("fold") != fold), "entity_id").drop("fold")
-            test = unseen_rows.join(folds.where(F.col("fold") == fold), "entity_id").drop("fold")
-            best = grid[0]
-            if len(grid) > 1:
-                parts = stratified_folds(train, "label", inner, seed + 100 * repeat + fold).persist()
-                auc = {g: sum(measure.evaluate(model(parts.where(F.col("fold") != i), *g).transform(parts.where(F.col("fold") == i))) for i in range(inner)) for g in grid}
-                best = max(grid, key=lambda g: auc[g])
-                parts.unpersist()
-            predicted = model(train, *best).transform(test).select(F.get(vector_to_array("probability"), F.lit(1)).alias("score"), F.col("label").cast("int").alias("label"))
-            scored = predicted if scored is None else scored.unionByName(predicted)
-        row = binary_metrics(scored).select(F.lit(repeat).alias("repeat"), "roc_auc", "balanced_accuracy", "brier")
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def learnability(features: DataFrame, parameters: DataFrame, names: list[str], folds: int, seed: int, trees: int = 30) -> DataFrame:
     """(parameter, r2, nrmse) of cross-validated tree-ensemble regression of each varying parameter on packed features.
 

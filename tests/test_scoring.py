@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from specframe.functions.expr import correlation
-from specframe.operators import evaluate, features, scoring, stats, tiled
+from specframe.operators import evaluate, features, group_signal, scoring, stats, tiled
 
 RNG = np.random.default_rng(31)
 N, S, R, D, P = 17, 24, 2, 5, 3
@@ -201,7 +201,7 @@ def test_network_topography_recovers_a_planted_block(spark):
 def test_group_signal_finds_a_separable_label(spark):
     rows = [(e, e % 2, [float(RNG.normal() + 3 * (e % 2)), float(RNG.normal())]) for e in range(60)]
     df = spark.createDataFrame(rows, "entity_id int, label int, x array<double>")
-    row = evaluate.cv_group_signal(df, df, 1, 2, 2, [1], [0.01], 5, 5).first()
+    row = group_signal.cv_group_signal(df, df, 1, 2, 2, [1], [0.01], 5, 5).first()
     assert row["roc_auc"] > 0.9 and row["brier"] < 0.25
 
 
