@@ -332,34 +332,3 @@ def network_topography(gain: DataFrame, nodes: DataFrame, topography: DataFrame,
     rows += [("effect_coefficient", n, float(w)) for n, w in zip(names, weight)]
     rows.append(("multivariate_correlation", None, fitted.agg(correlation(F.col("f"), F.col("d"))).first()[0]))
     return spark.createDataFrame(rows, "kind string, block string, value double")
-
-
-def learnability(features: DataFrame, parameters: DataFrame, names: list[str], folds: int, seed: int, trees: int = 30) -> DataFrame:
-    """(parameter, r2, nrmse) of cross-validated tree-ensemble regression of each varying parameter on packed features.
-
-    features(candidate_id, x), parameters(candidate_id, <names>).
-    """
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import RandomForestRegressor
-
-    from .stats import unpivot
-
-    spans = parameters.agg(*[(F.max(n) - F.min(n)).alias(n) for n in names]).first()
-    varying = [n for n in names if spans[n] is not None and spans[n] > 2.220446049250313e-16]
-    rows = hash_rank(features.join(parameters, "candidate_id").withColumn("_g", F.lit(0)), ["_g"], seed, "candidate_id", "_r")
-    rows = rows.select("candidate_id", array_to_vector("x").alias("x"), *varying, ((F.col("_r") - 1) % folds).alias("fold"))
-    rows = durable(rows)
-    predicted = None
-    for n in varying:
-        for fold in range(folds):
-            forest = RandomForestRegressor(featuresCol="x", labelCol=n, predictionCol="p", numTrees=trees, featureSubsetStrategy="0.7", minInstancesPerNode=2, seed=seed + fold)
-            part = forest.fit(rows.where(F.col("fold") != fold)).transform(rows.where(F.col("fold") == fold)).select(F.lit(n).alias("parameter"), F.col(n).alias("y"), "p")
-            predicted = part if predicted is None else predicted.unionByName(part)
-    error = F.pow(F.col("y") - F.col("p"), F.lit(2))
-    return predicted.groupBy("parameter").agg(
-        (F.lit(1.0) - F.sum(error) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2"), (F.sqrt(F.avg(error)) / (F.max("y") - F.min("y"))).alias("nrmse"))
-
-
-def learnability_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Median R2 and number of parameters with positive R2."""
-    return rows.groupBy(*by).agg(F.median("r2").alias("median_r2"), F.count_if(F.col("r2") > 0).alias("positive"), F.count(F.lit(1)).alias("parameters"))

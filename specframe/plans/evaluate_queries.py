@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
-from ..operators import checks, evaluate, features, graph, group_signal, scoring, signal, stats
+from ..operators import checks, evaluate, features, graph, group_signal, scoring, signal, stats, tree_ensemble
 from ..session import durable, stage_path
 from ..sources import files, views
 from ..sources.views import ALPHA
@@ -180,8 +180,9 @@ def cv_group_signal(spark, sf):
 
 @query("learnability")
 def learnability(spark, sf):
+    """Every parameter of the bank from its profiles: five folds of 300 trees."""
     packed = features.pack(stats.replicate_mean(views.bank(spark, sf), 2), ["candidate_id"], "x")
-    out = evaluate.learnability(packed, views.bank_params(spark, sf), ["p1", "p2"], 3, 1, 20)
+    out = tree_ensemble.learnability(packed, views.bank_params(spark, sf), THETA, 5, 1, 300)
     return out.select("parameter", rnd("r2", 4).alias("r2"), rnd("nrmse", 4).alias("nrmse"))
 
 
