@@ -12,7 +12,7 @@ from ..sources.views import ALPHA
 from . import jobs
 from .feature_queries import letters, train_stats
 from .registry import query
-from .scoring_queries import FRACTIONS, TERMS, THETA, state_features
+from .scoring_queries import FRACTIONS, LEAST_TEMPERATURE, MULTIPLIERS, TERMS, THETA, state_features
 from .signal_queries import csd
 
 
@@ -244,15 +244,42 @@ def fit_transform(spark, sf):
     return transform.select("block", "coord", *[rnd(c).alias(c) for c in ("mean", "scale", "r")], "out_coord")
 
 
-@query("nested_evaluation")
+# Reliability threshold, most coordinates per block, and fewest: refitted in every fold.
+_SELECTION = (0.2, {"vowel": 4, "consonant": 14}, 3)
+
+
+@query("nested_evaluation", f"""
+fo AS (SELECT entity_id, grp, (row_number() OVER (PARTITION BY grp ORDER BY md5('17:' || entity_id), entity_id) - 1) % 5 AS fold FROM fx_entities),
+b AS (SELECT x.*, fold, outer_fold FROM fx_blocks x JOIN fo USING (entity_id) CROSS JOIN (SELECT unnest(range(5)) AS outer_fold)),
+st AS (SELECT outer_fold, block, coord, avg(value) AS mean, stddev_samp(value) AS sd FROM b WHERE segment = 'fit' AND fold <> outer_fold GROUP BY 1, 2, 3),
+sc AS (SELECT outer_fold, block, coord, mean, CASE WHEN sd > f THEN sd ELSE f END AS scale FROM (SELECT *, coalesce(quantile_cont(CASE WHEN sd > 0 THEN sd END, 0.1) OVER (PARTITION BY outer_fold, block) * 0.1, 1.0) AS f FROM st)),
+re AS (SELECT x.outer_fold, x.block, x.coord, CASE WHEN stddev_pop(x.value) > 0 AND stddev_pop(y.value) > 0 THEN corr(x.value, y.value) ELSE -1e999 END AS r
+  FROM b x JOIN b y ON x.entity_id = y.entity_id AND x.coord = y.coord AND x.outer_fold = y.outer_fold AND x.segment = 'rel_a' AND y.segment = 'rel_b' WHERE x.fold <> x.outer_fold GROUP BY 1, 2, 3),
+rk AS (SELECT *, row_number() OVER (PARTITION BY outer_fold, block ORDER BY r DESC, coord) AS rank, count(*) FILTER (r >= {_SELECTION[0]}) OVER (PARTITION BY outer_fold, block) AS ok,
+  CASE block WHEN 'vowel' THEN {_SELECTION[1]["vowel"]} ELSE {_SELECTION[1]["consonant"]} END AS most FROM re),
+ke AS (SELECT outer_fold, block, coord, count(*) OVER (PARTITION BY outer_fold, block) AS d FROM rk WHERE rank <= CASE WHEN least(ok, most) >= {_SELECTION[2]} THEN least(ok, most) ELSE {_SELECTION[2]} END),
+w AS (SELECT outer_fold, coord, mean, CASE block WHEN 'vowel' THEN 5.0 / 26.0 ELSE 21.0 / 26.0 END / d / (scale * scale) AS w FROM sc JOIN ke USING (outer_fold, block, coord)),
+u AS (SELECT entity_id, grp, fold, coord, max(value) FILTER (segment = 'fit') AS fit, max(value) FILTER (segment = 'validation') AS unseen FROM b WHERE outer_fold = 0 GROUP BY ALL),
+bm AS (SELECT candidate_id, coord, avg(value) AS f, var_pop(value) AS v FROM fx_bank GROUP BY 1, 2),
+ds AS (SELECT outer_fold, entity_id, sum(w * (fit - unseen) ** 2) AS d FROM u JOIN w USING (coord) WHERE fold <> outer_fold GROUP BY 1, 2),
+tr AS (SELECT outer_fold, greatest({LEAST_TEMPERATURE}, median(d) * m) AS t FROM ds CROSS JOIN (VALUES {", ".join(f"({m}::DOUBLE)" for m in MULTIPLIERS)}) m(m) GROUP BY outer_fold, m),
+pc AS (SELECT outer_fold, entity_id, fold, candidate_id, sum(w * ((fit - f) ** 2 + v)) + any_value(prior) AS c FROM u JOIN w USING (coord) JOIN bm USING (coord) JOIN fx_prior USING (candidate_id) GROUP BY 1, 2, 3, 4),
+ps AS (SELECT outer_fold, entity_id, fold, candidate_id, t, exp(l - max(l) OVER (PARTITION BY outer_fold, entity_id, t)) AS e FROM (SELECT pc.*, t, -0.5 * c / t AS l FROM pc JOIN tr USING (outer_fold))),
+pr AS (SELECT outer_fold, entity_id, fold, t, coord, sum(e * f) / sum(e) AS p FROM ps JOIN bm USING (candidate_id) GROUP BY 1, 2, 3, 4, 5),
+co AS (SELECT outer_fold, entity_id, grp, pr.fold, t, sum(w * (p - unseen) ** 2) AS uc, sum(w * (mean - unseen) ** 2) AS nc FROM pr JOIN w USING (outer_fold, coord) JOIN u USING (entity_id, coord) GROUP BY 1, 2, 3, 4, 5),
+md AS (SELECT outer_fold, t, median(uc / nc) AS md, avg(uc / nc) AS mn FROM co WHERE fold <> outer_fold GROUP BY 1, 2),
+ch AS (SELECT outer_fold, arg_min(t, struct_pack(md := md, mn := mn, t := t)) AS t FROM md GROUP BY 1)
+SELECT entity_id, grp, CAST(outer_fold AS INTEGER) AS outer_fold, round(uc, 6) AS unseen_cost, round(nc, 6) AS pooled_unseen_cost, round(uc / nc, 6) AS unseen_ratio, round(t, 6) AS temperature
+FROM co JOIN ch USING (outer_fold, t) WHERE fold = outer_fold""", ("fx_blocks", "fx_entities", "fx_bank", "fx_prior"))
 def nested_evaluation(spark, sf):
-    raw = letters(spark, sf).where("segment IN ('fit', 'validation')").drop("split")
-    folds = stats.stratified_folds(views.entities(spark, sf).select("entity_id", "grp"), "grp", 3, 17)
+    """Five outer folds and eight temperatures; scaling, selection, temperature and pooled mean are refitted without each fold."""
+    raw = letters(spark, sf).drop("split")
+    folds = stats.stratified_folds(views.entities(spark, sf).select("entity_id", "grp"), "grp", 5, 17)
     from .feature_queries import blocks
 
     bank = blocks(views.bank(spark, sf)).withColumn("state_id", F.col("candidate_id"))
-    params = views.bank_params(spark, sf)
-    out = jobs.nested_evaluation(raw, bank, params, THETA, scoring.prior_cost(params, TERMS), folds, 3, [0.02, 0.2], {"vowel": 5.0 / 26.0, "consonant": 21.0 / 26.0})
+    params = durable(views.bank_params(spark, sf))
+    out = jobs.nested_evaluation(raw, bank, params, THETA, scoring.prior_cost(params, TERMS), folds, 5, MULTIPLIERS, {"vowel": 5.0 / 26.0, "consonant": 21.0 / 26.0}, _SELECTION, LEAST_TEMPERATURE)
     return out.select("entity_id", "grp", "outer_fold", *[rnd(c).alias(c) for c in ("unseen_cost", "pooled_unseen_cost", "unseen_ratio", "temperature")])
 
 

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, scoring, spectral, stats
+from ..operators import features, spectral, stats
 from ..session import durable
+from .nested import nested_evaluation  # noqa: F401
 
 
 def raw_blocks(csd: DataFrame, basis: DataFrame, metric: str, shrinkage: float, background: Column, alpha: tuple[float, float]) -> DataFrame:
@@ -53,34 +54,6 @@ def apply_transform(raw: DataFrame, transform: DataFrame, weights: dict[str, flo
     return features.weighted_features(kept, weights)
 
 
-def nested_evaluation(raw: DataFrame, bank: DataFrame, params: DataFrame, theta: list[str], prior: DataFrame, folds: DataFrame, count: int,
-                      multipliers: list[float], weights: dict[str, float]) -> DataFrame:
-    """Out-of-fold scores: per outer fold, scaling, temperature and pooled mean are refitted on the other folds.
-
-    raw(entity_id, grp, segment, block, coord, value), bank(candidate_id, state_id, replicate, block, coord, value), folds(entity_id, fold).
-    The driver only loops over the folds; each entity appears once, in the fold that held it out.
-    """
-    rows = durable(raw.join(folds.select("entity_id", "fold"), "entity_id"))
-    stored = durable(bank)
-    out = []
-    for fold in range(count):
-        scales = durable(features.robust_standardize(rows.where((F.col("fold") != fold) & (F.col("segment") == "fit"))))
-
-        def scaled(df: DataFrame, scales: DataFrame = scales) -> DataFrame:
-            return features.weighted_features(features.apply_standardize(df, scales), weights)
-
-        packed = durable(scoring.pack_entities(scaled(rows).withColumn("split", F.when(F.col("fold") == fold, "holdout").otherwise("train")), {"fit": "fit", "validation": "unseen"}))
-        states = scoring.pack_states(scaled(stored), params, theta).join(prior, "candidate_id")
-        train, held = packed.where("split = 'train'"), packed.where("split = 'holdout'")
-        base, pooled = scoring.base_temperature(train), scoring.pooled_mean(train)
-        table = scoring.select_temperature(train, states, "prior", base, multipliers, 1e-4, pooled)
-        temperature = table.where("rank = 1").first()["temperature"]
-        passed = scoring.posterior_pass(held, states, [("fold", temperature, "prior")], 1, quantiles=False)
-        costs = scoring.predictive_costs(passed, held, pooled).join(held.select("entity_id", "grp"), "entity_id")
-        out.append(costs.withColumn("outer_fold", F.lit(fold)).withColumn("temperature", F.lit(temperature)))
-    return reduce(DataFrame.unionByName, out)
-
-
 def feature_audit(fit: DataFrame, unseen: DataFrame, bank: DataFrame, predicted: DataFrame, first: str, second: str, thresholds: dict[str, float]) -> DataFrame:
     """report(report, block, metric, value) of reliability, effect replication, axis coverage, preservation and the quality gate."""
     fit, unseen, bank, predicted = durable(fit), durable(unseen), durable(bank), durable(predicted)

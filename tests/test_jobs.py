@@ -12,7 +12,7 @@ def test_nested_evaluation_refits_on_each_training_set(spark):
     rng = np.random.default_rng(12)
     n, d, k = 18, 4, 6
     fit, unseen, bank = rng.normal(size=(n, d)), rng.normal(size=(n, d)), rng.normal(size=(k, 2, d))
-    theta, fold = rng.normal(size=k), np.arange(n) % 2
+    theta, fold = rng.normal(size=k), np.arange(n) % 3
     raw = spark.createDataFrame([(e, "g", s, "b", c, float(v[e, c])) for e in range(n) for s, v in (("fit", fit), ("validation", unseen)) for c in range(d)],
                                 "entity_id bigint, grp string, segment string, block string, coord bigint, value double")
     states = spark.createDataFrame([(f"c{i}", f"c{i}", r, "b", c, float(bank[i, r, c])) for i in range(k) for r in range(2) for c in range(d)],
@@ -20,9 +20,9 @@ def test_nested_evaluation_refits_on_each_training_set(spark):
     params = spark.createDataFrame([(f"c{i}", float(theta[i])) for i in range(k)], "candidate_id string, p double")
     folds = spark.createDataFrame([(e, int(fold[e])) for e in range(n)], "entity_id bigint, fold bigint")
     prior = params.select("candidate_id", F.lit(0.0).alias("prior"))
-    got = jobs.nested_evaluation(raw, states, params, ["p"], prior, folds, 2, [0.5], {"b": 1.0}).toPandas().set_index("entity_id")
+    got = jobs.nested_evaluation(raw, states, params, ["p"], prior, folds, 3, [0.5], {"b": 1.0}).toPandas().set_index("entity_id")
     assert sorted(got.index) == list(range(n))
-    for f in range(2):
+    for f in range(3):
         train, held = fold != f, fold == f
         mean, sd = fit[train].mean(axis=0), fit[train].std(axis=0, ddof=1)
         scale = lambda x: (x - mean) / sd / np.sqrt(d)
