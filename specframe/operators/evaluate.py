@@ -6,11 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import correlation, hash_mod
+from ..functions.expr import correlation
 from ..functions.packing import declared_axis, dense
 from ..functions.quantiles import exact_quantiles
-from ..functions.ranking import global_running, hash_rank
+from ..functions.ranking import global_running
 from ..session import durable, small_side
+from . import resampling
 
 
 def boundary_check(states: DataFrame, cost: str, ident: str, grids: dict[str, list[float]]) -> DataFrame:
@@ -21,49 +22,34 @@ def boundary_check(states: DataFrame, cost: str, ident: str, grids: dict[str, li
     return best.select(F.explode(cells).alias("c")).select("c.*")
 
 
-def draws(entities: DataFrame, samples: int, seed: int, group: str = "grp", key: str = "entity_id") -> DataFrame:
-    """(b, entity_id, grp, hits): how often each entity is drawn in bootstrap sample b of its own group.
-
-    Slot j of sample b draws the entity at position hash(seed, b, grp, j) mod n of its group, positions being the seeded
-    shuffle. Slots are generated from the entity rows, and hits are counted with map-side combining.
-    """
-    ranked = hash_rank(entities.select(key, group), [group], seed, key, "_j").withColumn("_j", F.col("_j") - 1)
-    sizes = entities.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    slots = ranked.join(small_side(sizes), group).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    picked = slots.select("b", group, hash_mod(F.col("_n"), seed, F.col("b"), F.col(group), F.col("_j")).alias("_j"))
-    hits = picked.groupBy("b", group, "_j").agg(F.count(F.lit(1)).alias("hits"))
-    return hits.join(ranked, [group, "_j"]).select("b", key, group, "hits")
-
-
 def paired_bootstrap(paired: DataFrame, metrics: list[str], samples: int, seed: int, key: str = "entity_id") -> DataFrame:
     """Per metric: median of candidate - reference, its 95 % bootstrap interval, and the share improved (< 0).
 
     paired(entity_id, candidate_<m>, reference_<m>). Sample medians are exact whatever the number of entities.
     """
     # The differences are read by the draws, the point estimate and the share: one stored copy.
-    diffs = paired.select(key, F.lit("all").alias("grp"), *[(F.col(f"candidate_{m}") - F.col(f"reference_{m}")).alias(m) for m in metrics])
+    diffs = paired.select(key, F.lit("all").alias("grp"), *[(F.col(f"candidate_{m}") - F.col(f"reference_{m}")).cast("double").alias(m) for m in metrics])
     diffs = durable(diffs)
-    drawn = draws(diffs, samples, seed, key=key).join(diffs.drop("grp"), key)
-    repeated = drawn.select("b", *metrics, F.explode(F.sequence(F.lit(1), F.col("hits").cast("int"))).alias("_i"))
-    estimates = exact_quantiles(repeated, ["b"], {m: [(0.5, m)] for m in metrics})
-    # One row per bootstrap sample: a fixed number.
-    bounds = estimates.agg(*[F.percentile(m, p).alias(f"{m}_{n}") for m in metrics for n, p in (("low", 0.025), ("high", 0.975))])
+    medians = resampling.sample_medians(diffs, metrics, samples, seed, "grp", key)
+    # One row per metric and bootstrap sample: a fixed number.
+    bounds = medians.groupBy("metric").agg(F.percentile("median", 0.025).alias("low"), F.percentile("median", 0.975).alias("high"))
     point = exact_quantiles(diffs, ["grp"], {m: [(0.5, m)] for m in metrics}).drop("grp")
     share = diffs.agg(*[F.avg((F.col(m) < 0).cast("double")).alias(f"{m}_share") for m in metrics])
-    row = point.join(F.broadcast(bounds)).join(F.broadcast(share))
-    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("median_difference"), F.col(f"{m}_low").alias("low"), F.col(f"{m}_high").alias("high"),
-                               F.col(f"{m}_share").alias("share_improved")) for m in metrics])
-    return row.select(F.explode(cells).alias("c")).select("c.*")
+    row = point.join(F.broadcast(share))
+    cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("median_difference"), F.col(f"{m}_share").alias("share_improved")) for m in metrics])
+    named = row.select(F.explode(cells).alias("c")).select("c.*")
+    return named.join(bounds, "metric").select("metric", "median_difference", "low", "high", "share_improved")
 
 
 def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samples: int, seed: int) -> DataFrame:
     """Per block: effect correlation and norm retention of two models, their difference, and its 95 % interval.
 
     ``tables`` has observed, reference and candidate features(entity_id, grp, block, coord, value) over the same entities and
-    coordinates. Each entity row carries its features as arrays and its draw weights (one per sample); tasks multiply
-    the two and each emits one samples x coordinates sum, so entity x sample x coordinate rows never exist.
+    coordinates. Each entity row carries its features as an array; a task makes the draw weights of its block of entities, multiplies the
+    two and emits one samples x coordinates sum.
     """
     import numpy as np
+    import pyarrow as pa
 
     names = ["observed", "reference", "candidate"]
     tagged = None
@@ -73,32 +59,18 @@ def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samp
     packed = tagged.groupBy("entity_id", "grp").agg(F.array_sort(F.collect_list(F.struct("block", "coord", "t", "value"))).alias("z"))
     order = ["block", "coord", "t"]
     axis = declared_axis(tagged, order)
-    layout = axis.select(F.transform("_axis", lambda x: F.concat_ws("\t", x["block"], x["coord"].cast("string"), x["t"].cast("string"))).alias("n")).first()["n"]
     packed = durable(dense(packed, {"z": "z"}, axis, order, "entity_id"))
-    people = packed.select("entity_id", "grp")
-    sizes = people.groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
-    weights = draws(people, samples, seed).groupBy("entity_id").agg(F.collect_list(F.struct("b", "hits")).alias("w"))
-    rows = packed.join(weights, "entity_id", "left").join(small_side(sizes), "grp").select(
-        "z", F.coalesce(F.col("w.b"), F.array().cast("array<int>")).alias("b"), F.coalesce(F.col("w.hits"), F.array().cast("array<bigint>")).alias("hits"),
-        (F.when(F.col("grp") == second, 1.0).otherwise(-1.0) / F.col("_n")).alias("sign"))
-
-    def partial(batches):
-        total = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            matrix = np.zeros((samples + 1, len(pdf)))
-            for i, (b, hits, sign) in enumerate(zip(pdf["b"], pdf["hits"], pdf["sign"])):
-                matrix[np.asarray(b, dtype=int), i] = np.asarray(hits, dtype=float) * sign
-                matrix[samples, i] = sign
-            sums = matrix @ np.stack(pdf["z"].to_numpy())
-            total = sums if total is None else total + sums
-        if total is not None:
-            yield pd.DataFrame({"b": np.repeat(np.arange(samples + 1), total.shape[1]), "i": np.tile(np.arange(total.shape[1]), samples + 1), "v": total.ravel()})
-
-    effects = rows.mapInPandas(partial, "b int, i int, v double").groupBy("b", "i").agg(F.sum("v").alias("v"))
-    label = F.split(F.element_at(F.array(*[F.lit(x) for x in layout]), F.col("i") + 1), "\t")
-    wide = effects.select("b", label[0].alias("block"), label[1].alias("coord"), label[2].cast("int").alias("t"), "v").groupBy("b", "block", "coord").agg(
+
+    def sums(group, weights, table):
+        z = resampling.matrix(table, "z")
+        sign = (1.0 if group == second else -1.0) / table["_n"][0].as_py()
+        total = np.concatenate([weights @ z, z.sum(axis=0, keepdims=True)]) * sign
+        columns = [np.repeat(np.arange(samples + 1, dtype=np.int32), z.shape[1]), np.tile(np.arange(z.shape[1], dtype=np.int32), samples + 1), total.ravel()]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["b", "i", "v"])
+
+    effects = resampling.resampled(packed, samples, seed, sums, "b int, i int, v double").groupBy("b", "i").agg(F.sum("v").alias("v"))
+    names_of = small_side(axis.select(F.posexplode("_axis").alias("i", "x")).select("i", "x.block", "x.coord", "x.t"))
+    wide = effects.join(names_of, "i").groupBy("b", "block", "coord").agg(
         *[F.max(F.when(F.col("t") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
 
     def norm(c: str) -> Column:
@@ -119,18 +91,16 @@ def effect_bootstrap(tables: dict[str, DataFrame], first: str, second: str, samp
         point("dn").alias("norm_difference"), F.percentile(F.when(drawn, F.col("dn")), 0.025).alias("norm_low"), F.percentile(F.when(drawn, F.col("dn")), 0.975).alias("norm_high"))
 
 
-def _standardized(rows: DataFrame, keys: list[str], weight: Column, first: str, second: str) -> DataFrame:
-    """Mean difference over pooled SD per (keys, parameter), each row counted ``weight`` times."""
-    def part(g: str, n: str) -> list[Column]:
-        inside = F.col("grp") == g
-        w, v = F.when(inside, weight), F.col("value")
-        return [F.sum(w).alias(f"n{n}"), F.sum(w * v).alias(f"s{n}"), F.sum(w * v * v).alias(f"q{n}")]
+def _standardized(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean difference over pooled SD from sums(keys, parameter, side 0 or 1, n, s, q) of weights, weighted values and squares."""
+    def part(side: int) -> list[Column]:
+        return [F.sum(F.when(F.col("side") == side, F.col(c))).alias(f"{c}{side}") for c in "nsq"]
 
-    sums = rows.groupBy(*keys, "parameter").agg(*part(first, "0"), *part(second, "1"))
+    both = sums.groupBy(*keys, "parameter").agg(*part(0), *part(1))
     scatter = [F.col(f"q{n}") - F.col(f"s{n}") * F.col(f"s{n}") / F.col(f"n{n}") for n in "01"]
     variance = F.try_divide(scatter[0] + scatter[1], F.col("n0") + F.col("n1") - 2)
     difference = F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")
-    return sums.select(*keys, "parameter", F.col("n0").cast("bigint").alias("n_first"), F.col("n1").cast("bigint").alias("n_second"), difference.alias("difference"),
+    return both.select(*keys, "parameter", F.col("n0").cast("bigint").alias("n_first"), F.col("n1").cast("bigint").alias("n_second"), difference.alias("difference"),
                        F.when(variance > 2.2250738585072014e-308, difference / F.sqrt(variance)).alias("standardized"))
 
 
@@ -138,17 +108,30 @@ def parameter_effects(fits: DataFrame, parameters: list[str], first: str, second
                       samples: int, seed: int) -> DataFrame:
     """Group difference per parameter, standardised, with a bootstrap interval and the recovery-gate flag.
 
-    Values are shifted by the overall mean first, so the sums of squares do not cancel.
+    Values are shifted by the overall mean first, so the sums of squares do not cancel. A task adds up the weighted sums of its
+    block of entities for all samples; missing values count in neither.
     """
-    from .stats import unpivot
+    import numpy as np
+    import pyarrow as pa
 
     chosen = fits.where(F.col("grp").isin(first, second))
-    tall = unpivot(chosen, ["entity_id", "grp"], parameters)
-    means = tall.groupBy("parameter").agg(F.avg("value").alias("_m"))
-    tall = tall.join(small_side(means), "parameter").withColumn("value", F.col("value") - F.col("_m")).drop("_m")
-    point = _standardized(tall, [], F.lit(1.0), first, second)
-    drawn = draws(chosen, samples, seed).join(tall.drop("grp"), "entity_id")
-    boot = _standardized(drawn, ["b"], F.col("hits").cast("double"), first, second).groupBy("parameter").agg(
+    means = chosen.agg(*[F.avg(p).alias(f"_m{i}") for i, p in enumerate(parameters)])
+    shifted = F.array(*[F.col(p).cast("double") - F.col(f"_m{i}") for i, p in enumerate(parameters)])
+    packed = durable(chosen.join(F.broadcast(means)).select("entity_id", "grp", F.transform(shifted, lambda v: F.coalesce(v, F.lit(float("nan")))).alias("z")))
+
+    def moments(group, weights, table):
+        z = resampling.matrix(table, "z")
+        known = ~np.isnan(z)
+        z = np.where(known, z, 0.0)
+        counted = np.concatenate([weights, np.ones((1, len(z)), dtype=weights.dtype)])
+        n, s, q = counted @ known, counted @ z, counted @ (z * z)
+        samples_column = np.repeat(np.arange(samples + 1, dtype=np.int32), len(parameters))
+        yield pa.RecordBatch.from_arrays([pa.array(samples_column), pa.array(parameters * (samples + 1)), pa.array(np.full(n.size, int(group == second), dtype=np.int32)), *[pa.array(x.astype(float).ravel()) for x in (n, s, q)]],
+                                         names=["b", "parameter", "side", "n", "s", "q"])
+
+    sums = durable(resampling.resampled(packed, samples, seed, moments, "b int, parameter string, side int, n double, s double, q double"))
+    point = _standardized(sums.where(F.col("b") == samples), [])
+    boot = _standardized(sums.where(F.col("b") < samples), ["b"]).groupBy("parameter").agg(
         F.percentile("standardized", 0.025).alias("low"), F.percentile("standardized", 0.975).alias("high"))
     known = F.create_map(*[F.lit(x) for p in parameters for x in (p, float(recovery[p]))])
     limit = F.create_map(*[F.lit(x) for p in parameters for x in (p, float(thresholds[p]))])
