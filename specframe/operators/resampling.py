@@ -50,15 +50,13 @@ def block_weights(n: int, block: int, samples: int, seed: int, group: str, size:
     counts = block_draws(n, blocks, block, samples, seed, group, size)
     out = np.zeros((samples, width), dtype=np.int32)
     label = f"{block}/" if block else ""
+    ends = [b"%d" % i for i in range(int(counts.max(initial=0)))]
     for b, count in enumerate(counts.tolist()):
-        start = hashlib.md5(f"{seed}:{b}:{group}:{label}".encode())
-        picks = np.empty(count, dtype=np.int64)
-        for i in range(count):
-            h = start.copy()
-            h.update(b"%d" % i)
-            # The first fifteen hexadecimal digits.
-            picks[i] = (int.from_bytes(h.digest()[:8], "big") >> 4) % width
-        out[b] = np.bincount(picks, minlength=width)
+        start = f"{seed}:{b}:{group}:{label}".encode()
+        digests = b"".join([hashlib.md5(start + end).digest() for end in ends[:count]])
+        # The first fifteen hexadecimal digits of each.
+        picks = (np.frombuffer(digests, dtype=">u8")[::2].astype(np.int64) >> 4) & ((1 << 60) - 1)
+        out[b] = np.bincount(picks % width, minlength=width)
     return out
 
 
@@ -77,7 +75,10 @@ def resampled(entities: DataFrame, samples: int, seed: int, function: Callable,
         name, n, block = table[group][0].as_py(), table["_n"][0].as_py(), table["_block"][0].as_py()
         return pa.Table.from_batches(function(name, block_weights(n, block, samples, seed, str(name), size), table))
 
-    return placed.groupBy(group, "_block").applyInArrow(run, schema)
+    # A block is little data and much work: a fixed number of partitions keeps blocks from being put together.
+    spark = entities.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return placed.repartition(parts, group, "_block").groupBy(group, "_block").applyInArrow(run, schema)
 
 
 def matrix(table: pa.Table, name: str) -> np.ndarray:

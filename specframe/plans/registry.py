@@ -30,7 +30,9 @@ def _needed(names: tuple[str, ...]) -> list[str]:
 def with_views(body: str, *views: str, recursive: bool = False) -> str:
     """Prefix ``body`` (a SELECT, or further CTEs followed by one) with the named views."""
     body = body.strip()
-    ctes = ",\n".join(f"{name} AS ({SQL_VIEWS[name][1].strip()})" for name in _needed(views))
+    # Letter counts are taken once, however many views read them.
+    kept = {"fx_letter_segments"}
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in kept else ''}({SQL_VIEWS[name][1].strip()})" for name in _needed(views))
     word = "WITH RECURSIVE" if recursive else "WITH"
     if body.upper().startswith("SELECT"):
         return f"{word} {ctes}\n{body}" if ctes else body

@@ -52,7 +52,7 @@ SELECT p.entity_id, p.split, m.block, m.coord, sum(p.weight * m.value) AS value
 
 
 def scaled_entities(spark, sf):
-    data = letters(spark, sf)
+    data = durable(letters(spark, sf))  # statistics, block sizes and rows all read it
     stat = durable(train_stats(data))
     kept = features.apply_standardize(data.where(F.col("segment").isin("fit", "validation")), stat)
     return features.weighted_features(kept, {"vowel": 5.0 / 26.0, "consonant": 21.0 / 26.0}), stat
@@ -60,7 +60,7 @@ def scaled_entities(spark, sf):
 
 def state_features(spark, sf, stat):
     """Bank profiles flattened by each nuisance fraction, in the entities' scaled space."""
-    bank = blocks(views.bank(spark, sf))
+    bank = durable(blocks(views.bank(spark, sf)))
     level = bank.groupBy("candidate_id", "replicate").agg(F.avg("value").alias("level"))
     grid = design.parameter_grid(bank.join(level, ["candidate_id", "replicate"]), {"fraction": FRACTIONS})
     index = F.array_position(F.array(*[F.lit(f) for f in FRACTIONS]), F.col("fraction")) - 1
