@@ -166,24 +166,27 @@ def _labelled_arrays(spark, sf, segment):
 TOP_K, STRENGTHS = [30, 120, group_signal.ALL], [0.03, 0.3, 3.0]
 
 
-@query("cv_group_signal")
-def cv_group_signal(spark, sf):
+def _group_signal(spark, sf):
     """Three repeats of five outer and three inner folds over the whole grid, as they are and with covariates removed."""
     fit, unseen = durable(_labelled_arrays(spark, sf, "fit")), durable(_labelled_arrays(spark, sf, "validation"))
-    out = None
-    for name, adjust in (("none", False), ("covariates", True)):
-        part = group_signal.cv_group_signal(fit, unseen, 3, 5, 3, TOP_K, STRENGTHS, 1, adjust=adjust)
-        part = part.select(F.lit(name).alias("adjustment"), "repeat", *[rnd(c, 4).alias(c) for c in ("roc_auc", "balanced_accuracy", "brier")])
-        out = part if out is None else out.unionByName(part)
-    return out
+    return {name: group_signal.cv_group_signal(fit, unseen, 3, 5, 3, TOP_K, STRENGTHS, 1, adjust=adjust) for name, adjust in (("none", False), ("covariates", True))}
 
 
-@query("learnability")
-def learnability(spark, sf):
+@query("cv_group_signal")
+def cv_group_signal(spark, sf):
+    parts = [df.select(F.lit(name).alias("adjustment"), "repeat", *[rnd(c, 4).alias(c) for c in ("roc_auc", "balanced_accuracy", "brier")]) for name, df in _group_signal(spark, sf).items()]
+    return parts[0].unionByName(parts[1])
+
+
+def _learnability(spark, sf):
     """Every parameter of the bank from its profiles: five folds of 300 trees."""
     packed = features.pack(stats.replicate_mean(views.bank(spark, sf), 2), ["candidate_id"], "x")
-    out = tree_ensemble.learnability(packed, views.bank_params(spark, sf), THETA, 5, 1, 300)
-    return out.select("parameter", rnd("r2", 4).alias("r2"), rnd("nrmse", 4).alias("nrmse"))
+    return tree_ensemble.learnability(packed, views.bank_params(spark, sf), THETA, 5, 1, 300)
+
+
+@query("learnability")
+def learnability(spark, sf):
+    return _learnability(spark, sf).select("parameter", rnd("r2", 4).alias("r2"), rnd("nrmse", 4).alias("nrmse"))
 
 
 def _nations(spark, sf):
@@ -290,7 +293,7 @@ def feature_audit(spark, sf):
     scaled = features.apply_standardize(data, stat)
     bank = stats.replicate_mean(state_features(spark, sf, stat).where(F.col("fraction") == FRACTIONS[0]).drop("fraction", "state_id"), 2)
     out = jobs.feature_audit(*[scaled.where(F.col("segment") == s).drop("segment", "split") for s in ("fit", "validation")], bank,
-                             scaled.where("segment = 'rel_a'").drop("segment", "split"), "q0", "q1", {"vowel": 0.3, "consonant": 0.4})
+                             scaled.where("segment = 'rel_a'").drop("segment", "split"), "q0", "q1", {"vowel": 0.3, "consonant": 0.4}, _group_signal(spark, sf), _learnability(spark, sf))
     return out.withColumn("value", rnd("value"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, spectral, stats
+from ..operators import features, spectral, stats, tree_ensemble
 from ..session import durable
 from .nested import nested_evaluation  # noqa: F401
 
@@ -54,8 +54,13 @@ def apply_transform(raw: DataFrame, transform: DataFrame, weights: dict[str, flo
     return features.weighted_features(kept, weights)
 
 
-def feature_audit(fit: DataFrame, unseen: DataFrame, bank: DataFrame, predicted: DataFrame, first: str, second: str, thresholds: dict[str, float]) -> DataFrame:
-    """report(report, block, metric, value) of reliability, effect replication, axis coverage, preservation and the quality gate."""
+def feature_audit(fit: DataFrame, unseen: DataFrame, bank: DataFrame, predicted: DataFrame, first: str, second: str, thresholds: dict[str, float],
+                  signal: dict[str, DataFrame] | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """report(report, block, metric, value) of reliability, effect replication, axis coverage, preservation and the quality gate.
+
+    ``signal`` adds the group signal: per adjustment, the rows of ``cv_group_signal``, reported as mean, smallest and largest over the repeats.
+    ``learned`` adds the rows of ``learnability`` and their summary. In these reports ``block`` is the adjustment or the parameter.
+    """
     fit, unseen, bank, predicted = durable(fit), durable(unseen), durable(bank), durable(predicted)
     both = fit.withColumn("segment", F.lit("fit")).unionByName(unseen.withColumn("segment", F.lit("validation")))
     tables = {
@@ -73,4 +78,15 @@ def feature_audit(fit: DataFrame, unseen: DataFrame, bank: DataFrame, predicted:
         columns = [c for c in df.columns if c != "block"]
         numeric = df.select("block", *[F.col(c).cast("double").alias(c) for c in columns])
         parts.append(stats.unpivot(numeric, ["block"], columns, "metric").select(F.lit(name).alias("report"), "block", "metric", "value"))
+    for name, df in (signal or {}).items():
+        measures = ("roc_auc", "balanced_accuracy", "brier")
+        cells = {f"{kind}_{m}": f(m) for m in measures for kind, f in (("mean", F.avg), ("smallest", F.min), ("largest", F.max))}
+        row = df.agg(F.count(F.lit(1)).alias("repeats"), *[c.alias(n) for n, c in cells.items()]).withColumn("block", F.lit(name))
+        parts.append(stats.unpivot(row, ["block"], ["repeats", *cells], "metric").select(F.lit("group_signal").alias("report"), "block", "metric", "value"))
+    if learned is not None:
+        learned = durable(learned)
+        each = learned.withColumnRenamed("parameter", "block")
+        whole = tree_ensemble.learnability_summary(learned.withColumn("block", F.lit("all")), ["block"])
+        for df, columns in ((each, ["r2", "nrmse"]), (whole, ["median_r2", "positive", "parameters"])):
+            parts.append(stats.unpivot(df, ["block"], columns, "metric").select(F.lit("learnability").alias("report"), "block", "metric", "value"))
     return reduce(DataFrame.unionByName, parts)

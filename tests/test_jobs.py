@@ -60,3 +60,17 @@ def test_fit_transform_selects_reliable_coordinates_and_applies(spark):
     checks = out.groupBy("block", "coord").agg(F.avg("value").alias("m"), F.count(F.lit(1)).alias("n")).collect()
     assert len(checks) == sum(sizes.values()) and all(abs(r["m"]) < 1e-8 and r["n"] == 6 for r in checks)
     assert features.pack(out, ["entity_id"]).where(F.size("f") == sum(sizes.values())).count() == 6
+
+
+def test_feature_audit_holds_every_report(spark):
+    rng = np.random.default_rng(1)
+    frame = lambda key, n, extra=(): spark.createDataFrame([(i, *extra, "ab"[i % 2], b, c, float(rng.normal() + i % 2)) for i in range(n) for b in ("x", "y") for c in range(4)], f"{key} long, grp string, block string, coord long, value double")
+    fit, unseen = frame("entity_id", 20), frame("entity_id", 20)
+    bank = frame("candidate_id", 6).drop("grp")
+    signal = spark.createDataFrame([(0, 0.6, 0.5, 0.2), (1, 0.8, 0.7, 0.4)], "repeat int, roc_auc double, balanced_accuracy double, brier double")
+    learned = spark.createDataFrame([("p", 0.5, 0.1), ("q", -0.1, 0.3)], "parameter string, r2 double, nrmse double")
+    rows = jobs.feature_audit(fit, unseen, bank, fit, "a", "b", {"x": 0.3, "y": 0.4}, {"none": signal}, learned).collect()
+    found = {(r["report"], r["block"], r["metric"]): r["value"] for r in rows}
+    assert {k[0] for k in found} == {"reliability", "replication", "coverage", "preservation", "group_signal", "learnability"}
+    assert found["group_signal", "none", "mean_roc_auc"] == pytest.approx(0.7) and found["group_signal", "none", "largest_brier"] == 0.4 and found["group_signal", "none", "repeats"] == 2
+    assert found["learnability", "q", "r2"] == -0.1 and found["learnability", "all", "positive"] == 1 and found["learnability", "all", "median_r2"] == pytest.approx(0.2)
