@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import TINY, correlation, floor_tiny, ratio
+from ..functions.expr import TINY, floor_tiny, ratio
+from .comoments import pair_moments
 from .signal import rec_keys
 
 
@@ -229,7 +230,7 @@ def channel_pairs(samples: DataFrame, aggregates: dict[str, callable]) -> DataFr
 
 def correlation_summary(samples: DataFrame) -> DataFrame:
     """Median and 95th percentile of the absolute pairwise channel correlations of each recording."""
-    pairs = channel_pairs(samples, {"r": correlation}).where(F.col("ch_i") < F.col("ch_j"))
+    pairs = pair_moments(samples, rec_keys(samples)).where(F.col("ch_i") < F.col("ch_j"))
     return pairs.groupBy(*rec_keys(samples)).agg(
         F.median(F.abs("r")).alias("median_abs"), F.percentile(F.abs("r"), 0.95).alias("p95_abs"))
 
@@ -242,7 +243,7 @@ def pc_variance(samples: DataFrame, counts: list[int]) -> DataFrame:
     import numpy as np
 
     keys = rec_keys(samples)
-    cov = channel_pairs(samples, {"c": F.covar_pop})
+    cov = pair_moments(samples, keys).withColumnRenamed("cov", "c")
     types = dict(samples.dtypes)
 
     def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
