@@ -20,7 +20,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import itertools
 import json
 import os
 import zlib
@@ -37,7 +36,7 @@ from ..session import stage_path
 from . import elias_fano
 
 BLOCK_IDS = 1 << 20  # ids after which a block is closed; a longer single document is a block of its own
-CACHE_PIECES = 400_000  # pieces whose ids one Python worker remembers
+CACHE_PIECES = 300_000  # pieces in each of the two generations that one Python worker remembers
 # Every white space character of Python and of Unicode but the space itself.
 OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 0x20]
 
@@ -53,6 +52,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(0x100 + hidden.index(b)) for b in range(256)}
 
 
+class Memory(dict):
+    """Values by key; a value that is not there yet is made, and kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
 class PieceEncoder:
     """A tokenizer with a memory for pieces of text.
 
@@ -77,15 +88,40 @@ class PieceEncoder:
         wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype, self.code = ("<u4", "I") if wide else ("<u2", "H")
         self.split, self.letters, self.model = regex.compile(PATTERN).findall, _byte_letters(), self.tokenizer.model
-        self.pieces: dict[str, bytes] = {}  # what follows a space
+        # What follows a space. A full generation becomes the older one, so pieces in use outlive those seen once.
+        self.pieces: dict[str, bytes] = Memory(self._spaced)
+        self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
+    def _tokens(self, shown: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
     def _part(self, part: str) -> bytes:
         if part not in self.parts:
-            shown = part.encode("utf-8").decode("latin-1").translate(self.letters)
-            self.parts[part] = array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+            self.parts[part] = self._tokens(part.encode("utf-8").decode("latin-1").translate(self.letters))
         return self.parts[part]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and a run of letters, which the pattern keeps whole."""
+        ids = self.pieces.get(word) or self.older.get(word)
+        if ids is None:
+            # Printable ASCII stands for itself, so only other letters need their stand-ins.
+            shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = self._tokens(self.letters[0x20] + shown)
+        self.pieces[word] = ids
+        return ids
+
+    def _spaced(self, piece: str) -> bytes:
+        """Ids of a space and a piece that is not in the younger generation."""
+        known = self.older.get(piece)
+        if known is not None:
+            return known
+        if piece.isalpha():
+            return self._word(piece)
+        if piece[:-1].isalpha() and piece[-1] in ".,":
+            return self._word(piece[:-1]) + self._part(piece[-1])
+        return b"".join(map(self._part, self.split(" " + piece)))
+
     def _piece(self, piece: str) -> bytes:
         if piece.isalpha():
             return self._part(piece)
@@ -105,18 +141,9 @@ class PieceEncoder:
     def batch(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(t) if t else [] for t in texts]
         if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
+            self.older, self.pieces = self.pieces, Memory(self._spaced)
         if len(self.parts) > CACHE_PIECES:
             self.parts.clear()
-        new = set(itertools.chain.from_iterable(c for c in cut if c)).difference(self.pieces)
-        for piece in new:
-            spaced = " " + piece
-            if piece.isalpha():
-                self.pieces[piece] = self._part(spaced)
-            elif piece[:-1].isalpha() and piece[-1] in ".,":
-                self.pieces[piece] = self._part(spaced[:-1]) + self._part(piece[-1])
-            else:
-                self.pieces[piece] = b"".join(map(self._part, self.split(spaced)))
         get = self.pieces.__getitem__
         out = []
         for text, pieces in zip(texts, cut):
