@@ -22,7 +22,7 @@ from specframe.session import stage_path
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sample = toxicity.labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.lit(True))
-    return docs.filter(toxicity.score_column(toxicity.fit(sample), F.col("text")) < toxicity.CUT)
+    return docs.filter(toxicity.score_column(toxicity.fit_sample(sample), F.col("text")) < toxicity.CUT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,7 +83,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held = table(spark, sf_dir, "documents"), F.coalesce(_crc_mod(3) == 1, F.lit(False))
-    model = toxicity.fit(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), ~held))
+    model = toxicity.fit_sample(toxicity.labelled_sample(docs, table(spark, sf_dir, "labels"), ~held))
     scored = docs.select("doc_id", held.alias("held_out"), toxicity.score_column(model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.CUT).cast("int"))
 

@@ -10,11 +10,12 @@ A document's features are its largest gains, the numbers of windows at rising th
 weights come from logistic regression on documents that the dictionaries were not trained on; the cut with the best F-measure
 there is moved to ``CUT``, so the score reads alike on every corpus.
 
-Fitting reads at most ``max_toxic`` and ``max_ordinary`` labelled documents, the first by hash of the id: a bounded
-sample whose size is a parameter. Scoring covers whole texts of all rows, without a shuffle.
+Fitting reads at most ``max_toxic`` and ``max_ordinary`` labelled documents, the first by hash of the id, and at most ``max_bytes`` of
+text per label: a bounded sample whose sizes are parameters. One task fits it; dictionaries are trained on at most ``MAX_WINDOWS``
+of its windows each, in a seeded order. Scoring covers whole texts of all rows, without a shuffle.
 
 Defined results: a text without a window of some gain, so any null or empty text, scores 0; without a labelled
-document of both kinds every score is 0; repeated texts are used once for fitting; equal texts get equal scores; an empty
+document of both kinds every score is 0; repeated texts are used once for fitting, and of rows that share an id the smallest text; equal texts get equal scores; an empty
 table gives an empty result. Other columns pass by untouched.
 """
 
@@ -23,22 +24,27 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 6  # words
 GRAM = 6  # characters
 BASE_BYTES, OWN_BYTES = 96 * 1024, 4 * 1024
 MAX_TOXIC, MAX_ORDINARY = 4000, 6000
+MAX_BYTES = 64 * 1024 * 1024  # of sampled texts, per label
 FIT_SHARE = 0.6  # of the sample for the dictionaries, the rest for the weights
 CUT = 0.7
 BETA = 0.5
+MAX_WINDOWS = 80_000  # that a dictionary is trained on
 STEPS = tuple(range(2, 11))  # thresholds of gain, bytes
+MODEL = pa.schema([("toxic", pa.binary()), ("ordinary", pa.binary()), *[(name, pa.list_(pa.float64())) for name in ("centre", "spread", "weights")]])
 
 
 @dataclass(frozen=True)
@@ -93,8 +99,8 @@ def train_dictionaries(toxic: list[str], ordinary: list[str], seed: int = 7) ->
     plain = sorted({w for text in ordinary for w in windows(text)})
     rng.shuffle(plain)
     half = len(plain) // 2
-    base = _trained(plain[:half][:80_000], BASE_BYTES)
-    own = _trained(plain[half:][:80_000], OWN_BYTES, k=32, d=6)
+    base = _trained(plain[:half][:MAX_WINDOWS], BASE_BYTES)
+    own = _trained(plain[half:][:MAX_WINDOWS], OWN_BYTES, k=32, d=6)
     known: set[str] = set()
     for word in {w for text in ordinary for w in text.lower().split()}:
         known |= _grams(f" {word} ")
@@ -157,20 +163,41 @@ def fit(rows: list[tuple[str, int]], seed: int = 7) -> ToxicityModel | None:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, max_toxic: int = MAX_TOXIC, max_ordinary: int = MAX_ORDINARY,
-                    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[str, int]]:
-    """Texts and labels of the first documents by hash of the id, per label; ``usable`` is a condition on the id column.
+                    max_bytes: int = MAX_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(i, t, y): id, text and label of the first documents by hash of the id, per label; ``usable`` is a condition on the id column.
 
-    The ids are chosen from the labels alone; at most max_toxic + max_ordinary of them are broadcast to the texts.
+    The ids are chosen from the labels alone; at most max_toxic + max_ordinary of them are broadcast to the texts. An id has one
+    text, the smallest. Texts above a hundredth of ``max_bytes`` are left out, and of each label what goes beyond ``max_bytes`` in the order
+    of the hashes, so neither the number of rows nor their bytes grow with the input.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & usable).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"))
     order = F.md5(F.col("i").cast("string").cast("binary"))
     chosen = known.filter("y = 1").orderBy(order).limit(max_toxic).union(known.filter("y = 0").orderBy(order).limit(max_ordinary))
     ids = chosen.groupBy("i").agg(F.max("y").alias("y"))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i")
-    rows = [(r["i"], r["t"] or "", r["y"]) for r in texts.select("i", "t", "y").toLocalIterator()]
-    rows.sort(key=lambda r: (str(r[0]), r[1]))
-    random.Random(1).shuffle(rows)
-    return [(t, y) for _, t, y in rows]
+    fitting = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) <= max_bytes // 100
+    texts = docs.filter(fitting).select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(ids), "i")
+    texts = texts.groupBy("i", "y").agg(F.min("t").alias("t"))
+    # The window holds one label's part of the sample, whose rows are bounded above.
+    running = F.sum(F.octet_length("t")).over(Window.partitionBy("y").orderBy(order, "i").rowsBetween(Window.unboundedPreceding, 0))
+    return texts.withColumn("bytes", running).filter(F.col("bytes") <= max_bytes).select("i", "t", "y")
+
+
+def fit_sample(sample: DataFrame, seed: int = 7) -> ToxicityModel | None:
+    """The model of ``labelled_sample``'s rows, fitted in one task; only the model comes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(str(r["i"]), r["t"], r["y"]) for batch in batches for r in batch.to_pylist()]
+        rows.sort(key=lambda r: r[:2])
+        random.Random(1).shuffle(rows)
+        model = fit([(t, y) for _, t, y in rows], seed)
+        if model is not None:
+            yield pa.RecordBatch.from_pylist([vars(model)], schema=MODEL)
+
+    found = sample.coalesce(1).mapInArrow(run, "toxic binary, ordinary binary, centre array<double>, spread array<double>, weights array<double>").collect()
+    if not found:
+        return None
+    row = found[0]
+    return ToxicityModel(bytes(row["toxic"]), bytes(row["ordinary"]), tuple(row["centre"]), tuple(row["spread"]), tuple(row["weights"]))
 
 
 def score_column(model: ToxicityModel | None, text: Column) -> Column:
