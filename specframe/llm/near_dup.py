@@ -320,11 +320,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component, all columns.
 
-    Documents without words stay, each for itself. Of rows that share an id one stays. Rows without an id stay, as nothing
-    tells them apart from one another.
+    Rows are numbered once and stored with their texts, and the numbers are what is linked: rows that share an id, or have none,
+    meet by their texts alone. Of a component the row with the smallest id stays (null last), then the smallest hash of its text.
+    Documents without words stay, each for itself.
     """
-    out = near_duplicates(docs, k, percent, id_col, text_col)
-    key = fresh("key")
-    kept = out.filter("kept").select(F.col("doc_id").alias(key)).distinct()
-    with_id = docs.join(kept, docs[id_col] == kept[key], "left_semi").dropDuplicates([id_col])
-    return with_id.unionByName(docs.filter(F.col(id_col).isNull()))
+    spark, row, key = docs.sparkSession, fresh("row"), fresh("key")
+    path = stage_path(spark, "dedup-rows")
+    docs.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    found = near_duplicates(stored, k, percent, row, text_col).select("doc_id", "component_id")
+    order = stored.select(F.col(row).alias(key), F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(text_col), F.col(row)).alias("order"))
+    # One minimum per component, combined before the shuffle.
+    kept = found.join(order, F.col("doc_id") == F.col(key)).groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first")[row].alias(key))
+    return stored.join(kept, F.col(row) == F.col(key), "left_semi").select(*docs.columns)

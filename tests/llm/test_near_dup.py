@@ -77,7 +77,9 @@ def test_odd_rows(spark):
     expected = [(i, n, None if i is None and n == 0 else c) for i, n, c in plain(rows, 2)]
     assert sorted(map(as_key, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got))) == sorted(map(as_key, expected))
     kept = near_dup.deduplicated(documents(spark, rows), k=2)
-    assert kept.filter("doc_id = 5").count() == 1 and kept.filter("doc_id IN (1, 2, 3)").count() == 3
+    # Two texts stand under id 5: the first is also 7's, the second that of the row without an id and of 8.
+    assert sorted(r["text"] for r in kept.filter("doc_id = 5").collect()) == ["a word or two here", "same text twice"]
+    assert kept.filter("doc_id IS NULL OR doc_id IN (7, 8, 9)").count() == 0 and kept.filter("doc_id IN (1, 2, 3)").count() == 3
     assert near_dup.near_duplicates(documents(spark, rows).limit(0), k=2).count() == 0
     assert near_dup.deduplicated(documents(spark, rows).limit(0)).count() == 0
 
@@ -87,3 +89,15 @@ def test_byte_difference_expression(spark):
     df = spark.createDataFrame([(a, b)], "sa array<bigint>, sb array<bigint>")
     count = lambda x, y: sum(p != q for p, q in zip((x & (2**64 - 1)).to_bytes(8, "big"), (y & (2**64 - 1)).to_bytes(8, "big")))
     assert df.select(near_dup._differing("sa", "sb", 3)).first()[0] == sum(map(count, a, b))
+
+
+def test_rows_that_share_an_id_or_have_none_lose_no_text(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 5) for _ in range(40))
+    different = [text() for _ in range(30)]
+    third = [(7, t) for t in different[:10]] + [(None, t) for t in different[10:20]]
+    rows = third + third + [(100 + i, t) for i, t in enumerate(different[20:])] + [(None, different[0]), (3, different[15])]
+    runs = [sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in near_dup.deduplicated(documents(spark, rows).repartition(n)).collect())) for n in (1, 5)]
+    assert runs[0] == runs[1] and sorted(t for *_, t in runs[0]) == sorted(different)
+    ids = {t: (None if none else i) for none, i, t in runs[0]}
+    assert ids[different[0]] == 7 and ids[different[15]] == 3 and ids[different[11]] is None
