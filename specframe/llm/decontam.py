@@ -13,7 +13,10 @@ Both passes are maps over the documents: no text is shuffled, and an n-gram or a
 documents is no group anywhere. Items are read in chunks of at most ``CHUNK_WORDS`` words, and only one chunk's
 index is broadcast at a time, so the benchmark may have any size; each chunk costs two passes.
 
-Defined results: items with fewer than ``min_words`` words are no evidence and match nothing; null and empty texts match
+Items of fewer than ``min_words`` words are too short for edits to mean anything: they count only where all their words
+stand intact and in order; an item shorter than one n-gram, only where it is a whole document.
+
+Defined results: items without words match nothing; null and empty texts match
 nothing; repeated documents and repeated items each give rows of their own; a null id is carried as null; an empty table on
 either side gives an empty result. Other columns are not read.
 """
@@ -71,12 +74,14 @@ class Index:
     codes: np.ndarray  # distinct n-gram codes, sorted
     first: np.ndarray  # first entry of each code in ``entries``; one more at the end
     entries: np.ndarray  # rows (item, offset)
+    min_words: int = 8  # shorter items have to stand intact
+    tiny: dict[tuple, list[int]] = field(default_factory=dict)  # items shorter than one n-gram, by their words
     seed: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=bool))  # per entry
     distinct: tuple | None = None  # of _counted_words
     scratch: np.ndarray | None = None  # count of each word in a text; zero between texts
 
     @staticmethod
-    def build(rows: list[tuple], n: int) -> Index:
+    def build(rows: list[tuple], n: int, min_words: int = 8) -> Index:
         vocabulary: dict[bytes, int] = {}
         items = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], dtype=np.int64) for _, words in rows]
         own = Index(n, [i for i, _ in rows], items, vocabulary, np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 2), np.int64))
@@ -86,7 +91,10 @@ class Index:
         order = np.argsort(flat, kind="stable")
         own.codes, counts = np.unique(flat, return_counts=True)
         own.first, own.entries = np.concatenate([[0], np.cumsum(counts)]), places[order]
-        own.seed = np.ones(len(own.entries), dtype=bool)
+        own.seed, own.min_words = np.ones(len(own.entries), dtype=bool), min_words
+        for number, item in enumerate(items):
+            if 0 < len(item) < n:
+                own.tiny.setdefault(tuple(item.tolist()), []).append(number)
         return own
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
@@ -141,6 +149,9 @@ class Index:
         at = np.minimum(np.searchsorted(own, words), len(own) - 1)
         return int(np.minimum(np.bincount(at[own[at] == words], minlength=len(own)), counts).sum())
 
+    def _limit(self, item: int, threshold: float) -> float:
+        return 1.0 if len(self.items[item]) < self.min_words else threshold
+
     def _possible(self, candidates: np.ndarray, ids: np.ndarray, threshold: float) -> np.ndarray:
         """Those of the items (sorted) of which the whole text holds words enough for the threshold."""
         own, counts, begins = self._counted_words()
@@ -151,11 +162,13 @@ class Index:
         flat = np.repeat(begins[candidates] - (ends - sizes), sizes) + np.arange(ends[-1])
         shared = np.add.reduceat(np.minimum(self.scratch[own[flat]], counts[flat]), ends - sizes)
         self.scratch[seen] = 0
-        return candidates[shared >= threshold * np.fromiter((len(self.items[i]) for i in candidates), dtype=np.int64, count=len(candidates))]
+        return candidates[shared >= np.fromiter((self._limit(i, threshold) * len(self.items[i]) for i in candidates), dtype=np.float64, count=len(candidates))]
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int, float, int, int, int]]:
         """(item number, score, first and last word, seeds) of the items whose best place reaches the threshold."""
         ids = self.numbers(words_of(text))
+        if len(ids) < self.n:
+            return [(item, 1.0, 0, len(ids) - 1, 0) for item in self.tiny.get(tuple(ids.tolist()), [])]
         positions, numbers = self.hits(ids)
         if len(positions) == 0:
             return []
@@ -170,8 +183,9 @@ class Index:
         found, at = np.unique(items, return_index=True)
         out = []
         for item, low, high in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(items)]):
-            best = self._best_place(item, begins[low:high], ids, threshold)
-            if best[0] >= threshold:
+            limit = self._limit(item, threshold)
+            best = self._best_place(item, begins[low:high], ids, limit)
+            if best[0] >= limit:
                 out.append((item, *best, int(np.count_nonzero(seeds[low:high]))))
         return out
 
@@ -198,12 +212,12 @@ class Index:
         return best
 
 
-def _chunks(benchmark: DataFrame, item_col: str, text_col: str, min_words: int) -> Iterator[list[tuple]]:
+def _chunks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list[tuple]]:
     """Items in chunks of bounded size, read one after the other."""
     rows, held = [], 0
     for r in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).toLocalIterator():
         words = words_of(r["t"])
-        if len(words) < min_words:
+        if not words:
             continue
         rows.append((r["i"], words))
         held += len(words)
@@ -243,8 +257,8 @@ def indexes(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_words: int =
             text_col: str = "text") -> list:
     """Broadcast indexes with their seeds marked, one per chunk of the benchmark."""
     out = []
-    for rows in _chunks(benchmark, item_col, text_col, max(n, min_words)):
-        index = Index.build(rows, n)
+    for rows in _chunks(benchmark, item_col, text_col):
+        index = Index.build(rows, n, min_words)
         counts, total = _counted(docs, index, text_col)
         out.append(docs.sparkSession.sparkContext.broadcast(index.with_seeds(counts, rare_share * total)))
     return out
