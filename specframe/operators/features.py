@@ -87,28 +87,18 @@ def pack(features: DataFrame, keys: list[str], name: str = "f") -> DataFrame:
 
 
 def pca_scores(standard: DataFrame, k: int) -> tuple[DataFrame | None, DataFrame]:
-    """(components(comp, coord_index, loading), scores(entity_id, coord, value)) of standardised training features.
+    """(components([block,] coord, comp, coord_index, loading, mean, width), scores(entity_id, coord, value)) of standardised training features.
 
-    The Gram matrix is summed on the executors by MLlib; only the coordinates x k loadings reach the
-    driver. k = 0 keeps all coordinates and fits nothing. Each component's largest loading is positive.
+    Components come from a tree of QR factors (``tall_qr``). k = 0 keeps all coordinates and fits nothing. Each component's largest loading is positive.
     """
-    import numpy as np
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
+    from ..session import durable
+    from . import tall_qr
 
     if k <= 0:
         return None, standard.select("entity_id", "coord", "value")
-    packed = pack(standard, ["entity_id"]).select("entity_id", "f", array_to_vector("f").alias("v"))
-    loadings = PCA(k=k, inputCol="v", outputCol="s").fit(packed).pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(k)])
-    loadings = loadings * np.where(signs == 0, 1.0, signs)
-    rows = [(c, i, float(loadings[i, c])) for c in range(k) for i in range(loadings.shape[0])]
-    components = standard.sparkSession.createDataFrame(rows, "comp int, coord_index int, loading double")
-    # Each entity's k dot products stay inside its row.
-    dots = F.array(*[F.aggregate(F.zip_with("f", F.array(*[F.lit(float(v)) for v in loadings[:, c]]), lambda a, b: a * b),
-                                 F.lit(0.0), lambda s, x: s + x) for c in range(k)])
-    scores = packed.select("entity_id", F.posexplode(dots).alias("coord", "value"))
-    return components, scores
+    rows = standard.select("entity_id", *[c for c in ("block", "coord") if c in standard.columns], "value")
+    components = durable(tall_qr.fit(rows, k))
+    return components, tall_qr.project(rows, components, k)
 
 
 def score_scales(scores: DataFrame) -> DataFrame:
