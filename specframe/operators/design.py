@@ -85,12 +85,13 @@ def anchor_ranking(top_states: DataFrame, k: int) -> DataFrame:
     return ranked.withColumn("rank", F.row_number().over(order))
 
 
-def adaptive_design(broad: DataFrame, bank: DataFrame, anchors: DataFrame, offsets: DataFrame, filler: DataFrame,
+def adaptive_design(broad: DataFrame, bank: DataFrame, anchors: DataFrame, offsets: DataFrame, filler: DataFrame | None,
                     radius: dict[str, float], ranges: Ranges, log: set[str], n: int) -> DataFrame:
     """A broad design, then anchors shifted by scaled offsets, deduplicated and filled up to n rows.
 
     broad(idx, <params>), bank(candidate_id, <params>), anchors(candidate_id, rank 1..k), offsets(idx, <units in -1..1>),
-    filler(idx, <params>). Anchors are used round-robin. Result: candidate_id, origin, anchor_id, <params>.
+    filler(idx, <params>), or None: the distinct rows are the design, n at most. Anchors are used round-robin.
+    Result: candidate_id, origin, anchor_id, <params>.
     """
     names = list(radius)
     k = anchors.agg(F.max("rank").alias("_k"))
@@ -105,10 +106,12 @@ def adaptive_design(broad: DataFrame, bank: DataFrame, anchors: DataFrame, offse
         local.select(F.struct(F.lit(1).alias("p"), F.col("idx").cast("bigint").alias("i")).alias("_pos"), F.lit("adaptive_local").alias("origin"),
                      "anchor_id", *names)]
     kept = dedupe_keep_first(reduce(DataFrame.unionByName, parts), names, 12, "_pos")
-    fill = filler.select(F.struct(F.lit(2).alias("p"), F.col("idx").cast("bigint").alias("i")).alias("_pos"), F.lit("broad_fill").alias("origin"),
-                         F.lit(None).cast("string").alias("anchor_id"), *names)
+    if filler is not None:
+        kept = kept.unionByName(filler.select(
+            F.struct(F.lit(2).alias("p"), F.col("idx").cast("bigint").alias("i")).alias("_pos"), F.lit("broad_fill").alias("origin"),
+            F.lit(None).cast("string").alias("anchor_id"), *names))
     order = [F.col("_pos.p").asc(), F.col("_pos.i").asc()]
-    ranked = global_running(kept.unionByName(fill), order, {}, name="_r").where(F.col("_r") <= n)
+    ranked = global_running(kept, order, {}, name="_r").where(F.col("_r") <= n)
     return ranked.select((F.col("_r") - 1).alias("candidate_id"), "origin", "anchor_id", *names)
 
 
