@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, stage_path
+from ..session import SMALL_ROWS, durable, stage_path
 
 BLOCK, ROW = "_block", "_row"
 
@@ -23,6 +23,23 @@ def block_count(rows: int, rows_per_block: int) -> int:
     return max(1, math.ceil(rows / rows_per_block))
 
 
+SLICES = 16
+
+
+def beside(rows: DataFrame, facts: DataFrame, keys: list[str], along: str, limit: int | None = None) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row per ``keys``), without moving ``rows`` if facts are few.
+
+    Facts are stored and counted. Up to ``limit`` rows they are broadcast; beyond, both sides meet by key, each key dealt over
+    slices of the whole-number column ``along``, so one with very many rows is not one task.
+    """
+    stored = durable(facts)
+    if stored.count() <= (SMALL_ROWS if limit is None else limit):
+        return rows.join(F.broadcast(stored), keys)
+    sliced = rows.withColumn("_slice", F.coalesce(F.pmod(F.col(along), F.lit(SLICES)), F.lit(0)).cast("int"))
+    copies = stored.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return sliced.join(copies, [*keys, "_slice"]).drop("_slice")
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a stored table with a unique number ``_row`` beside every row, whatever its ids."""
     path = stage_path(df.sparkSession, name)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import beside
 from ..functions.expr import taper, window_weights
 
 
@@ -36,12 +37,12 @@ def rereference(samples: DataFrame, reference: str = "average") -> DataFrame:
 def demean(samples: DataFrame) -> DataFrame:
     """Subtract each channel's mean over time.
 
-    The means are partial aggregates joined back (one row per recording and channel), so a long
+    The means are partial aggregates set beside the samples (one row per recording and channel), so a long
     recording is never gathered into one window.
     """
     keys = [*rec_keys(samples), "channel"]
     means = samples.groupBy(*keys).agg(F.avg("value").alias("_mean"))
-    return samples.join(means, keys).withColumn("value", F.col("value") - F.col("_mean")).drop("_mean").select(*samples.columns)
+    return beside(samples, means, keys, "t").withColumn("value", F.col("value") - F.col("_mean")).drop("_mean").select(*samples.columns)
 
 
 def recording_lengths(samples: DataFrame) -> DataFrame:
@@ -86,21 +87,24 @@ def temporal_segments(samples: DataFrame) -> DataFrame:
         part("fit", inside, F.lit(0)), part("validation", ~inside, half),
         part("rel_a", F.col("t") < quarter, F.lit(0)), part("rel_b", inside & (F.col("t") >= quarter), quarter)))
     others = [c for c in samples.columns if c != "t"]
-    return samples.join(lengths, "recording_id").select(*others, F.explode(parts).alias("_p")).select(*others, "_p.segment", "_p.t")
+    return beside(samples, lengths, rec_keys(samples), "t").select(*others, F.explode(parts).alias("_p")).select(*others, "_p.segment", "_p.t")
+
+
+def _with_last_epoch(samples: DataFrame, n: int) -> DataFrame:
+    """samples with ``_last``, the number of their recording's last half-overlapping epoch of n samples."""
+    last = F.when(F.col("n_samples") >= 2 * n, F.floor((F.col("n_samples") - n) / (n // 2))).otherwise(
+        F.raise_error(F.lit("recording is too short for stable spectra")).cast("bigint"))
+    return beside(samples, recording_lengths(samples), rec_keys(samples), "t").withColumn("_last", last).drop("n_samples")
 
 
 def epochs_overlap(samples: DataFrame, n: int) -> DataFrame:
     """Half-overlapping epochs of n samples; recordings shorter than 2n are an error."""
     hop = n // 2
-    keys = rec_keys(samples)
-    lengths = recording_lengths(samples).withColumn("_last", F.when(
-        F.col("n_samples") >= 2 * n, F.floor((F.col("n_samples") - n) / hop)
-    ).otherwise(F.raise_error(F.lit("recording is too short for stable spectra")).cast("bigint"))).drop("n_samples")
+    timed = _with_last_epoch(samples, n)
     first = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("t") - n + 1) / hop).cast("bigint"))
     last = F.least(F.floor(F.col("t") / hop).cast("bigint"), F.col("_last"))
     return (
-        samples.join(lengths, keys)
-        .withColumn("epoch", F.explode(F.when(first <= last, F.sequence(first, last)))).drop("_last")
+        timed.withColumn("epoch", F.explode(F.when(first <= last, F.sequence(first, last)))).drop("_last")
         .withColumn("pos", (F.col("t") - F.col("epoch") * hop).cast("bigint"))
     )
 
@@ -109,7 +113,7 @@ def epochs_tiled(samples: DataFrame, n: int) -> DataFrame:
     """Non-overlapping epochs of n samples; the incomplete tail is dropped."""
     lengths = recording_lengths(samples)
     return (
-        samples.join(lengths, rec_keys(samples))
+        beside(samples, lengths, rec_keys(samples), "t")
         .withColumn("epoch", F.floor(F.col("t") / n).cast("bigint"))
         .where(F.col("epoch") < F.floor(F.col("n_samples") / n)).drop("n_samples")
         .withColumn("pos", F.col("t") % n)
@@ -250,13 +254,10 @@ def _cross_spectrum_arrow(samples: DataFrame, fs: float, n: int, mapping: dict[i
     bins = sorted(mapping)
     centers = sorted(set(mapping.values()))
     span = EPOCHS_PER_BLOCK * hop
-    lengths = recording_lengths(samples).withColumn("_last", F.when(
-        F.col("n_samples") >= 2 * n, F.floor((F.col("n_samples") - n) / hop)
-    ).otherwise(F.raise_error(F.lit("recording is too short for stable spectra")).cast("bigint"))).drop("n_samples")
     last_block = F.floor(F.col("_last") / EPOCHS_PER_BLOCK)
     low = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("t") - span - n + hop + 1) / span).cast("bigint"))
     high = F.least(F.floor(F.col("t") / span).cast("bigint"), last_block)
-    blocked = samples.join(lengths, keys).withColumn(
+    blocked = _with_last_epoch(samples, n).withColumn(
         "block", F.explode(F.when(low <= high, F.sequence(low, high)))).select(*keys, "block", "_last", "channel", "t", "value")
     types = dict(samples.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", freq double, ch_i string, ch_j string, re double, im double, n bigint"
