@@ -5,7 +5,8 @@ the order of that dimension's value: runs of equal value are the posting segment
 dimension j has the impact q[j] * v. Segments are processed by descending quantised size of their impact (levels halve),
 each adding its impact to the accumulators of its rows. After a level, what is missing from any accumulator is at most
 the sum over dimensions of the largest impact not yet processed; rows whose accumulator plus that bound reaches the k-th
-best exact score known so far are the possible members. Nothing else can enter the result: processing stops on this proof, once it
+best exact score known so far are the possible members. Levels that leave too much missing for any proof are processed with the
+next one, and a level's postings are added in portions that fit a cache. Nothing else can enter the result: processing stops on this proof, once it
 leaves out three quarters of the rows, and the possible members are scored exactly. If no early proof comes, all segments
 are processed.
 
@@ -33,9 +34,12 @@ from ..functions.blocks import BLOCK, ROW, block_count, numbered, pack_blocks, t
 # Numbers in a block of the index and in a block of queries; a row of either stays under 10 MB.
 INDEX_CELLS = 1 << 20
 QUERY_CELLS = 1 << 14
+# Postings gathered before they are added; their rows and impacts stay in a core's cache.
+PORTION = 1 << 15
 LIMIT = 1 << 27
 FOUND = "query_row long, query_id long, cand_row long, vec_id long, score long"
-# The first level is this share of the largest impact; each next one is half of the one before.
+# The first level is at most this share of the largest impact, and leaves at most this share of what all dimensions together
+# can add; before that no proof is tried. Each next one is half of the one before.
 FIRST_LEVEL = 0.125
 # Processing stops when at most this share of a block's rows is not proved out.
 POSSIBLE = 0.25
@@ -86,8 +90,8 @@ class BlockIndex:
 
     def __init__(self, matrix: np.ndarray, postings: np.ndarray, reach: int = LIMIT):
         self.n, self.width = matrix.shape
-        self.postings = postings.astype(np.intp)
-        values = np.take_along_axis(matrix.T, self.postings, axis=1) if self.n else matrix.T
+        self.postings = postings
+        values = np.take_along_axis(matrix.T, postings.astype(np.intp), axis=1) if self.n else matrix.T
         # One sorted array for all dimensions: a search in it finds a bound in every dimension at once.
         self.step = np.int64(8 * LIMIT)
         self.keys = (values + self.step * np.arange(self.width)[:, None]).ravel()
@@ -95,6 +99,13 @@ class BlockIndex:
         most = self.width * int(self.extreme.max(initial=0)) * reach
         self.kind = np.float64 if most < 1 << 53 else np.int64
         self.matrix, self.values = matrix.astype(self.kind), values.astype(self.kind)
+        # Postings and their impacts, gathered here for one addition. Kept from query to query, as new memory costs more.
+        self.rows, self.impacts = np.empty(PORTION + self.n, dtype=np.intp), np.empty(PORTION + self.n, dtype=self.kind)
+
+    def _missing(self, q: np.ndarray, dims: np.ndarray, low: np.ndarray, high: np.ndarray) -> int:
+        """The most that postings ``low`` to ``high`` of every dimension, those not yet processed, can add to one row."""
+        end = np.where(q > 0, high - 1, np.minimum(low, self.n - 1))
+        return int(np.where(low < high, np.maximum(q * self.values[dims, end], 0), 0).sum())
 
     def top(self, query: np.ndarray, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
         """Rows and exact scores of all possible members of the k best, and the number of postings processed."""
@@ -106,34 +117,47 @@ class BlockIndex:
         def scored(rows: np.ndarray) -> np.ndarray:
             return (self.matrix[rows] @ q).astype(np.int64)
 
+        def add(taken: int) -> None:
+            if self.kind == np.int64:
+                np.add.at(acc, self.rows[:taken], self.impacts[:taken])
+            elif taken:
+                acc[:] += np.bincount(self.rows[:taken], self.impacts[:taken], self.n)
+
         if self.n <= k + 1 or not len(dims):
-            everything = np.arange(self.n)
-            everything = everything[everything != own]
-            return everything, scored(everything), 0
+            others = np.arange(self.n)
+            others = others[others != own]
+            return others, scored(others), 0
         acc = np.zeros(self.n, dtype=self.kind)
         base, starts = self.step * dims, self.n * dims
         low, high = np.zeros(len(dims), dtype=np.int64), np.full(len(dims), self.n)
+        everything = self._missing(q[dims], dims, low, high)
         level, floor = max(1, int(largest.max() * FIRST_LEVEL)), None
         while True:
             bound = np.minimum(-(-level // size), 2 * LIMIT)
             new_low = np.maximum(low, np.searchsorted(self.keys, base - bound, side="right") - starts)
             new_high = np.minimum(high, np.searchsorted(self.keys, base + bound, side="left") - starts)
-            runs = [(j, a, b) for j, a, b in zip(dims.tolist(), low.tolist(), new_low.tolist()) if a < b]
-            runs += [(j, a, b) for j, a, b in zip(dims.tolist(), new_high.tolist(), high.tolist()) if a < b]
-            if runs:
-                rows = np.concatenate([self.postings[j, a:b] for j, a, b in runs])
-                impacts = np.concatenate([q[j] * self.values[j, a:b] for j, a, b in runs])
-                if self.kind == np.int64:
-                    np.add.at(acc, rows, impacts)
-                else:
-                    acc += np.bincount(rows, impacts, self.n)
+            missing = self._missing(q[dims], dims, new_low, new_high)
+            if level > 1 and missing > FIRST_LEVEL * everything:
+                level = max(1, level // 2)
+                continue
+            taken = 0
+            for of, j, *ends in zip(q[dims], dims.tolist(), low.tolist(), new_low.tolist(), new_high.tolist(), high.tolist()):
+                for a, b in (ends[:2], ends[2:]):
+                    if a < b:
+                        upto = taken + b - a
+                        self.rows[taken:upto] = self.postings[j, a:b]
+                        np.multiply(self.values[j, a:b], of, out=self.impacts[taken:upto])
+                        taken = upto
+                        if taken >= PORTION:
+                            add(taken)
+                            taken = 0
+            add(taken)
             low, high = new_low, new_high
             if own >= 0:
                 acc[own] = -np.inf if self.kind != np.int64 else np.iinfo(np.int64).min // 2
             best = np.argpartition(acc, self.n - k)[self.n - k :]
             exact = int(scored(best).min())
             floor = exact if floor is None else max(floor, exact)
-            missing = int(np.minimum(largest, level - 1).sum())
             possible = np.flatnonzero(acc >= floor - missing)
             if level == 1 or len(possible) <= POSSIBLE * self.n:
                 possible = possible[possible != own]

@@ -66,3 +66,20 @@ def test_stops_on_proof_before_all_postings(spark):
     exact = m @ q
     assert done < 0.1 * m.size and len(members) < 0.2 * len(m)
     assert sorted(scores)[-10:] == sorted(exact)[-10:] and set(np.flatnonzero(exact >= sorted(exact)[-10])) <= set(members.tolist())
+
+
+def test_bound_follows_the_postings_left_and_additions_stay_small(spark):
+    """What is missing is the largest impact left in each dimension, so fewer postings prove the same; memory is a portion."""
+    rng = np.random.default_rng(3)
+    m = np.floor(rng.normal(0, 8, (6000, 64))).astype(np.int32)
+    postings = np.ascontiguousarray(np.argsort(m, axis=0, kind="stable").T.astype(np.int32))
+    index = vector_search.BlockIndex(m, postings, 64)
+    dims, q = np.arange(64), m[5].astype(np.float64)
+    low, high = np.full(64, 1500), np.full(64, 4500)
+    left = np.stack([q[j] * m[postings[j, 1500:4500], j] for j in dims])
+    assert index._missing(q, dims, low, high) == np.maximum(left.max(axis=1), 0).sum() and index._missing(q, dims, high, high) == 0
+    assert len(index.rows) < 0.2 * m.size
+    for own in range(20):
+        members, scores, done = index.top(m[own], 10, own)
+        exact = np.delete(m @ m[own], own)
+        assert sorted(scores)[-10:] == sorted(exact)[-10:] and own not in members and done < 0.75 * m.size
