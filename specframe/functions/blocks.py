@@ -40,6 +40,15 @@ def beside(rows: DataFrame, facts: DataFrame, keys: list[str], along: str, limit
     return sliced.join(copies, [*keys, "_slice"]).drop("_slice")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` into all of the session's shuffle partitions, where few bytes become many rows or much work.
+
+    The adaptive planner merges partitions by the bytes they hold, down to one a core; a given number of partitions it leaves alone.
+    A join or group by the same keys takes them as they lie.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a stored table with a unique number ``_row`` beside every row, whatever its ids."""
     path = stage_path(df.sparkSession, name)
