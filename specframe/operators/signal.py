@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import beside
+from ..functions.blocks import beside, dealt
 from ..functions.expr import taper, window_weights
 
 
@@ -289,7 +289,7 @@ def _cross_spectrum_arrow(samples: DataFrame, fs: float, n: int, mapping: dict[i
             out.insert(0, name, item)
         return out
 
-    partials = blocked.groupBy(*keys, "block").applyInPandas(partial, schema)
+    partials = dealt(blocked, *keys, "block").groupBy(*keys, "block").applyInPandas(partial, schema)
     total = F.sum("n")
     return partials.groupBy(*keys, "freq", "ch_i", "ch_j").agg(
         (F.sum("re") / total).alias("re"), (F.sum("im") / total).alias("im"), total.alias("epoch_count"))
