@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import SMALL_ROWS, durable, stage_path
@@ -66,17 +66,31 @@ def pack_blocks(stored: DataFrame, blocks: int, pack: Callable, schema: str, by:
     return durable(stored.withColumn(BLOCK, place).groupBy(BLOCK).applyInArrow(pack, schema))
 
 
-def tiles(left: DataFrame, right: DataFrame, left_blocks: int, right_blocks: int) -> DataFrame:
-    """One row per pair of blocks: columns of ``left`` prefixed ``l``, of ``right`` prefixed ``r``; both sides carry ``_block``.
+# Most tiles that are dealt to a partition on average, whatever their number: a partition's bytes follow the blocks' size.
+TILES_EACH = 8
+
+
+def task_count(spark: SparkSession) -> int:
+    """Tasks for work that is small in bytes and large in arithmetic: the shuffle partitions, or the cores several times over."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
 
-    Each block is copied once per block of the other side and both copies meet by the pair's key, in as many partitions as
-    the session has cores several times over (fixed, since tiles are small in bytes and large in work).
+def tile_sides(left: DataFrame, right: DataFrame, left_blocks: int, right_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of every pair of blocks, dealt by the pair's key ``_tile``: columns of ``left`` prefixed ``l``, of ``right`` ``r``.
+
+    Each block (``_block`` on both sides) is copied once per block of the other side. The number of partitions is given, as the planner
+    would merge them by their bytes, and grows with the pairs, so a partition holds a few blocks however many there are.
     """
-    spark = left.sparkSession
-    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    parts = max(1, min(left_blocks * right_blocks, wanted))
+    wanted, pairs = task_count(left.sparkSession), left_blocks * right_blocks
+    parts = max(1, min(pairs, wanted), math.ceil(pairs / TILES_EACH))
     a = left.select(*[F.col(c).alias("l" + c) for c in left.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(right_blocks - 1).cast("long"))).alias("_other"))
     b = right.select(*[F.col(c).alias("r" + c) for c in right.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(left_blocks - 1).cast("long"))).alias("_this"))
     a = a.select(*a.columns[:-1], (F.col("l" + BLOCK) * right_blocks + F.col("_other")).alias("_tile")).repartition(parts, "_tile")
     b = b.select(*b.columns[:-1], (F.col("_this") * right_blocks + F.col("r" + BLOCK)).alias("_tile")).repartition(parts, "_tile")
+    return a, b
+
+
+def tiles(left: DataFrame, right: DataFrame, left_blocks: int, right_blocks: int) -> DataFrame:
+    """One row per pair of blocks, joined from ``tile_sides``."""
+    a, b = tile_sides(left, right, left_blocks, right_blocks)
     return a.join(b, "_tile")

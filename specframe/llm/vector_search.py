@@ -10,7 +10,9 @@ next one, and a level's postings are added in portions that fit a cache. Nothing
 leaves out three quarters of the rows, and the possible members are scored exactly. If no early proof comes, all segments
 are processed.
 
-Blocks of queries meet blocks of the index in a keyed join (``functions.blocks``); a task holds one block of each. Each
+Blocks of queries meet blocks of the index by the pair's key (``functions.blocks``); a task holds one block of each. An index
+block is copied once per block of queries, so these are small only while that is needed to give every task a pair, and grow
+to ``QUERY_MOST`` numbers: the copies then are a small part of the work, which is queries times rows. Each
 block gives at most k rows a query, and a window with a group limit keeps the k best.
 
 Defined results. A null vector, or one holding a null, NaN or infinite component, takes no part, neither as query nor as
@@ -29,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import BLOCK, ROW, block_count, numbered, pack_blocks, tiles
+from ..functions.blocks import BLOCK, ROW, block_count, numbered, pack_blocks, task_count, tile_sides
 
-# Numbers in a block of the index and in a block of queries; a row of either stays under 10 MB.
+# Numbers in a block of the index, and in a small and the largest block of queries; a row of either stays under 10 MB.
 INDEX_CELLS = 1 << 20
-QUERY_CELLS = 1 << 14
+QUERY_CELLS, QUERY_MOST = 1 << 14, 1 << 19
 # Postings gathered before they are added; their rows and impacts stay in a core's cache.
 PORTION = 1 << 15
 LIMIT = 1 << 27
@@ -166,38 +168,49 @@ class BlockIndex:
 
 
 def _search(k: int, width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                get = lambda name: batch.column(name)[i].as_py()
-                ids, rows = np.array([x if x is not None else np.iinfo(np.int64).max for x in get("rids")], dtype=np.int64), get("rrows")
-                present = np.array([x is not None for x in get("rids")])
-                queries = np.frombuffer(get("lmatrix"), dtype=np.int32).reshape(-1, width)
-                reach = int(np.abs(queries.astype(np.int64)).max(initial=0))
-                index = BlockIndex(np.frombuffer(get("rmatrix"), dtype=np.int32).reshape(-1, width), np.frombuffer(get("rpostings"), dtype=np.int32).reshape(width, -1), reach)
-                place = {row: n for n, row in enumerate(rows)}
-                out: list[tuple] = []
-                for query_id, query_row, q in zip(get("lids"), get("lrows"), queries):
-                    members, scores, _ = index.top(q, k, place.get(query_row, -1))
-                    order = np.lexsort((members, ids[members], ~present[members], -scores))[:k]
-                    out.extend((query_row, query_id, rows[m], int(ids[m]) if present[m] else None, int(s)) for m, s in zip(members[order], scores[order]))
-                kinds = ["query_row", "query_id", "cand_row", "vec_id", "score"]
-                columns = list(zip(*out)) if out else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=kinds)
+    kinds = ["query_row", "query_id", "cand_row", "vec_id", "score"]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:  # no query at all, or no vector
+            return pa.table({name: pa.array([], pa.int64()) for name in kinds})
+        ids, rows = right["rids"][0].as_py(), np.array(right["rrows"][0].as_py(), dtype=np.int64)
+        present = np.array([x is not None for x in ids])
+        ids = np.array([x if x is not None else np.iinfo(np.int64).max for x in ids], dtype=np.int64)
+        queries = np.frombuffer(left["lmatrix"][0].as_buffer(), dtype=np.int32).reshape(-1, width)
+        reach = int(max(-queries.min(initial=0).astype(np.int64), queries.max(initial=0)))
+        matrix, postings = (np.frombuffer(right[name][0].as_buffer(), dtype=np.int32) for name in ("rmatrix", "rpostings"))
+        index = BlockIndex(matrix.reshape(-1, width), postings.reshape(width, -1), reach)
+        place = {row: n for n, row in enumerate(rows.tolist())}
+        out: list[tuple] = []
+        for query_id, query_row, q in zip(left["lids"][0].as_py(), left["lrows"][0].as_py(), queries):
+            members, scores, _ = index.top(q, k, place.get(query_row, -1))
+            order = np.lexsort((members, ids[members], ~present[members], -scores))[:k]
+            best = members[order]
+            out.append((np.full(len(best), query_row), [query_id] * len(best), rows[best], ids[best], ~present[best], scores[order]))
+        query_row, cand_row, vec_id, missing, score = (np.concatenate([x[n] for x in out]) for n in (0, 2, 3, 4, 5))
+        query_id = pa.array([x for part in out for x in part[1]], pa.int64())
+        return pa.Table.from_arrays([pa.array(query_row, pa.int64()), query_id, pa.array(cand_row, pa.int64()), pa.array(vec_id, pa.int64(), mask=missing), pa.array(score, pa.int64())], names=kinds)
 
     return run
 
 
+def query_block_count(queries: int, width: int, index_blocks: int, tasks: int) -> int:
+    """As many blocks of queries as give each task a pair, none below the small size, and more only so that none exceeds the largest."""
+    small, large = (block_count(queries, max(16, cells // width)) for cells in (QUERY_CELLS, QUERY_MOST))
+    return max(large, min(small, block_count(tasks, index_blocks)))
+
+
 def exact_top(vectors: DataFrame, is_query: Column, k: int, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (1 is best), vec_id, score: for every row that ``is_query`` marks, the k best of all other rows."""
     stored = numbered(integer_vectors(vectors, is_query, scale, id_col, vector_col), "vectors")
     total, asked, width = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     width = max(1, width)
     index_blocks = block_count(total, max(256, INDEX_CELLS // width))
-    query_blocks = block_count(asked, max(16, QUERY_CELLS // width))
+    query_blocks = query_block_count(asked, width, index_blocks, task_count(vectors.sparkSession))
     index = pack_blocks(stored.drop("q"), index_blocks, *_packer(width, True))
     queries = pack_blocks(stored.where("q").drop("q"), query_blocks, *_packer(width, False))
-    found = tiles(queries, index, query_blocks, index_blocks).mapInArrow(_search(k, width), FOUND)
+    left, right = tile_sides(queries, index, query_blocks, index_blocks)
+    found = left.groupBy("_tile").cogroup(right.groupBy("_tile")).applyInArrow(_search(k, width), FOUND)
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "cand_row")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

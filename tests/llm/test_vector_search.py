@@ -83,3 +83,17 @@ def test_bound_follows_the_postings_left_and_additions_stay_small(spark):
         members, scores, done = index.top(m[own], 10, own)
         exact = np.delete(m @ m[own], own)
         assert sorted(scores)[-10:] == sorted(exact)[-10:] and own not in members and done < 0.75 * m.size
+
+
+def test_copies_and_partitions_stay_bounded_on_large_tables(spark):
+    """An index block is copied once per block of queries, so these grow with the table; a partition holds a few pairs, however many there are."""
+    from specframe.functions import blocks
+
+    for rows, tasks, largest_copies in ((50_000, 200, 40), (600_000, 200, 259), (6_000_000, 200, 13_579)):
+        asked, index_blocks = rows // 20, blocks.block_count(rows, vector_search.INDEX_CELLS // 64)
+        count = vector_search.query_block_count(asked, 64, index_blocks, tasks)
+        assert -(-asked // count) * 64 <= vector_search.QUERY_MOST and count * index_blocks <= largest_copies  # 4,366 and 430,124 in small blocks
+    assert vector_search.query_block_count(0, 64, 1, 200) == 1
+    side = spark.range(60).select(F.col("id").alias("_block"), F.lit(1).alias("v"))
+    pairs = blocks.tiles(side, side, 60, 60)
+    assert pairs.count() == 3600 and max(len(p) for p in pairs.select("_tile").rdd.glom().collect()) < 4 * blocks.TILES_EACH
