@@ -217,3 +217,24 @@ def test_adaptive_design_query_has_only_distinct_rows_where_offsets_repeat(spark
     want = duck.execute(ORACLES["adaptive_design"]).df().sort_values("candidate_id").reset_index(drop=True)
     assert 25 < len(want) < 200 and list(got.origin) == list(want.origin)
     assert np.allclose(got[["candidate_id", "p1", "p2", "p3"]], want[["candidate_id", "p1", "p2", "p3"]])
+
+
+def test_manifest_hashes_files_that_do_not_fit_in_a_row(spark, tmp_path, monkeypatch):
+    """Beyond the length that Spark reads as one row, files come in splits; every byte counts, whatever lines they seem to hold."""
+    noise = np.random.default_rng(4).integers(0, 256, 300_000).astype(np.uint8).tobytes()
+    contents = {"a b+c.bin": noise, "end.bin": noise[:5000] + b"\n", "blank.txt": b"\n" * 3000, "dos.txt": b"one\r\ntwo\r" * 400, "one.bin": b"\0" * 90_000, "mark.txt": b"\xef\xbb\xbf" + b"x\n" * 900,
+                "mark2.txt": b"\xef\xbb\xbf" + b"x\ny" * 900, "packed.gz": b"not packed" * 80, "small.txt": b"s"}
+    root = tmp_path / "r.o+t"
+    for name, content in contents.items():
+        (root / "in").mkdir(parents=True, exist_ok=True)
+        (root / "in" / name).write_bytes(content)
+    monkeypatch.setattr(files, "WHOLE_BYTES", 500, raising=False)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "20000"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = files.artifact_manifest(spark, str(root)).collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert sorted((r["path"], r["bytes"], r["sha256"]) for r in rows) == sorted((f"in/{n}", len(c), hashlib.sha256(c).hexdigest()) for n, c in contents.items())
