@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -262,34 +264,38 @@ def _cross_spectrum_arrow(samples: DataFrame, fs: float, n: int, mapping: dict[i
     types = dict(samples.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", freq double, ch_i string, ch_j string, re double, im double, n bigint"
 
-    def partial(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, last = int(pdf["block"].iloc[0]), int(pdf["_last"].iloc[0])
+    members = [[i for i, k in enumerate(bins) if mapping[k] == center] for center in centers]
+
+    def partial(key: tuple, rows: pa.Table) -> pa.Table:
+        block, last = rows["block"][0].as_py(), rows["_last"][0].as_py()
         first = block * EPOCHS_PER_BLOCK
         count = min(EPOCHS_PER_BLOCK, last - first + 1)
-        wide = pdf.pivot(index="t", columns="channel", values="value").reindex(
-            range(first * hop, first * hop + (count - 1) * hop + n)).to_numpy(dtype=float)
+        names = sorted(rows["channel"].unique().to_pylist())
+        place = pc.index_in(rows["channel"], value_set=pa.array(names)).to_numpy()
+        t, value = rows["t"].to_numpy() - first * hop, rows["value"].cast(pa.float64()).to_numpy()
+        if len(np.unique(t * len(names) + place)) != len(t):
+            raise ValueError("a sample is there twice")
+        wide = np.full(((count - 1) * hop + n, len(names)), np.nan)
+        inside = (t >= 0) & (t < len(wide))
+        wide[t[inside], place[inside]] = value[inside]
         if not np.isfinite(wide).all():
             raise ValueError("samples must be complete and finite")
-        names = sorted(pdf["channel"].unique())
         wide = wide - wide.mean(axis=1, keepdims=True)
         frames = np.stack([wide[e * hop:e * hop + n] for e in range(count)])
         frames = (frames - frames.mean(axis=1, keepdims=True)) * np.asarray(weights)[None, :, None]
         z = np.fft.rfft(frames, axis=1)[:, bins, :]
         raw = np.einsum("efc,efd->fcd", np.conjugate(z), z) * scale
         upper = np.triu_indices(len(names))
-        rows = []
-        for center in centers:
-            member = [i for i, k in enumerate(bins) if mapping[k] == center]
-            value = raw[member].mean(axis=0)[upper]
-            rows.append(pd.DataFrame({
-                "freq": center, "ch_i": [names[a] for a in upper[0]], "ch_j": [names[b] for b in upper[1]],
-                "re": value.real, "im": np.where(upper[0] == upper[1], 0.0, value.imag), "n": count}))
-        out = pd.concat(rows, ignore_index=True)
-        for name, item in zip(reversed(keys), reversed(key[:-1])):
-            out.insert(0, name, item)
-        return out
-
-    partials = dealt(blocked, *keys, "block").groupBy(*keys, "block").applyInPandas(partial, schema)
+        cells = np.stack([raw[member].mean(axis=0)[upper] for member in members])
+        size, each = cells.size, cells.shape[1]
+        labels = pa.array(names)
+        pairs = [labels.take(pa.array(np.tile(side, len(centers)))) for side in upper]
+        constant = [pa.array([k.as_py()], k.type).take(pa.array(np.zeros(size, dtype=np.int64))) for k in key[:-1]]
+        im = np.where(upper[0] == upper[1], 0.0, cells.imag)
+        return pa.Table.from_arrays([*constant, pa.array(np.repeat(np.array(centers, dtype=float), each)), *pairs, pa.array(cells.real.ravel()), pa.array(im.ravel()), pa.array(np.full(size, count))],
+                                    names=[*keys, "freq", "ch_i", "ch_j", "re", "im", "n"])
+
+    partials = dealt(blocked, *keys, "block").groupBy(*keys, "block").applyInArrow(partial, schema)
     total = F.sum("n")
     return partials.groupBy(*keys, "freq", "ch_i", "ch_j").agg(
         (F.sum("re") / total).alias("re"), (F.sum("im") / total).alias("im"), total.alias("epoch_count"))

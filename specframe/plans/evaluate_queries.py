@@ -240,7 +240,7 @@ def _segment_csd(spark, sf):
 
 @query("fit_transform")
 def fit_transform(spark, sf):
-    source = _segment_csd(spark, sf)
+    source = durable(_segment_csd(spark, sf))
     train = source.select("recording_id").distinct()
     _, transform = jobs.fit_transform(source, train, 3, "lagged", 0.05, (F.col("freq") <= 2.0) | (F.col("freq") >= 8.0), ALPHA, 0.2,
                                       {"auto": 8, "cross": 8, "topography": 4}, 4)

@@ -19,8 +19,8 @@ def raw_blocks(csd: DataFrame, basis: DataFrame, metric: str, shrinkage: float,
     ``topography`` (band power per channel).
     """
     keys = [c for c in ("recording_id", "segment") if c in csd.columns]
-    projected = features.project_basis(csd, basis, shrinkage).select(
-        *keys, "freq", F.lpad(F.col("m_i").cast("string"), 3, "0").alias("ch_i"), F.lpad(F.col("m_j").cast("string"), 3, "0").alias("ch_j"), "re", "im")
+    projected = durable(features.project_basis(csd, basis, shrinkage).select(
+        *keys, "freq", F.lpad(F.col("m_i").cast("string"), 3, "0").alias("ch_i"), F.lpad(F.col("m_j").cast("string"), 3, "0").alias("ch_j"), "re", "im"))
     logp = spectral.diagonal(projected).withColumn("value", F.ln(F.greatest("p", F.lit(2.2250738585072014e-308)))).drop("p")
     fits, residuals = spectral.aperiodic_fit(logp, background)
     auto = residuals.select(*keys, F.concat_ws("@", F.col("channel"), F.col("freq").cast("string")).alias("coord"), "value").unionByName(
@@ -38,12 +38,13 @@ def fit_transform(csd: DataFrame, train: DataFrame, modes: int, metric: str, shr
     csd has segments fit, rel_a and rel_b; train(recording_id). Returns (basis, transform(block, coord, mean, scale, r, out_coord)); only
     selected coordinates are listed. Both tables are small and are stored as they are.
     """
-    rows = csd.join(train.select("recording_id"), "recording_id", "left_semi")
+    # Stored once: the basis, the projection and each block read the cross-spectra again, and making them is most of the work.
+    rows = durable(csd.where(F.col("segment").isin("fit", "rel_a", "rel_b")).join(train.select("recording_id"), "recording_id", "left_semi"))
     basis = features.spatial_basis(rows.where("segment = 'fit'").drop("segment"), modes)
     raw = durable(raw_blocks(rows, basis, metric, shrinkage, background, alpha)).withColumnRenamed("recording_id", "entity_id")
-    scales = features.robust_standardize(raw.where("segment = 'fit'"))
+    scales = durable(features.robust_standardize(raw.where("segment = 'fit'")))
     standard = features.apply_standardize(raw.where(F.col("segment").isin("rel_a", "rel_b")), scales)
-    reliability = features.split_half_reliability(standard, "rel_a", "rel_b")
+    reliability = durable(features.split_half_reliability(standard, "rel_a", "rel_b"))
     chosen = [features.select_reliable(reliability.where(F.col("block") == b), threshold, k, minimum) for b, k in maximum.items()]
     return basis, reduce(DataFrame.unionByName, chosen).join(scales, ["block", "coord"]).select("block", "coord", "mean", "scale", "r", "out_coord")
 

@@ -62,6 +62,26 @@ def test_fit_transform_selects_reliable_coordinates_and_applies(spark):
     assert features.pack(out, ["entity_id"]).where(F.size("f") == sum(sizes.values())).count() == 6
 
 
+def test_fit_transform_makes_the_cross_spectra_once(spark):
+    """The basis, the projection and the three blocks read stored cross-spectra; counted where they are made."""
+    made = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(4)
+    rows = [(rec, seg, float(f), a, b, (1.0 + rec + rng.random()) / f * (1.0 if a == b else 0.3), 0.0 if a == b else 0.1 * rng.random())
+            for rec in range(5) for seg in ("fit", "rel_a", "rel_b") for f in range(2, 11) for a in "abc" for b in "abc" if a <= b]
+    schema = "recording_id bigint, segment string, freq double, ch_i string, ch_j string, re double, im double"
+
+    def making(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    csd = spark.createDataFrame(rows, schema).mapInArrow(making, schema)
+    train = spark.createDataFrame([(rec,) for rec in range(5)], "recording_id bigint")
+    background = (F.col("freq") <= 3) | (F.col("freq") >= 9)
+    _, transform = jobs.fit_transform(csd, train, 2, "lagged", 0.05, background, (4.0, 8.0), 0.5, {"auto": 5, "cross": 4, "topography": 2}, 2)
+    assert transform.count() > 0 and made.value == len(rows)
+
+
 def test_feature_audit_holds_every_report(spark):
     rng = np.random.default_rng(1)
     frame = lambda key, n, extra=(): spark.createDataFrame([(i, *extra, "ab"[i % 2], b, c, float(rng.normal() + i % 2)) for i in range(n) for b in ("x", "y") for c in range(4)], f"{key} long, grp string, block string, coord long, value double")
