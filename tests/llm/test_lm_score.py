@@ -61,3 +61,23 @@ def test_odd_rows(spark):
     empty = [r for r in got if r["doc_id"] in (1, 2)]
     assert all(r["n_tokens"] == 0 and r["score"] == 0.0 for r in empty)
     assert lm_score.score_documents(docs.limit(0), models).count() == 0
+
+
+def test_capitals_digits_and_scripts_are_told_apart(spark):
+    """Nothing of a text is merged: texts that differ in capitals, digits, signs or letters of another script score apart."""
+    good = ["RAIN IN 1234", "дождь идет", "rain & sun", "雨が降る"]
+    other = ["SNOW ON 5678", "мышка спит", "rain | sun", "猫が寝る"]
+    docs = documents(spark, list(enumerate(good + other)))
+    models = lm_score.fit(docs.filter("doc_id < 4"), docs)
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs, models).collect()}
+    assert all(got[i] > 0.1 + got[i + 4] for i in range(4))
+    unseen = lm_score.score_documents(documents(spark, [(9, "Ωψ ~^ zq 90")]), models).collect()[0]
+    assert unseen["n_tokens"] == len("Ωψ ~^ zq 90".encode()) and unseen["target_loss"] > 0 and unseen["background_loss"] > 0
+
+
+def test_portions_and_tasks_add_up(spark):
+    texts = ["ab ab ab", "Ab 12", None, "", "é雨" * 40] * 7
+    parts = lm_score.count_grams(documents(spark, list(enumerate(texts))).repartition(5))
+    keys, counts = lm_score._counted(parts)
+    want = Counter(int(c) for t in texts for c in lm_score.codes(t))
+    assert dict(zip(keys.tolist(), counts.tolist())) == want and keys.tolist() == sorted(want)
