@@ -72,12 +72,12 @@ def require_channels(samples: DataFrame, channels: list[str]) -> DataFrame:
             .withColumn("channel_pos", position).select(*samples.columns, "channel_pos"))
 
 
-def temporal_segments(samples: DataFrame) -> DataFrame:
+def temporal_segments(samples: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
     """Halves ``fit``/``validation`` and, inside the first half, ``rel_a``/``rel_b``; ``t`` restarts at 0 in each.
 
-    An odd trailing sample belongs to the second part of its split.
+    An odd trailing sample belongs to the second part of its split. ``lengths``: the ``recording_lengths``, where they are known already.
     """
-    lengths = recording_lengths(samples)
+    lengths = recording_lengths(samples) if lengths is None else lengths
     half = F.floor(F.col("n_samples") / 2)
     quarter = F.floor(half / 2)
     inside = F.col("t") < half
@@ -92,17 +92,27 @@ def temporal_segments(samples: DataFrame) -> DataFrame:
     return beside(samples, lengths, rec_keys(samples), "t").select(*others, F.explode(parts).alias("_p")).select(*others, "_p.segment", "_p.t")
 
 
-def _with_last_epoch(samples: DataFrame, n: int) -> DataFrame:
+def segment_lengths(lengths: DataFrame) -> DataFrame:
+    """(recording_id, segment, n_samples) of the ``temporal_segments`` of recordings without gaps, from their lengths."""
+    n = F.col("n_samples")
+    half = F.floor(n / 2)
+    quarter = F.floor(half / 2)
+    parts = {"fit": half, "validation": n - half, "rel_a": quarter, "rel_b": half - quarter}
+    each = F.array(*[F.struct(F.lit(name).alias("segment"), size.cast("bigint").alias("n_samples")) for name, size in parts.items()])
+    return lengths.select("recording_id", F.explode(each).alias("_p")).select("recording_id", "_p.segment", "_p.n_samples").where("n_samples > 0")
+
+
+def _with_last_epoch(samples: DataFrame, n: int, lengths: DataFrame | None = None) -> DataFrame:
     """samples with ``_last``, the number of their recording's last half-overlapping epoch of n samples."""
     last = F.when(F.col("n_samples") >= 2 * n, F.floor((F.col("n_samples") - n) / (n // 2))).otherwise(
         F.raise_error(F.lit("recording is too short for stable spectra")).cast("bigint"))
-    return beside(samples, recording_lengths(samples), rec_keys(samples), "t").withColumn("_last", last).drop("n_samples")
+    return beside(samples, recording_lengths(samples) if lengths is None else lengths, rec_keys(samples), "t").withColumn("_last", last).drop("n_samples")
 
 
-def epochs_overlap(samples: DataFrame, n: int) -> DataFrame:
+def epochs_overlap(samples: DataFrame, n: int, lengths: DataFrame | None = None) -> DataFrame:
     """Half-overlapping epochs of n samples; recordings shorter than 2n are an error."""
     hop = n // 2
-    timed = _with_last_epoch(samples, n)
+    timed = _with_last_epoch(samples, n, lengths)
     first = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("t") - n + 1) / hop).cast("bigint"))
     last = F.least(F.floor(F.col("t") / hop).cast("bigint"), F.col("_last"))
     return (
@@ -201,18 +211,19 @@ def frequency_map(n: int, fs: float, fmin: float, fmax: float, width: float) ->
 
 
 def cross_spectrum(samples: DataFrame, fs: float, epoch_s: float, fmin: float, fmax: float, width: float,
-                   method: str = "native") -> DataFrame:
+                   method: str = "native", lengths: DataFrame | None = None) -> DataFrame:
     """csd(recording_id[, segment], freq, ch_i, ch_j, re, im, epoch_count), upper triangle with diagonal.
 
-    Mean over epochs and FFT bins of conj(X_i) X_j * 2 / (fs * sum(w^2)).
+    Mean over epochs and FFT bins of conj(X_i) X_j * 2 / (fs * sum(w^2)). ``lengths``: n_samples per recording (and segment), where they are
+    known already; else the samples are made once more to find them.
     """
     n = round(epoch_s * fs)
     mapping = frequency_map(n, fs, fmin, fmax, width)
     if method == "arrow":
-        return _cross_spectrum_arrow(samples, fs, n, mapping)
+        return _cross_spectrum_arrow(samples, fs, n, mapping, lengths)
     scale = 2.0 / (fs * sum(w * w for w in window_weights(n, "hann_sym")))
     keys = rec_keys(samples)
-    dft = epoch_dft(epochs_overlap(samples, n), n, sorted(mapping), "hann_sym")
+    dft = epoch_dft(epochs_overlap(samples, n, lengths), n, sorted(mapping), "hann_sym")
     center = F.element_at(F.create_map(*[F.lit(x) for k, c in mapping.items() for x in (k, float(c))]), F.col("bin").cast("int"))
     width_in_bins = F.element_at(F.create_map(*[F.lit(x) for c in set(mapping.values()) for x in (
         float(c), sum(1 for v in mapping.values() if v == c))]), F.col("freq"))
@@ -241,7 +252,7 @@ def cross_spectrum(samples: DataFrame, fs: float, epoch_s: float, fmin: float, f
 EPOCHS_PER_BLOCK = 32
 
 
-def _cross_spectrum_arrow(samples: DataFrame, fs: float, n: int, mapping: dict[int, float]) -> DataFrame:
+def _cross_spectrum_arrow(samples: DataFrame, fs: float, n: int, mapping: dict[int, float], lengths: DataFrame | None = None) -> DataFrame:
     """Blocks of epochs as dense arrays: one shuffle of the samples, channel pairs stay inside NumPy.
 
     A block holds EPOCHS_PER_BLOCK epochs of one recording whatever its duration; blocks emit
@@ -259,7 +270,7 @@ def _cross_spectrum_arrow(samples: DataFrame, fs: float, n: int, mapping: dict[i
     last_block = F.floor(F.col("_last") / EPOCHS_PER_BLOCK)
     low = F.greatest(F.lit(0).cast("bigint"), F.ceil((F.col("t") - span - n + hop + 1) / span).cast("bigint"))
     high = F.least(F.floor(F.col("t") / span).cast("bigint"), last_block)
-    blocked = _with_last_epoch(samples, n).withColumn(
+    blocked = _with_last_epoch(samples, n, lengths).withColumn(
         "block", F.explode(F.when(low <= high, F.sequence(low, high)))).select(*keys, "block", "_last", "channel", "t", "value")
     types = dict(samples.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", freq double, ch_i string, ch_j string, re double, im double, n bigint"

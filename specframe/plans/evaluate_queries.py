@@ -235,7 +235,9 @@ def network_topography(spark, sf):
 
 
 def _segment_csd(spark, sf):
-    return csd(spark, sf, "arrow", signal.temporal_segments(views.samples(spark, sf).drop("grp")))
+    samples = views.samples(spark, sf).drop("grp")
+    lengths = durable(signal.recording_lengths(samples))
+    return csd(spark, sf, "arrow", signal.temporal_segments(samples, lengths), signal.segment_lengths(lengths))
 
 
 @query("fit_transform")

@@ -94,8 +94,8 @@ SELECT recording_id, freq, ch_i, ch_j, round(re, 6) + 0.0 AS re, round(im, 6) +
 """
 
 
-def csd(spark, sf, method="arrow", samples=None):
-    return signal.cross_spectrum(samples if samples is not None else views.samples(spark, sf), FS, EPOCH_DAYS, 1.0, 11.0, 1.0, method)
+def csd(spark, sf, method="arrow", samples=None, lengths=None):
+    return signal.cross_spectrum(samples if samples is not None else views.samples(spark, sf), FS, EPOCH_DAYS, 1.0, 11.0, 1.0, method, lengths)
 
 
 def _csd_report(df):
